@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, quality, sharding
+from . import decontam, line_dedup, quality, sharding, token_store
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op6(table(spark, sf_dir, "documents"))
 
@@ -24,8 +28,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op9(table(spark, sf_dir, "documents"))
 
 
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.op10(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_line_dedup, op7_quality_rules, op9_sharding)}
+    return {f.__name__: f for f in (op1_decontamination, op6_line_dedup, op7_quality_rules, op9_sharding, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:

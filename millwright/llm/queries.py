@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, quality, sharding, simhash, token_store
+from . import decontam, line_dedup, quality, sharding, simhash, substring, token_store
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op3(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.op4(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op6(table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op3_simhash_near_dedup, op6_line_dedup, op7_quality_rules, op9_sharding, op10_token_output)}
+    return {f.__name__: f for f in (op1_decontamination, op3_simhash_near_dedup, op4_substring_dedup, op6_line_dedup, op7_quality_rules, op9_sharding, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:

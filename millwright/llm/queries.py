@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, quality, sharding, simhash, substring, token_store
+from . import decontam, line_dedup, quality, sharding, simhash, substring, token_store, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op3(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op3_simhash_near_dedup, op4_substring_dedup, op6_line_dedup, op7_quality_rules, op9_sharding, op10_token_output)}
+    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_simhash_near_dedup, op4_substring_dedup, op6_line_dedup, op7_quality_rules, op9_sharding, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,6 +18,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -68,25 +69,62 @@ def from_planes(planes: list[bytes], n: int) -> bytes:
     return np.packbits(bits, axis=1, bitorder="little").tobytes()
 
 
+_LATIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+_BINARY = re.compile("[\x1c-\x1f]")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable Latin-1 as is, the rest from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
+
+
 class Pieces(dict):
-    """A bounded cache from space-separated pieces to their ids as little-endian bytes."""
+    """A bounded cache from pieces between white space to their ids as little-endian bytes.
+
+    A piece of Latin letters with ASCII punctuation behind it, the usual word, is two pre-tokens: its
+    letters, in lower case, and the rest; both are looked up or given to the model by themselves.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        # the short way holds for tokenizers that lower-case, drop white space and work on bytes in words
+        probe = ["Ab,", "ÉÖß?!", "don't", "x"]
+        self.short = all(self._letters_way(p) == self._whole(p) for p in probe if _LATIN.fullmatch(p))
+
+    def _whole(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _letters_way(self, piece: str) -> bytes:
+        letters, rest = _LATIN.fullmatch(piece).groups()
+        low = letters.lower()
+        if low != piece:
+            return self[low] + (self[rest] if rest else b"")
+        written = low if low.isascii() else "".join(map(self.letters.__getitem__, low.encode()))
+        return np.array([t.id for t in self.model.tokenize(written)], dtype="<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(piece) <= CACHE_PIECE_CHARS:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[piece] = ids
+        if len(piece) > CACHE_PIECE_CHARS:
+            return self._whole(piece)
+        ids = self._letters_way(piece) if self.short and _LATIN.fullmatch(piece) else self._whole(piece)
+        if len(self) >= CACHE_PIECES:
+            self.clear()
+        self[piece] = ids
         return ids
 
+    short = False
+
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.split(" "))) if text else b""
+        if not text:
+            return b""
+        # str.split() also breaks at four control characters that are no white space to the tokenizer
+        return b"".join(map(self.__getitem__, text.split(" ") if _BINARY.search(text) else text.split()))
 
 
 _PIECES: dict[str, Pieces] = {}

@@ -4,16 +4,17 @@ Every run of ``window`` words that starts at two or more places of the corpus go
 All documents are the reference, so the reference is cut into shards that are closed under repetition:
 
 1. Each window picks an anchor, the least hash among its ``GRAM``-word grams (winnowing).  Equal windows
-   pick equal anchors at equal offsets, so windows that repeat meet under one anchor, and consecutive
-   windows with one anchor form a segment.
+   pick equal anchors at equal offsets, so windows that repeat meet under one anchor; consecutive windows
+   with one anchor form a segment.  Anchors, places and content hashes are written as arrays per document.
 2. Anchors are counted with map-side combine.  Those seen twice or more are set in a bit table of bounded
    size that is broadcast; a false positive costs work, never results.
-3. Segments of such anchors are dealt by anchor.  The distinct segments of one anchor are a reference
-   shard: a suffix automaton with occurrence counts is built over them and each segment is streamed
-   through it for matching statistics (the longest suffix at each word that occurs twice or more);
-   where these reach ``window`` words, the span goes.
-4. An anchor seen more than ``HOT`` times would make a large shard.  Its windows are told apart by
-   128-bit hashes instead, counted with map-side combine and joined back.
+3. Segments of such anchors are counted by content.  A content seen twice or more goes whole.  Under an
+   anchor with several contents one place of each content is chosen (again a bit table) and its words are
+   sent to the anchor's shard: a suffix automaton with occurrence counts is built over the shard's contents
+   and each content seen once is streamed through it for matching statistics (the longest suffix at each
+   word that occurs twice or more); where these reach ``window`` words, the span goes.
+4. An anchor with over ``HOT`` contents would make a large shard.  Windows of its contents are told apart
+   by 128-bit hashes instead, counted with map-side combine and joined back.
 5. Spans come back to their documents, which drop the words under them.
 
 Documents are worked in pieces of ``PIECE`` words that overlap by a window, so that long ones need
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ from .common import materialise, partitions
 
 WINDOW = 35
 GRAM = 8
-HOT = 1000
+HOT = 500
 PIECE = 200_000
 MIN_BITS, MAX_BITS = 20, 29
 CACHE_WORDS = 400_000
@@ -85,27 +87,44 @@ def _rolling(h: np.ndarray, k: int) -> np.ndarray:
     return _mix((sums[k:] - sums[:-k]) * down[: len(h) - k + 1])
 
 
-def segments(words: list[bytes], window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each piece of a document: its first word, the words' hashes, and the anchors, first and last window of its segments."""
+@dataclass
+class Segments:
+    """Of a piece of a document: its first word, the words' hashes, and for each segment its anchor, its
+    content's hash, its first and last window (counted from the piece's first word) and a hash of its place."""
+
+    at: int
+    hashes: np.ndarray
+    anchors: np.ndarray
+    contents: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    places: np.ndarray
+
+
+def segments(words: list[bytes], window: int, text_hash: int = 0) -> Iterator[Segments]:
     gram = min(GRAM, window)
     reach = window - gram + 1  # grams in a window
     for at in range(0, max(0, len(words) - window + 1), PIECE):
         own = words[at : at + PIECE + window - 1]
         h = np.fromiter(map(_HASHES.__getitem__, own), np.uint64, len(own))
-        grams = _rolling(h, gram)
+        up, down = _powers(len(h) + 1)
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(h * up[:-1])))
+        grams = _mix((sums[gram:] - sums[:-gram]) * down[: len(h) - gram + 1])
         # the least hash of each window, the leftmost of equals: high bits of the hash, then the place
-        order = (grams & ~np.uint64(0xFFFFFF)) | np.arange(len(grams), dtype=np.uint64)
-        least, width = order, 1
+        least = (grams & ~np.uint64(0xFFFFFF)) | np.arange(len(grams), dtype=np.uint64)
+        width = 1
         while 2 * width <= reach:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
         if width < reach:
-            rest = reach - width
-            least = np.minimum(least[:-rest], least[rest:])
+            least = np.minimum(least[: width - reach], least[reach - width :])
         place = (least & np.uint64(0xFFFFFF)).astype(np.int64)
         first = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1))
         last = np.concatenate((first[1:], [len(place)])) - 1
-        yield at, h, grams[place[first]], first, last
+        anchors = grams[place[first]]
+        contents = _mix((sums[last + window] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+        places = _mix(anchors ^ contents * np.uint64(3) + np.uint64(5 * text_hash % (1 << 64)) + (first + at).astype(np.uint64) * np.uint64(_BASE))
+        yield Segments(at, h, anchors, contents, first, last, places)
 
 
 class Bits:
@@ -131,50 +150,82 @@ def _bit_table(hashes: DataFrame) -> Bits:
     return Bits(words.view(np.uint64), bits)
 
 
-def _anchors(window: int):
+_PLACED = "doc_id long, t long, h array<bigint>, c array<bigint>, p array<bigint>, start array<int>, end array<int>"
+_ROW = "h long, c long, p long, doc_id long, t long, start int, end int"
+
+
+def _place(window: int):
+    """Segments of each document, as arrays."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0):
-                for _, _, anchors, _, _ in segments(split_words(text.as_py()), window):
-                    yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64))], names=["h"])
+            bounds, found = [0], [[] for _ in range(5)]
+            for t, text in zip(batch.column(1).to_pylist(), batch.column(2)):
+                n = 0
+                for s in segments(split_words(text.as_py()), window, t):
+                    n += len(s.first)
+                    for k, x in enumerate((s.anchors.view(np.int64), s.contents.view(np.int64), s.places.view(np.int64), s.first + s.at, s.last + s.at + window)):
+                        found[k].append(x)
+                bounds.append(bounds[-1] + n)
+            offsets = pa.array(bounds, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else [], kind)) for x, kind in zip(found, [pa.int64()] * 3 + [pa.int32()] * 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "t", "h", "c", "p", "start", "end"])
 
     return run
 
 
-_SEGMENTS = "hot boolean, anchor long, other long, doc_id long, t long, start int, end int, words binary"
-_SEGMENTS_ARROW = pa.schema(
-    [("hot", pa.bool_()), ("anchor", pa.int64()), ("other", pa.int64()), ("doc_id", pa.int64()), ("t", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.binary())]
+def _repeated_rows(shared):
+    """Rows of the segments whose anchor is in a bit table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            flat = [batch.column(i).flatten() for i in range(2, 7)]
+            keep = pa.array(np.flatnonzero(shared.value.has(flat[0].to_numpy().view(np.uint64))))
+            h, c, p, start, end = (x.take(keep) for x in flat)
+            of = pa.array(doc[keep.to_numpy()])
+            yield pa.RecordBatch.from_arrays([h, c, p, batch.column(0).take(of), batch.column(1).take(of), start, end], names=["h", "c", "p", "doc_id", "t", "start", "end"])
+
+    return run
+
+
+_CONTENT = "hot boolean, h long, c long, n long, other long, doc_id long, t long, start int, end int, words binary"
+_CONTENT_ARROW = pa.schema(
+    [("hot", pa.bool_()), ("h", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("other", pa.int64()), ("doc_id", pa.int64()), ("t", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.binary())]
 )
 
 
-def _emit(shared, hot, window: int):
-    """Segments of repeated anchors, [start, end) in words; of hot ones each window with a 128-bit hash instead."""
+def _contents(chosen, flood, window: int, hot: bool):
+    """The words of chosen segments under anchors that aren't hot; or of those under hot ones each window with a 128-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, often = shared.value, hot.value
+        pick, often = chosen.value, flood.value
         for batch in batches:
+            if hot and not often.words.any():
+                continue
             rows: list[tuple] = []
             for doc, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 words = split_words(text.as_py())
-                for at, h, anchors, first, last in segments(words, window):
-                    keep = np.flatnonzero(repeated.has(anchors))
+                for s in segments(words, window, t):
+                    keep = np.flatnonzero(pick.has(s.places))
+                    keep = keep[often.has(s.anchors[keep]) == hot]
                     if not len(keep):
                         continue
-                    flood = often.has(anchors[keep])
-                    if flood.any():
-                        one, two = _rolling(h, window), _rolling(_mix(h + np.uint64(1)), window)
-                    for i, hot_one in zip(keep.tolist(), flood.tolist()):
-                        a, b = int(first[i]), int(last[i])
-                        if hot_one:
-                            for s in range(a, b + 1):
-                                rows.append((True, int(one[s : s + 1].view(np.int64)[0]), int(two[s : s + 1].view(np.int64)[0]), doc, t, at + s, at + s + window, None))
+                    anchors, contents = s.anchors.view(np.int64), s.contents.view(np.int64)
+                    if hot:
+                        one, two = (_rolling(x, window).view(np.int64) for x in (s.hashes, _mix(s.hashes + np.uint64(1))))
+                    for i in keep.tolist():
+                        a, b = int(s.first[i]), int(s.last[i])
+                        if hot:
+                            rows += [(True, int(one[k]), int(contents[i]), None, int(two[k]), doc, t, s.at + k, s.at + k + window, None) for k in range(a, b + 1)]
                         else:
-                            rows.append((False, int(anchors[i : i + 1].view(np.int64)[0]), 0, doc, t, at + a, at + b + window, b" ".join(words[at + a : at + b + window])))
+                            cut = slice(s.at + a, s.at + b + window)
+                            rows.append((False, int(anchors[i]), int(contents[i]), None, None, doc, t, cut.start, cut.stop, b" ".join(words[cut])))
                 if len(rows) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SEGMENTS_ARROW)], schema=_SEGMENTS_ARROW)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CONTENT_ARROW)], schema=_CONTENT_ARROW)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SEGMENTS_ARROW)], schema=_SEGMENTS_ARROW)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CONTENT_ARROW)], schema=_CONTENT_ARROW)
 
     return run
 
@@ -242,39 +293,36 @@ class CountedAutomaton:
 
 
 def _match(window: int):
-    """Spans [start, end) to remove, from a stream of segments sorted by anchor."""
+    """Spans [start, end) to remove, from a stream of contents sorted by anchor: rows with n, rows with words."""
 
-    def shard(rows: list[tuple]) -> Iterator[tuple]:
-        if len(rows) < 2:
+    def shard(times: dict[int, int], texts: dict[int, tuple]) -> Iterator[tuple]:
+        known = {c: r for c, r in texts.items() if c in times}
+        if len(known) < 2:
             return
-        texts: dict[bytes, int] = {}
-        for r in rows:
-            texts[r[4]] = texts.get(r[4], 0) + 1
-        found: dict[bytes, list] = {}
-        if len(texts) == 1:
-            found = {w: [(0, r[3] - r[2])] for w, r in zip(texts, rows)}
-        else:
-            codes: dict[bytes, int] = {}
-            coded = {t: [codes.setdefault(w, len(codes)) for w in t.split(b" ")] for t in texts}
-            automaton = CountedAutomaton([(coded[t], n) for t, n in texts.items()])
-            found = {t: automaton.repeated(c, window) for t, c in coded.items()}
-        for doc, t, start, _, words in rows:
-            for a, b in found[words]:
-                yield doc, t, start + a, start + b
+        codes: dict[bytes, int] = {}
+        coded = {c: [codes.setdefault(w, len(codes)) for w in r[3].split(b" ")] for c, r in known.items()}
+        automaton = CountedAutomaton([(coded[c], times[c]) for c in coded])
+        for c, (doc, t, start, _) in known.items():
+            if times[c] == 1:  # others went whole
+                for a, b in automaton.repeated(coded[c], window):
+                    yield doc, t, start + a, start + b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        times: dict[int, int] = {}
+        texts: dict[int, tuple] = {}
         at = None
         for batch in batches:
             out: list[tuple] = []
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            for anchor, *row in zip(*columns):
-                if anchor != at:
-                    out += shard(held)
-                    held, at = [], anchor
-                held.append(tuple(row))
+            for h, c, n, doc, t, start, words in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if h != at:
+                    out += shard(times, texts)
+                    times, texts, at = {}, {}, h
+                if words is None:
+                    times[c] = n
+                else:
+                    texts[c] = (doc, t, start, words)
             yield _spans(out)
-        yield _spans(list(shard(held)))
+        yield _spans(list(shard(times, texts)))
 
     return run
 
@@ -286,21 +334,28 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """doc_id, t (hash of the text), start, end: spans of words under repeated windows; they may overlap."""
-    spark, context = docs.sparkSession, docs.sparkSession.sparkContext
+    spark, share = docs.sparkSession, docs.sparkSession.sparkContext.broadcast
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
-    counts = docs.select("text").mapInArrow(_anchors(window), "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    counts = materialise(counts, "anchors")
-    repeated = context.broadcast(_bit_table(counts.select("h")))
-    flood = context.broadcast(_bit_table(counts.filter(F.col("n") > hot).select("h")))
-    found = materialise(keyed.mapInArrow(_emit(repeated, flood, window), _SEGMENTS), "segments")
-    dealt = found.filter("not hot").select("anchor", "doc_id", "t", "start", "end", "words")
-    shards = dealt.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
-    spans = shards.mapInArrow(_match(window), "doc_id long, t long, start int, end int")
-    windows = found.filter("hot").select("anchor", "other", "doc_id", "t", "start", "end")
-    twice = windows.groupBy("anchor", "other").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return spans.union(windows.join(twice, ["anchor", "other"]).select("doc_id", "t", "start", "end"))
+    placed = materialise(keyed.mapInArrow(_place(window), _PLACED), "anchors")
+    seen = placed.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    rows = placed.mapInArrow(_repeated_rows(share(_bit_table(materialise(seen, "repeated")))), _ROW)
+    contents = materialise(rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min("p").alias("p")), "contents")
+    several = contents.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
+    mixed = materialise(contents.join(several, "h"), "mixed")
+    chosen = share(_bit_table(mixed.select(F.col("p").alias("h"))))
+    flood = share(_bit_table(mixed.filter(F.col("k") > hot).select("h").distinct()))
+
+    whole = rows.join(contents.filter("n > 1").select("h", "c"), ["h", "c"]).select("doc_id", "t", "start", "end")
 
+    texts = keyed.mapInArrow(_contents(chosen, flood, window, False), _CONTENT).select("h", "c", "n", "doc_id", "t", "start", "words")
+    none = [F.lit(None).cast(k).alias(c) for c, k in (("doc_id", "long"), ("t", "long"), ("start", "int"), ("words", "binary"))]
+    dealt = texts.union(mixed.filter(F.col("k") <= hot).select("h", "c", "n", *none))
+    spans = dealt.repartition(partitions(spark), "h").sortWithinPartitions("h").mapInArrow(_match(window), "doc_id long, t long, start int, end int")
 
+    windows = materialise(keyed.mapInArrow(_contents(chosen, flood, window, True), _CONTENT).select("h", "other", "c", "doc_id", "t", "start", "end"), "windows")
+    place = F.struct("c", "start")
+    twice = windows.groupBy("h", "other").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("h", "other")
+    return whole.union(spans).union(windows.join(twice, ["h", "other"]).select("doc_id", "t", "start", "end"))
 
 
 def _cut(text_at: int, spans_at: int):
@@ -328,7 +383,7 @@ def _cut(text_at: int, spans_at: int):
 
 def scan(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """docs with __n_words, __n_removed and __kept (the kept words joined by one space)."""
-    spans = repeated_spans(docs, window, hot).distinct()
+    spans = repeated_spans(docs, window, hot)
     listed = spans.groupBy("doc_id", "t").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
     listed = listed.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), "__spans")
     on = docs["doc_id"].cast("long").eqNullSafe(listed["__id"]) & (F.xxhash64(docs["text"]) == listed["__t"])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, quality, sharding, simhash, substring, token_store, toxicity
+from . import decontam, html_extract, line_dedup, quality, sharding, simhash, substring, token_store, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.op4(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.op5(table(spark, sf_dir, "pages"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op6(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_simhash_near_dedup, op4_substring_dedup, op6_line_dedup, op7_quality_rules, op9_sharding, op10_token_output)}
+    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_simhash_near_dedup, op4_substring_dedup, op5_html_extraction, op6_line_dedup, op7_quality_rules, op9_sharding, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:

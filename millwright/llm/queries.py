@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_extract, line_dedup, quality, sharding, simhash, substring, token_store, toxicity
+from . import decontam, html_extract, line_dedup, mixing, quality, sharding, simhash, substring, token_store, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op7(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op9(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_simhash_near_dedup, op4_substring_dedup, op5_html_extraction, op6_line_dedup, op7_quality_rules, op9_sharding, op10_token_output)}
+    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_simhash_near_dedup, op4_substring_dedup, op5_html_extraction, op6_line_dedup, op7_quality_rules, op8_mixing, op9_sharding, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -189,20 +189,33 @@ def _repeated_rows(shared):
     return run
 
 
+def _flagged(flood):
+    """Rows of contents with whether their anchor is in the bit table of hot ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hot = flood.value.has(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hot)], names=[*batch.schema.names, "hot"])
+
+    return run
+
+
 _CONTENT = "hot boolean, h long, c long, n long, other long, doc_id long, t long, start int, end int, words binary"
 _CONTENT_ARROW = pa.schema(
     [("hot", pa.bool_()), ("h", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("other", pa.int64()), ("doc_id", pa.int64()), ("t", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.binary())]
 )
 
 
-def _contents(chosen, flood, window: int, hot: bool):
-    """The words of chosen segments under anchors that aren't hot; or of those under hot ones each window with a 128-bit hash."""
+def _contents(chosen, flood, texts, window: int, hot: bool):
+    """The words of chosen segments under anchors that aren't hot; or of those under hot ones each window with a 128-bit hash.
+
+    Only documents whose text hash is in the bit table texts hold any; the others aren't read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pick, often = chosen.value, flood.value
         for batch in batches:
-            if hot and not often.words.any():
-                continue
+            batch = batch.filter(pa.array(texts.value.has(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))))
             rows: list[tuple] = []
             for doc, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 words = split_words(text.as_py())
@@ -339,20 +352,24 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> Dat
     placed = materialise(keyed.mapInArrow(_place(window), _PLACED), "anchors")
     seen = placed.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     rows = placed.mapInArrow(_repeated_rows(share(_bit_table(materialise(seen, "repeated")))), _ROW)
-    contents = materialise(rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min("p").alias("p")), "contents")
+    contents = materialise(rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("p", "t")).alias("at")).select("h", "c", "n", "at.p", "at.t"), "contents")
     several = contents.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
     mixed = materialise(contents.join(several, "h"), "mixed")
     chosen = share(_bit_table(mixed.select(F.col("p").alias("h"))))
     flood = share(_bit_table(mixed.filter(F.col("k") > hot).select("h").distinct()))
 
+    # an anchor is hot here if the bit table says so, falsely or not: all passes must agree
+    mixed = mixed.select("h", "c", "n", "t").mapInArrow(_flagged(flood), "h long, c long, n long, t long, hot boolean")
+    of_hot, of_others = (share(_bit_table(mixed.filter(own).select(F.col("t").alias("h")).distinct())) for own in ("hot", "not hot"))
+
     whole = rows.join(contents.filter("n > 1").select("h", "c"), ["h", "c"]).select("doc_id", "t", "start", "end")
 
-    texts = keyed.mapInArrow(_contents(chosen, flood, window, False), _CONTENT).select("h", "c", "n", "doc_id", "t", "start", "words")
+    texts = keyed.mapInArrow(_contents(chosen, flood, of_others, window, False), _CONTENT).select("h", "c", "n", "doc_id", "t", "start", "words")
     none = [F.lit(None).cast(k).alias(c) for c, k in (("doc_id", "long"), ("t", "long"), ("start", "int"), ("words", "binary"))]
-    dealt = texts.union(mixed.filter(F.col("k") <= hot).select("h", "c", "n", *none))
+    dealt = texts.union(mixed.filter("not hot").select("h", "c", "n", *none))
     spans = dealt.repartition(partitions(spark), "h").sortWithinPartitions("h").mapInArrow(_match(window), "doc_id long, t long, start int, end int")
 
-    windows = materialise(keyed.mapInArrow(_contents(chosen, flood, window, True), _CONTENT).select("h", "other", "c", "doc_id", "t", "start", "end"), "windows")
+    windows = materialise(keyed.mapInArrow(_contents(chosen, flood, of_hot, window, True), _CONTENT).select("h", "other", "c", "doc_id", "t", "start", "end"), "windows")
     place = F.struct("c", "start")
     twice = windows.groupBy("h", "other").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("h", "other")
     return whole.union(spans).union(windows.join(twice, ["h", "other"]).select("doc_id", "t", "start", "end"))

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -37,7 +38,7 @@ from .common import fresh_path, partitions
 BLOCK_IDS = 1 << 16
 END_ID = 1
 LEVEL = 3
-CACHE_PIECES = 400_000
+CACHE_PIECES = 450_000
 CACHE_PIECE_CHARS = 64
 SCHEMA = (
     "shard int, chunk int, first long, n_ids int, planes array<binary>, first_row long,"
@@ -93,27 +94,48 @@ class Pieces(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # no piece comes twice in a row
         self.letters = _byte_letters()
         # the short way holds for tokenizers that lower-case, drop white space and work on bytes in words
         probe = ["Ab,", "ÉÖß?!", "don't", "x"]
-        self.short = all(self._letters_way(p) == self._whole(p) for p in probe if _LATIN.fullmatch(p))
+        self.old: dict[str, bytes] = {}
+        self.short = True
+        self.short = all(self._letters_way(*m.groups()) == self._whole(p) for p in probe if (m := _LATIN.fullmatch(p)))
 
     def _whole(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
-    def _letters_way(self, piece: str) -> bytes:
-        letters, rest = _LATIN.fullmatch(piece).groups()
-        low = letters.lower()
-        if low != piece:
-            return self[low] + (self[rest] if rest else b"")
+    def _lower(self, low: str) -> bytes:
         written = low if low.isascii() else "".join(map(self.letters.__getitem__, low.encode()))
-        return np.array([t.id for t in self.model.tokenize(written)], dtype="<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+
+    def _letters_way(self, letters: str, rest: str) -> bytes:
+        return self[letters.lower()] + self[rest] if rest else self[letters.lower()]
 
     def __missing__(self, piece: str) -> bytes:
-        if len(piece) > CACHE_PIECE_CHARS:
-            return self._whole(piece)
-        ids = self._letters_way(piece) if self.short and _LATIN.fullmatch(piece) else self._whole(piece)
-        if len(self) >= CACHE_PIECES:
+        ids = self.old.get(piece)
+        if ids is None:
+            if not self.short or len(piece) > CACHE_PIECE_CHARS:
+                ids = self._whole(piece)
+                if len(piece) > CACHE_PIECE_CHARS:
+                    return ids
+            elif piece.isascii() and piece.isalpha() and piece.islower():
+                ids = self._lower(piece)
+            elif m := _LATIN.fullmatch(piece):
+                letters, rest = m.groups()
+                low = letters.lower()
+                if low == piece:
+                    ids = self._lower(low)
+                else:
+                    fresh = low not in self
+                    ids = self._letters_way(letters, rest)
+                    if fresh:  # the word alone is kept the first time, with its case and punctuation the next
+                        return ids
+            else:
+                ids = self._whole(piece)
+        if len(self) >= CACHE_PIECES:  # the last generation is kept beside the new one
+            self.old = dict(self)
             self.clear()
         self[piece] = ids
         return ids
@@ -190,6 +212,7 @@ def write_tokens(
     docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS, kind: str = "byte", level: int = LEVEL
 ) -> None:
     """Writes docs (doc_id, text) as a token store at path."""
+    # ids are written as array('I'), which is 32 bits wide and little-endian wherever Spark runs
     tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(docs.sparkSession), "doc_id")
     ordered = ordered.withColumn("h", F.xxhash64("text")).sortWithinPartitions("doc_id", "h").drop("h")

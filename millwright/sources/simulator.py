@@ -1,0 +1,45 @@
+"""A deterministic machine: four signals for each reading n = 1, 2, ..."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..schemas import VALUE
+
+MACHINE = "00000000-0000-0000-0000-000000000001"
+START = "2024-01-01 00:00:00"
+
+
+def _signals(n: Column, at: Column) -> Column:
+    def signal(key: str, kind: str, flag: Column | None = None, number: Column | None = None) -> Column:
+        value = F.struct(
+            (flag if flag is not None else F.lit(None).cast("boolean")).alias("bool"),
+            (number if number is not None else F.lit(None)).cast("decimal(38,9)").alias("num"),
+            F.lit(None).cast("string").alias("text"), F.lit(None).cast("timestamp").alias("ts"),
+        ).cast(VALUE)
+        return F.struct(F.lit(key).alias("key"), F.lit(kind).alias("type"), value.alias("value"), F.lit("simulator").alias("source"), F.lit("Good").alias("quality"), at.alias("timestamp"))
+
+    fault, phase = n % 10 == 0, n % 4
+    return F.array(
+        signal("state.running", "Digital", phase.isin(1, 2) & ~fault),
+        signal("state.idle", "Digital", (phase == 3) & ~fault),
+        signal("state.fault", "Digital", fault),
+        signal("production.cycle-count", "Counter", number=F.floor(n / 4)),
+    )
+
+
+def _snapshots(readings: DataFrame, machine_id: str, at: Column) -> DataFrame:
+    return readings.select(F.lit(machine_id).alias("machine_id"), _signals(F.col("n"), at).alias("signals"), at.alias("timestamp"), F.col("n").alias("ordinal"))
+
+
+def simulate(spark: SparkSession, readings: int, machine_id: str = MACHINE, start: str = START) -> DataFrame:
+    """Snapshots of so many readings, one second apart."""
+    at = F.timestamp_add("SECOND", F.col("n").cast("int"), F.lit(start).cast("timestamp"))
+    return _snapshots(spark.range(1, readings + 1).withColumnRenamed("id", "n"), machine_id, at)
+
+
+def simulate_stream(spark: SparkSession, rows_per_second: int = 1, machine_id: str = MACHINE) -> DataFrame:
+    """The same as a stream on the wall clock."""
+    rate = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
+    return _snapshots(rate.select((F.col("value") + 1).alias("n"), "timestamp"), machine_id, F.col("timestamp"))

@@ -31,7 +31,7 @@ def parse_u64(text: Column) -> Column:
     digits = F.regexp_replace(text, "^0+(?=[0-9])", "")
     fits = text.rlike("^[0-9]+$") & (F.length(digits) <= 20)
     parsed = F.when(fits, digits).otherwise(F.lit(None)).try_cast("decimal(20,0)")
-    return F.when(parsed <= F.lit(U64_MAX).cast("decimal(20,0)"), parsed).otherwise(number)
+    return F.when(parsed <= F.lit(str(U64_MAX)).cast("decimal(20,0)"), parsed).otherwise(number)
 
 
 def parse_number(text: Column) -> Column:

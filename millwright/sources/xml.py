@@ -175,7 +175,7 @@ def _each(payloads: DataFrame, parse: Callable[[dict], list[dict]], schema: str,
                     if on_error == "strict":
                         raise
                     out.append({"payload_id": payload["payload_id"], "error": str(e)})
-            yield pd.DataFrame(out, columns=names, dtype=object)
+            yield pd.DataFrame([[r.get(n) for n in names] for r in out], columns=names, dtype=object)
 
     return payloads.mapInPandas(run, f"payload_id bigint, error string, {schema}")
 

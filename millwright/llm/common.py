@@ -48,3 +48,15 @@ def ascii_lower(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_CACHES: list[dict] = []
+
+
+def sole(cache: dict) -> dict:
+    """For a bounded cache in a worker process that serves many operators' tasks: the one in use is the only one kept."""
+    for other in _CACHES:
+        if other is not cache:
+            other.clear()
+    _CACHES[:] = [cache]
+    return cache

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import materialise, sole
 
 DOMAINS = ("clean", "toxic", "poor")
 #: Target totals as multiples of what a domain has.
@@ -40,7 +40,7 @@ SAMPLE_ROWS = 10_000
 BUCKETS = 1 << 12
 SHAPES = 12
 STEPS = 30
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 class _Buckets(dict):
@@ -119,6 +119,7 @@ def domain(quality: Column, toxic: Column) -> Column:
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sole(_BUCKET)
     for batch in batches:
         found = [features(t.as_py()) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays(
@@ -135,13 +136,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Classi
     return fit_classifier(shapes, [np.array(r["buckets"], dtype=np.int64) for r in rows], np.array([r["y"] for r in rows], dtype=np.int64))
 
 
-def _posteriors(shared, text_at: int):
+def _posteriors(shared, text_at: int, plan=None):
+    """Adds tokens and posteriors, and with a plan the rate."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole(_BUCKET)
         for batch in batches:
             found = [features(t.as_py()) for t in batch.column(text_at)]
             p = np.array([shared.value.posterior(s, b) for _, s, b in found]).reshape(-1, len(DOMAINS))
             extra = [pa.array([n for n, _, _ in found], pa.int64()), *(pa.array(p[:, k]) for k in range(len(DOMAINS)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *_POSTERIOR])
+            rate = [pa.array(plan.value.rates(p)[0])] if plan else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra, *rate], names=[*batch.schema.names, *_POSTERIOR, *["__rate"] * len(rate)])
 
     return run
 
@@ -149,10 +154,12 @@ def _posteriors(shared, text_at: int):
 _POSTERIOR = ["__tokens", *(f"__p_{d}" for d in DOMAINS)]
 
 
-def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
-    """docs with __tokens and the posteriors __p_<domain>."""
-    added = [T.StructField(c, T.LongType() if c == "__tokens" else T.DoubleType()) for c in _POSTERIOR]
-    return docs.mapInArrow(_posteriors(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")), T.StructType(docs.schema.fields + added))
+def with_posteriors(docs: DataFrame, model: Classifier, plan: Plan | None = None) -> DataFrame:
+    """docs with __tokens and the posteriors __p_<domain>, and with a plan __rate."""
+    share = docs.sparkSession.sparkContext.broadcast
+    added = [T.StructField(c, T.LongType() if c == "__tokens" else T.DoubleType()) for c in _POSTERIOR + ["__rate"] * bool(plan)]
+    run = _posteriors(share(model), docs.columns.index("text"), share(plan) if plan else None)
+    return docs.mapInArrow(run, T.StructType(docs.schema.fields + added))
 
 
 @dataclass
@@ -221,9 +228,13 @@ def _rated(shared):
 
 
 def with_rates(rows: DataFrame, plan: Plan) -> DataFrame:
-    """rows with __rate and __copies."""
+    """rows (with posteriors as their last columns) with __rate."""
     schema = T.StructType(rows.schema.fields + [T.StructField("__rate", T.DoubleType())])
-    rated = rows.mapInArrow(_rated(rows.sparkSession.sparkContext.broadcast(plan)), schema)
+    return rows.mapInArrow(_rated(rows.sparkSession.sparkContext.broadcast(plan)), schema)
+
+
+def with_copies(rated: DataFrame) -> DataFrame:
+    """rated with __copies: the rate's whole part, and one more if a hash of doc_id falls under its fraction."""
     draw = F.pmod(F.xxhash64("doc_id", F.lit("mixing")), F.lit(1 << 53)) / F.lit(float(1 << 53))
     whole = F.floor("__rate")
     return rated.withColumn("__copies", (whole + (draw < F.col("__rate") - whole).cast("long")).cast("int"))
@@ -238,13 +249,13 @@ def _weighed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], max_
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float = MAX_RATE) -> DataFrame:
     """doc_id, tokens, posteriors, rate and copies, one row per row of docs."""
     narrow, _, plan = _weighed(docs, labels, targets, max_rate)
-    return with_rates(narrow, plan).select("doc_id", *[F.col(c).alias(c[2:]) for c in (*_POSTERIOR, "__rate", "__copies")])
+    return with_copies(with_rates(narrow, plan)).select("doc_id", *[F.col(c).alias(c[2:]) for c in (*_POSTERIOR, "__rate", "__copies")])
 
 
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float = MAX_RATE) -> DataFrame:
     """docs, each row as often as its copies say; the columns stay."""
     _, model, plan = _weighed(docs, labels, targets, max_rate)
-    rated = with_rates(with_posteriors(docs, model), plan).filter("__copies > 0")
+    rated = with_copies(with_posteriors(docs, model, plan)).filter("__copies > 0")
     return rated.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -36,14 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, partitions
+from .common import materialise, partitions, sole
 
 WINDOW = 35
 GRAM = 8
 HOT = 500
 PIECE = 200_000
 MIN_BITS, MAX_BITS = 20, 29
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -158,6 +158,7 @@ def _place(window: int):
     """Segments of each document, as arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole(_HASHES)
         for batch in batches:
             bounds, found = [0], [[] for _ in range(5)]
             for t, text in zip(batch.column(1).to_pylist(), batch.column(2)):
@@ -214,6 +215,7 @@ def _contents(chosen, flood, texts, window: int, hot: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pick, often = chosen.value, flood.value
+        sole(_HASHES)
         for batch in batches:
             batch = batch.filter(pa.array(texts.value.has(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))))
             rows: list[tuple] = []

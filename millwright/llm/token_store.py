@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, partitions
+from .common import fresh_path, partitions, sole
 
 BLOCK_IDS = 1 << 16
 END_ID = 1
@@ -95,7 +95,7 @@ class Pieces(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         if hasattr(self.model, "_resize_cache"):
-            self.model._resize_cache(0)  # no piece comes twice in a row
+            self.model._resize_cache(0)  # pieces are cached here already
         self.letters = _byte_letters()
         # the short way holds for tokenizers that lower-case, drop white space and work on bytes in words
         probe = ["Ab,", "ÉÖß?!", "don't", "x"]
@@ -136,12 +136,16 @@ class Pieces(dict):
                 ids = self._whole(piece)
         if len(self) >= CACHE_PIECES:  # the last generation is kept beside the new one
             self.old = dict(self)
-            self.clear()
+            super().clear()
         self[piece] = ids
         return ids
 
     short = False
 
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -171,7 +175,7 @@ def _writer(path: str, end_id: int, block_ids: int, kind: str, level: int) -> Ca
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, shard, press = pieces(path), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=level)
+        cache, shard, press = sole(pieces(path)), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=level)
         pending: list[bytes] = []
         docs: deque[list] = deque()  # doc_id, row in the shard, ids that no block has yet
         size = row = chunk = first = 0

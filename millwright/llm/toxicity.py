@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import materialise, sole
 
 SAMPLE_ROWS = 20_000
 CANDIDATES = 3_000
@@ -40,7 +40,7 @@ STEMS = (4, 5, 6, 7, 8)
 FAMILIES = 3
 LIMIT = 0.7
 SCOPE = 3
-CACHE_TOKENS = 300_000
+CACHE_TOKENS = 150_000
 
 TARGETS = "you your yours yourself he she they them their tu toi vous votre ton du dich dir euch ihr sie usted ustedes ti vos".split()
 NEGATIONS = "not never no none isn't aren't wasn't don't without nicht kein keine nie niemals ohne pas jamais aucun sans nunca jamás ningún sin".split()
@@ -184,7 +184,7 @@ class Reader(dict):
 
 def _featurise(shared, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value)
+        reader = sole(Reader(shared.value))
         for batch in batches:
             x = [reader.outputs(t.as_py()) for t in batch.column(text_at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x, pa.list_(pa.float64()))], names=[*batch.schema.names, "__x"])

@@ -237,6 +237,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
 
 @F.udf(T.StringType(), useArrow=True)
 def _without(text, spans):
+    if not spans:
+        return text
     raw = text.encode()
     at = [m.span() for m in _WORD.finditer(raw.translate(_FOLD))]
     parts, last = [], 0

@@ -1,0 +1,329 @@
+"""Every training-data operator against brute force, and over awkward rows: nulls, empty and long texts,
+ties, repeated rows, empty tables, further columns with names the operators might use themselves."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from millwright.llm import decontam, html_extract, line_dedup, mixing, quality, sharding, simhash, substring, token_store, toxicity
+from millwright.llm.common import fresh_path
+from millwright.llm.components import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+DIGITS = str.maketrans("0123456789", "abcdefghij")
+
+
+def frame(spark, rows, extra=False):
+    df = spark.createDataFrame([(d, t, "en", s, len(t or "")) for d, t, s in ((*r, "src")[:3] for r in rows)], SCHEMA)
+    if extra:
+        for name in ("h", "t", "k", "n", "a", "b", "fp", "key", "size", "shard", "start", "end", "spans", "item", "score", "rate", "words", "pos"):
+            df = df.withColumn(name, df.lang)
+    return df
+
+
+def words(n, seed, vocabulary=400):
+    rnd = random.Random(seed)
+    return " ".join("w" + str(rnd.randrange(vocabulary)).translate(DIGITS) for _ in range(n))
+
+
+LONG = words(30_000, 5, 5_000)
+AWKWARD = [
+    (1, None), (2, ""), (3, " \t\n\x0b\x0c\r "), (4, "one"), (5, "Two words"), (6, LONG), (7, words(120, 1)), (8, words(120, 1)), (9, words(60, 2) + " " + words(60, 1)),
+    (10, "Größe ÉTÉ 東京 x y <b> & 'q'"), (11, words(60, 1).upper()), (12, "a\n\na\nb"), (13, None),
+]
+ITEMS = [(1, words(30, 1)), (2, "short item"), (3, None), (4, ""), (5, words(10, 2)), (5, words(10, 2)), (11, "Two words")]
+OPERATORS = {
+    "op1": lambda s, d: decontam.op1(d, s.createDataFrame(ITEMS, "item_id long, text string")),
+    "op2": lambda s, d: toxicity.op2(d, s.createDataFrame([], "doc_id long, quality int, toxic int")),
+    "op3": lambda s, d: simhash.op3(d),
+    "op4": lambda s, d: substring.op4(d),
+    "op6": lambda s, d: line_dedup.op6(d),
+    "op7": lambda s, d: quality.op7(d),
+    "op8": lambda s, d: mixing.op8(d, s.createDataFrame([], "doc_id long, quality int, toxic int")),
+    "op9": lambda s, d: sharding.op9(d),
+    "op10": lambda s, d: token_store.op10(d),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_table(spark, name):
+    assert OPERATORS[name](spark, frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_one_row_for_each_row(spark, name):
+    rows = [*AWKWARD, AWKWARD[6], (None, "no id"), (None, None)]
+    df = frame(spark, rows, extra=True)
+    found = OPERATORS[name](spark, df).collect()
+    assert len(found) == len(rows)
+    assert sorted(str(r.doc_id) for r in found) == sorted(str(r[0]) for r in rows)
+
+
+@pytest.mark.parametrize("name", ["decontaminate", "drop_toxic", "near_dedup", "dedup_substrings", "resample"])
+def test_removing_forms_keep_columns(spark, name):
+    df = frame(spark, [*AWKWARD, AWKWARD[6], (None, "no id")], extra=True)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    out = {
+        "decontaminate": lambda: decontam.decontaminate(df, spark.createDataFrame(ITEMS, "item_id long, text string")),
+        "drop_toxic": lambda: toxicity.drop_toxic(df, toxicity.fit(df, none)),
+        "near_dedup": lambda: simhash.near_dedup(df),
+        "dedup_substrings": lambda: substring.dedup_substrings(df),
+        "resample": lambda: mixing.resample(df, none, {}, 1.0),
+    }[name]()
+    assert out.schema == df.schema
+    assert out.count() > 0
+
+
+def test_decontamination(spark):
+    df = frame(spark, AWKWARD)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    found = sorted(map(tuple, decontam.op1(df, items).collect()))
+    assert found == sorted(decontam.brute_force([(d, t) for d, t in AWKWARD], ITEMS))
+    clean = decontam.decontaminate(df, items, max_coverage=1.0)
+    assert decontam.op1(clean, items).filter("contaminated").count() == 0
+    assert clean.filter("doc_id = 10").first().text == AWKWARD[9][1]
+
+
+def test_decontamination_in_shards(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "SHARD_WORDS", 15)
+    df, items = frame(spark, AWKWARD), spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert sorted(map(tuple, decontam.op1(df, items).collect())) == sorted(decontam.brute_force([(d, t) for d, t in AWKWARD], ITEMS))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_automaton_against_windows(seed):
+    rnd = random.Random(seed)
+    text = lambda n: " ".join(rnd.choice("abc") for _ in range(n))
+    items = [(i, text(rnd.randrange(0, 9))) for i in range(6)]
+    docs = [(i, text(rnd.randrange(0, 60))) for i in range(30)]
+    automaton = decontam.Automaton([(str(i), decontam.norm_words(t)) for i, t in items], 4)
+    expected = decontam.brute_force(docs, items, 4)
+    for (_, t), e in zip(docs, expected):
+        spans, found, _ = automaton.scan(decontam.norm_words(t))
+        assert (sum(b - a for a, b in spans), len(found)) == e[2:4]
+
+
+def test_simhash(spark):
+    rows = [(d, t) for d, t in AWKWARD if d != 6] + [(20 + i, words(300, 9, 5000) + f" tail{i % 3}") for i in range(6)]
+    found = sorted(map(tuple, simhash.op3(frame(spark, rows)).collect()))
+    assert found == sorted(simhash.brute_force(rows))
+    kept = simhash.near_dedup(frame(spark, [*rows, rows[5]])).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({r[2] for r in found})
+
+
+@pytest.mark.parametrize("bucket", [50_000, 5])
+def test_links_keep_components_whole(spark, bucket):
+    rnd = random.Random(bucket)
+    prints = {rnd.getrandbits(64) ^ 0 for _ in range(20)}
+    prints |= {p ^ sum(1 << k for k in rnd.sample(range(64), rnd.randint(0, 4))) for p in list(prints) for _ in range(15)}
+    label = {p: p for p in prints}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    listed = sorted(prints)
+    for i, x in enumerate(listed):
+        for y in listed[:i]:
+            if (x ^ y).bit_count() <= 3:
+                label[root(x)] = root(y)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    roots = dict(map(tuple, components(simhash.links(spark.createDataFrame([(signed(p),) for p in prints], "fp long"), bucket)).collect()))
+    groups = [{}, {}]
+    for p in prints:
+        groups[0].setdefault(root(p), set()).add(p)
+        groups[1].setdefault(roots.get(signed(p), signed(p)), set()).add(p)
+    assert sorted(map(sorted, groups[0].values())) == sorted(map(sorted, groups[1].values()))
+
+
+@pytest.mark.parametrize("hot", [500, 1])
+def test_substrings(spark, hot, monkeypatch):
+    monkeypatch.setattr(substring, "PIECE", 50_000)
+    shared = words(80, 77, 3000)
+    rows = [*AWKWARD, *((30 + i, f"{words(40 + i, 100 + i)} {shared} {words(20, 200 + i)}") for i in range(8)), (50, f"{shared} {shared}"), (51, "x " * 90)]
+    found = substring.scan(frame(spark, rows).select("doc_id", "text"), hot=hot).collect()
+    got = sorted((r.doc_id, r["__n_words"], r["__n_removed"], hashlib.sha256(r["__kept"].encode()).hexdigest()) for r in found)
+    assert got == sorted(substring.brute_force(rows))
+
+
+def test_substrings_across_pieces(monkeypatch):
+    text = words(500, 3, 5000).encode().split()
+    whole = [(s.at + a, s.at + b) for s in substring.segments(text, 35) for a, b in zip(s.first, s.last)]
+    monkeypatch.setattr(substring, "PIECE", 70)
+    cut = [w for s in substring.segments(text, 35) for a, b in zip(s.first, s.last) for w in range(s.at + a, s.at + b + 1)]
+    assert cut == list(range(500 - 34)) and whole[0][0] == 0 and whole[-1][1] == 500 - 35
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><div id="cookie-notice">We use cookies</div><nav><a href="/">Home</a></nav><div class="banner">Buy</div>
+<{0}><h1>Head {1}</h1><p>First <b>bold</b> text &amp; more{1}<br>next<p>Site line</p><form>mail <input></form><div class="comments"><p>nice!</p></div></{0}><script>var a="</p>";</script><footer>f</footer></body>"""
+
+
+def test_html(spark):
+    rows = [(i, f"http://h/{i}", PAGE.format("article", i)) for i in (1, 2)] + [(i, f"http://g/{i}?x", PAGE.format("div", i)) for i in (3, 4)] + [(5, None, None), (6, "x", ""), (7, "http://h/9", "<p>a<p>b &#233;  c")]
+    found = {r.page_id: r.text for r in html_extract.op5(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[1] == "Head 1 First bold text & more1 next Site line"  # an article keeps lines that its neighbour has too
+    assert found[3] == "Head 3 First bold text & more3"  # elsewhere shared lines go
+    assert (found[5], found[6], found[7]) == ("", "", "a b é c")
+    assert html_extract.op5(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_common_lines():
+    rnd = random.Random(1)
+    for _ in range(300):
+        a, b = ([rnd.randrange(4) for _ in range(rnd.randrange(12))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert len(html_extract.common_lines(a, b)) == table[-1][-1]
+
+
+def test_lines(spark):
+    line = "  The SAME line of twenty and more\t"
+    rows = [(1, f"{line}\nown"), (2, f"{line.upper()}\n{line}"), (3, line.strip()), (4, None), (5, "short\nshort"), (6, "short"), (7, "short"), (None, line)]
+    found = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert found == {
+        1: (2, 1, "own"), 2: (2, 2, ""), 3: (1, 0, line.strip()), 4: (1, 0, ""), 5: (2, 0, "short\nshort"), 6: (1, 0, "short"), 7: (1, 0, "short"), None: (1, 1, ""),
+    }
+    runs = {r.doc_id: [tuple(x) for x in r.runs] for r in line_dedup.keep_bitmaps(frame(spark, rows)).collect()}
+    assert runs[2] == [(0, 2)] and runs[1] == [(0, 1)] and runs[3] == []
+
+
+def base_brute_force(text):
+    w = (text or "").encode().split()
+    grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    covered = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)}
+    lines = [x for x in (text or "").split("\n") if x.encode().split()]
+    return len(w), sum(len(x.decode()) for x in w), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality(spark):
+    rows = [r for r in AWKWARD if r[0] != 6] + [(40, "a b c " * 20 + words(30, 4)), (41, "x\ny\nx\n\n \n#*$%&|<>")]
+    found = {r.doc_id: tuple(r)[1:6] for r in quality.op7(frame(spark, rows)).collect()}
+    assert found == {d: base_brute_force(t) for d, t in rows}
+
+
+def test_host_verdicts(spark):
+    good, bad = words(80, 3, 5000), "few words"
+    rows = [(i, bad if i % 10 else good, "poor") for i in range(200)] + [(1000 + i, good if i % 10 else bad, "fine") for i in range(200)] + [(5000, good, None)]
+    kept = {r.doc_id for r in quality.op7(frame(spark, rows)).filter("kept").collect()}
+    assert 0 not in kept and {1001, 5000} <= kept and 1000 not in kept
+
+
+def toxic_rows(n=600):
+    rnd = random.Random(2)
+    rows, labels = [], []
+    for i in range(n):
+        text = words(60, 1000 + i, 3000).split()
+        toxic = i % 5 == 0
+        if toxic:
+            for _ in range(3):
+                text.insert(rnd.randrange(len(text)), rnd.choice(["zargo", "blimf"]) if i % 2 else "gronk" + rnd.choice("abcdefgh") + "u")
+        rows.append((i, " ".join(text)))
+        labels.append((i, 1, int(toxic)))
+    return rows, labels
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rows, labels = toxic_rows()
+    df = frame(spark, rows)
+    found = toxicity.op2(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    held = [r for r in found if r.held_out]
+    assert {r.doc_id for r in held} == {d for d, _ in rows if zlib.crc32(str(d).encode()) % 3 == 1}
+    truth = {d: t for d, _, t in labels}
+    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.98
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in found)
+
+
+def test_clause_grammar():
+    reader = toxicity.Reader(toxicity.Model(words={"idiot": 2.0, "scum": 3.0}))
+    assert reader.outputs("What an idiot. Fine day") == [2.0, 0, 0, 0, 0]
+    assert reader.outputs("You are an idiot, an IDIOT") == [0, 2.0, 0, 0, 0]
+    assert reader.outputs("you fine. idiot") == [2.0, 0, 0, 0, 0]
+    assert reader.outputs("he is not an idiot but scum") == [0, 3.0, 2.0, 0, 0]
+    assert reader.outputs("The note said idiot") == [0, 0, 0, 2.0, 0]
+    assert reader.outputs("I will kill you; I will not kill them") == [0, 0, 0, 0, 1.0]
+    assert reader.outputs(None) == [0.0] * 5
+
+
+def test_mixing_reaches_targets(spark):
+    rnd = random.Random(4)
+    rows, labels = [], []
+    for i in range(900):
+        poor = i % 3 == 0
+        w = words(rnd.randrange(30, 120), i, 3000).split()
+        rows.append((i, " | ".join(x + "###" for x in w) if poor else " ".join(w)))
+        if i % 2:
+            labels.append((i, int(not poor), 0))
+    df, known = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = mixing.mix(df, known, {"clean": 1.2, "toxic": 0.0, "poor": 0.25}).toPandas()
+    for d, goal in (("clean", 1.2), ("poor", 0.25)):
+        mass = out.tokens * out[f"p_{d}"]
+        assert (mass * out.rate).sum() / mass.sum() == pytest.approx(goal, abs=0.03)
+    held = out[out.doc_id % 2 == 0]
+    assert ((held.p_poor > 0.5) == (held.doc_id % 3 == 0)).mean() > 0.97
+    assert set(out.copies - np.floor(out.rate)) <= {0, 1}
+    kept = {r.doc_id for r in mixing.resample(df, known, {"clean": 1.05, "toxic": 1.05, "poor": 0.25}, 1.0).collect()}
+    assert all(i in kept for i in range(900) if i % 3) and len([i for i in kept if i % 3 == 0]) < 150
+
+
+def test_sharding(spark):
+    rows = [(i, words(20 + i % 50, i)) for i in range(2000)] + [(5000 + i, "copied text again") for i in range(1000)] + [(9000, LONG), (9001, None)]
+    out = sharding.op9(frame(spark, rows)).toPandas()
+    assert len(out) == len(rows) and set(out.shard) == set(range(16)) and set(out.law) == {"bytes"} and out.grown_shard.isna().all()
+    text = dict(rows)
+    assert all(r.size == len((text[r.doc_id] or "").encode()) + 1 and r.text_crc32 == zlib.crc32((text[r.doc_id] or "").encode()) for r in out.itertuples())
+    for _, own in out.groupby("shard"):
+        assert sorted(own.slot) == list(range(len(own)))
+    sizes = out.groupby("shard")["size"].sum()
+    assert sizes.drop(out[out.doc_id == 9000].shard.iloc[0]).max() < 1.02 * sizes.min()  # one text is more than a shard's share
+
+
+def test_pack_balances_three_sizes():
+    rnd = np.random.default_rng(1)
+    items = np.stack([rnd.lognormal(3, 1, 3000), rnd.lognormal(2, 1, 3000), np.ones(3000)], axis=1)
+    at = sharding.pack(items, 16)
+    for k in range(3):
+        load = np.bincount(at, weights=items[:, k], minlength=16)
+        assert load.max() < 1.05 * load.mean()
+
+
+@pytest.mark.parametrize("kind, block", [("byte", 1 << 16), ("byte", 7), ("bit", 5)])
+def test_token_store_round_trip(spark, kind, block):
+    rows = [(d, t) for d, t in AWKWARD if d != 6] + [(30, "It's DON'T <|endoftext|> Σς\x1c ΑΣ İ x y'll café, ÀÉ!!... 12ab a1 ab_c `q` naïve’s The the, THE")]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    path = fresh_path(spark, "tokens")
+    token_store.write_tokens(frame(spark, rows), path, block_ids=block, kind=kind)
+    ids = {r.doc_id: (r.start, r.n_tokens, bytes(r.ids)) for r in token_store.read_tokens(spark, path).collect()}
+    sums = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_store.digest_tokens(spark, path).collect()}
+    start = 0
+    for d, t in sorted(rows):
+        own = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4").tobytes()
+        assert ids[d] == (start, len(own) // 4, own)
+        assert sums[d] == (start, len(own) // 4, zlib.crc32(own))
+        start += len(own) // 4
+
+
+def test_planes_and_sums():
+    ids = np.random.default_rng(0).integers(0, 1 << 32, 1001, dtype=np.uint32).tobytes()
+    for kind in ("byte", "bit"):
+        assert token_store.from_planes(token_store.to_planes(ids, kind), 1001) == ids
+    for cut in (0, 1, 400, len(ids)):
+        assert token_store.crc_combine(zlib.crc32(ids[:cut]), zlib.crc32(ids[cut:]), len(ids) - cut) == zlib.crc32(ids)
+
+
+def test_pieces_are_the_tokenizers(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    cache = token_store.Pieces(public_tokenizers.path("word_bpe_49k.json"))
+    rnd = random.Random(7)
+    for _ in range(200):
+        text = "".join(rnd.choice("abcABCéÉß ñ.,'!\n\t0123  \x1d東́Σ<|>") for _ in range(rnd.randrange(60)))
+        assert cache.encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(text)

@@ -5,7 +5,8 @@ words stand in three-word windows that occur twice or more in it.  Failures are
 source of a document), the hosts' rates are shrunk towards a beta prior fitted to all hosts by the
 method of moments, and a host whose shrunk rate is over ``host_limit`` takes its other documents down
 with it.  DataFrame functions only; the one shuffle carries a partial sum per task and host, so a host
-with a third of all rows is no hot key.  The table of hosts is joined without a broadcast hint.
+with a third of all rows is no hot key.  Verdicts are joined back by host and a salt, without a broadcast
+hint, for the table of hosts grows with the corpus.
 
 Defined cases: a null text has no words and fails; a null source is the host ''; repeated rows count
 each; an empty table gives an empty table; further columns are ignored.
@@ -22,6 +23,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A shrunk failure rate above this rejects a host.
 HOST_LIMIT = 0.6
+#: Parts a host's documents are dealt into when they meet its verdict.
+SALTS = 64
 
 
 def base_rules(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> DataFrame:
@@ -80,7 +83,9 @@ def judge(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     """One row per document: counts, base_failed, the host's shrunk rate and kept."""
     ruled = base_rules(docs)
     verdicts = host_verdicts(ruled, host_limit).select("host", "shrunk_rate", "host_kept")
-    return ruled.join(verdicts, "host").withColumn("kept", ~F.col("base_failed") & F.col("host_kept"))
+    dealt = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = ruled.withColumn("salt", F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(SALTS)).cast("int"))
+    return salted.join(dealt, ["host", "salt"]).drop("salt").withColumn("kept", ~F.col("base_failed") & F.col("host_kept"))
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -57,4 +57,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": line_dedup.SQL, "op7_quality_rules": quality.SQL}
+    return {"op1_decontamination": decontam.SQL, "op4_substring_dedup": substring.SQL, "op6_line_dedup": line_dedup.SQL, "op7_quality_rules": quality.SQL}

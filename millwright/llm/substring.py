@@ -424,6 +424,18 @@ def op4(docs: DataFrame) -> DataFrame:
     )
 
 
+SQL = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n FROM g) WHERE n > 1),
+ws AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+marked AS (SELECT ws.doc_id, ws.i, ws.word, max(CASE WHEN r.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY ws.doc_id ORDER BY ws.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM ws LEFT JOIN r ON ws.doc_id = r.doc_id AND ws.i = r.i),
+kept AS (SELECT doc_id, sum(gone)::BIGINT AS n, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS t FROM marked GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(kept.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
 def brute_force(rows: list[tuple[int, str | None]], window: int = WINDOW) -> list[tuple]:
     """The same by counting all windows, for tests."""
     seen: dict[tuple, int] = {}

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import fold, lookup, with_entry
 
 RATIO = "decimal(24,12)"
+_NO_METRICS = "array<struct<metric_key:string,value:double,is_available:boolean,reason:string>>"
 
 
 @dataclass(frozen=True)
@@ -149,7 +150,7 @@ class Engine:
             )
         pairs = [x for k, c in frozen.items() for x in (F.lit(k), F.col(c))]
         given = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
-        return out.select(*df.columns, given.alias("inputs"), F.array(*kept).alias("metrics"))
+        return out.select(*df.columns, given.alias("inputs"), (F.array(*kept) if kept else F.array().cast(_NO_METRICS)).alias("metrics"))
 
     def fold_policies(self, inputs: Column, policies: Column, number: str = RATIO) -> Column:
         """The same per row: inputs is a map with folded keys, policies an array of (metric_key, strategy_key, parameters).

@@ -105,3 +105,22 @@ def site_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.substring("o_orderpriority", 1, 1).isin("1", "2", "3"), F.timestamp_add("DAY", F.lit(365), since)).alias("effective_to"),
         F.when(F.col("o_orderkey") % 2 == 0, listed).otherwise(F.slice(listed, 2, 2)).alias("metric_policies"), F.col("o_orderkey").alias("ordinal"),
     )
+
+
+def factories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as factories, their nations as lines, the nations' suppliers as machines."""
+    signal = F.struct(
+        F.lit("state.running").alias("key"), F.lit("running").alias("name"), F.lit("Digital").alias("type"), F.lit("State").alias("category"),
+        F.lit(None).cast("string").alias("unit"), F.lit(True).alias("is_required"),
+    )
+    capability = F.struct(F.lit("milling").alias("key"), F.lit("Milling").alias("name"))
+    machine = F.struct(
+        F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.col("n_nationkey").cast("string").alias("line_id"),
+        F.array(signal).alias("signals"), F.array(capability).alias("capabilities"),
+    )
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    supplied = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    per_line = supplied.groupBy("n_nationkey", "n_name", "n_regionkey").agg(F.sort_array(F.collect_list(machine)).alias("machines"))
+    line = F.struct(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), "machines")
+    per_factory = per_line.join(region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    return per_factory.select(F.col("r_name").alias("name"), "lines")

@@ -5,14 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import catalog
 from ..operators.configuration import is_effective, policy_of, resolve_configurations
 from ..operators.inputs import derive_inputs, quantities
 from ..operators.mapping import map_observations, map_simple, unmapped_observations
-from ..operators.metrics import POLICIES, metrics_long
+from ..operators.metrics import POLICIES, Engine, metrics_long
 from ..operators.state import activity_periods, assemble_snapshots, evaluate_states, transitions
 from ..schemas import SCOPE, schema
 from ..sources import xml
@@ -335,6 +337,62 @@ def s10_cursor_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(trace, "step int, requested int, instance int, next int")
 
 
+@_query("SELECT r_name AS factory, n_name AS line, s_suppkey::VARCHAR AS machine_id, s_name AS machine, 'state.running' AS key FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def d19_machine_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plants = adapter.factories(spark, sf_dir)
+    return catalog.machines(plants).select("factory", "line", "machine_id", "machine", F.explode("signals").alias("s")).select("factory", "line", "machine_id", "machine", "s.key")
+
+
+@_query(
+    f"""WITH {_EV}, a AS (SELECT machine_id, (((hour(ts) + 18) % 24) // 8)::INTEGER AS s, event_id, ts FROM ev WHERE event_type = 'purchase')
+SELECT event_id AS ordinal, machine_id, CASE WHEN s = 2 THEN NULL WHEN ts < TIMESTAMP '2024-01-15' THEN 'op_a' || s ELSE 'op_b' || s END AS assigned_operator FROM a"""
+)
+def d22_operators_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two operators hand over a machine's first two shifts at one moment; the third shift has none."""
+    change = datetime(2024, 1, 15)
+    rows = [("C1", "S1", str(m), str(s), f"op_{who}{s}", start, end) for m in range(adapter.MACHINES) for s in (0, 1) for who, start, end in (("a", datetime(1970, 1, 1), change), ("b", change, None))]
+    assignments = spark.createDataFrame(rows, schema("operator_assignments"))
+    events = adapter._events(spark, sf_dir).filter("event_type = 'purchase'").select(
+        F.lit("C1").alias("company_id"), F.lit("S1").alias("site_id"), "machine_id", shift.shift_number(F.col("ts")).cast("string").alias("shift_id"), "ts", F.col("event_id").alias("ordinal")
+    )
+    return catalog.operators_at(events, assignments, "ts").select("ordinal", "machine_id", "assigned_operator")
+
+
+@_query(
+    f"""WITH {_EV} SELECT error_code, count(*)::BIGINT AS n FROM (SELECT CASE event_type WHEN 'view' THEN 'E2' WHEN 'purchase' THEN 'E3' END AS error_code FROM ev WHERE event_type <> 'signup') GROUP BY ALL"""
+)
+def e_mapping_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views have two mappings and purchases one of another type; the rest passes (null)."""
+    maps = adapter.signal_mappings(spark, signup=False)
+    spoiled = maps.withColumn("type", F.when(F.col("address") == "purchase", "Text").otherwise(F.col("type"))).union(maps.filter("address = 'view'").withColumn("signal_key", F.lit("state.idle")))
+    checked = map_observations(adapter.observations(spark, sf_dir), spoiled, on_error="quarantine")
+    codes = checked.errors.select("error_code").union(checked.rows.select(F.lit(None).cast("string").alias("error_code")))
+    return codes.groupBy("error_code").agg(F.count("*").alias("n"))
+
+
+@_query(
+    f"""WITH {_ME} SELECT machine_id, shift_id, production_date, metric_key, value, reason FROM (
+  SELECT machine_id, shift_id, production_date, 'availability' AS metric_key, a AS value, NULL AS reason, 0 AS odd FROM v
+  UNION ALL SELECT machine_id, shift_id, production_date, 'quality', q, CASE WHEN q IS NULL THEN 'Produced quantity must be greater than zero.' END, 0 FROM v
+  UNION ALL SELECT machine_id, shift_id, production_date, 'oee', NULL, 'Missing input ''availability''.', 1 FROM v
+  UNION ALL SELECT machine_id, shift_id, production_date, 'availability', e, CASE WHEN e IS NULL THEN 'Machine power-on time must be greater than zero.' END, 1 FROM v
+  UNION ALL SELECT machine_id, shift_id, production_date, 'custom', NULL, 'Metric strategy ''house-rule'' is not registered.', 1 FROM v) WHERE machine_id::INTEGER % 2 = odd"""
+)
+def x15_policies_as_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Machines bring their own lists of policies, which are folded row by row."""
+
+    def listed(*pairs: tuple[str, str]) -> Column:
+        return F.array(*[F.struct(F.lit(m).alias("metric_key"), F.lit(s).alias("strategy_key"), F.create_map().cast("map<string,string>").alias("parameters")) for m, s in pairs])
+
+    even = listed(("availability", "apt-over-pot"), ("quality", "good-over-produced"))
+    odd = listed(("oee", "availability-performance-quality"), ("availability", "apt-over-machine-power-on-time"), ("custom", "house-rule"))
+    periods, schedules, entries = _facts(spark, sf_dir)
+    evaluated = shift.evaluate_shifts(periods, schedules, entries, policies=())
+    policies = F.when(F.col("machine_id").cast("int") % 2 == 0, even).otherwise(odd)
+    folded = evaluated.select("machine_id", "shift_id", "production_date", F.explode(Engine().fold_policies(F.col("inputs"), policies, "double")).alias("m"))
+    return folded.select("machine_id", "shift_id", "production_date", "m.metric_key", "m.value", "m.reason")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from millwright.plans import queries as machine
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = ("events", "orders", "lineitem")
+TABLES = ("events", "orders", "lineitem", "supplier", "nation", "region")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the provided tables")
 
 

@@ -92,3 +92,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == sorted((r.machine_id, r.previous_state, r.current_state, r.timestamp) for r in batch.collect())
     got = sorted((r.machine_id, r.state, r.started_at, r.ended_at) for r in out.filter("kind = 'period'").collect())
     assert got == sorted((r.machine_id, r.state, r.started_at, r.ended_at) for r in activity_periods(batch).collect())
+
+
+def test_assembly_of_the_plant(spark):
+    from millwright.operators import catalog
+
+    machine = ("m1", "Mill", "l1", [("state.running", "run", "Digital", "State", None, True)], [("milling", "Milling")])
+    df = spark.createDataFrame([("f", [("l1", "Line", [machine, ("m2", "Lathe", "l1", [], [])])])], schema("factories"))
+    assert [(r.factory, r.line, r.machine_id) for r in catalog.machines(df).orderBy("machine_id").collect()] == [("f", "Line", "m1"), ("f", "Line", "m2")]
+    assert [(r.machine_id, r.key) for r in catalog.signal_definitions(df).collect()] == [("m1", "state.running")]
+    assert [(r.machine_id, r.key) for r in catalog.capabilities(df).collect()] == [("m1", "milling")]
+
+
+def test_operators_change_in_mid_shift(spark):
+    from millwright.operators.catalog import operators_at
+
+    a = spark.createDataFrame([("c", "s", "m", "1", "ann", at(0), at(60)), ("c", "s", "m", "1", "bob", at(60), None)], schema("operator_assignments"))
+    rows = spark.createDataFrame([("c", "s", "m", "1", at(t)) for t in (-1, 0, 59, 60, 500)], "company_id string, site_id string, machine_id string, shift_id string, t timestamp")
+    assert [r.assigned_operator for r in operators_at(rows, a, "t").orderBy("t").collect()] == [None, "ann", "ann", "bob", "bob"]

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import SCOPE
 
 
-def running_time(periods: DataFrame, keys: tuple[str, ...] = ("machine_id", "shift_id", "production_date")) -> DataFrame:
-    """apt_us: time in running periods, whole as they are, by keys."""
-    return periods.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("state") == "Running", F.col("duration_us"))), F.lit(0)).cast("bigint").alias("apt_us"))
+def period_totals(periods: DataFrame, keys: tuple[str, ...] = ("machine_id", "shift_id", "production_date")) -> DataFrame:
+    """By keys, the time in running periods (apt_us) and in all known states (powered_us), whole as they are."""
+
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("duration_us"))), F.lit(0)).cast("bigint")
+
+    return periods.groupBy(*keys).agg(total(F.col("state") == "Running").alias("apt_us"), total(F.col("state") != "Unknown").alias("powered_us"))
 
 
 def quantities(entries: DataFrame, keys: tuple[str, ...] = SCOPE) -> DataFrame:
@@ -24,8 +28,8 @@ def entries_out_of_scope(entries: DataFrame, schedules: DataFrame) -> DataFrame:
     return entries.join(schedules.select(*SCOPE), list(SCOPE), "left_anti")
 
 
-def derive_inputs(schedules: DataFrame, periods: DataFrame, entries: DataFrame, on_error: str = "quarantine") -> DataFrame:
-    """Scope, planned_us, apt_us, produced and good, one row for each schedule.
+def derive_inputs(schedules: DataFrame, periods: DataFrame, entries: DataFrame, on_error: str = "quarantine", powered: bool = False) -> DataFrame:
+    """Scope, planned_us, apt_us, produced and good, one row for each schedule; with powered also powered_us.
 
     Both fact tables are summed before they meet the schedule.  In strict mode an entry outside every
     scheduled scope raises (E6); otherwise see entries_out_of_scope.  Periods need machine_id, shift_id
@@ -37,7 +41,7 @@ def derive_inputs(schedules: DataFrame, periods: DataFrame, entries: DataFrame,
         planned = F.when(F.col("__lost") > 0, F.raise_error(F.lit("E6: a production entry is out of scope")).cast("bigint")).otherwise(F.col("planned_us"))
         base = schedules.join(F.broadcast(lost)).withColumn("planned_us", planned).drop("__lost")
     return (
-        base.join(running_time(periods), ["machine_id", "shift_id", "production_date"], "left")
+        base.join(period_totals(periods), ["machine_id", "shift_id", "production_date"], "left")
         .join(quantities(entries), list(SCOPE), "left")
-        .select(*SCOPE, "planned_us", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("apt_us", "produced", "good")])
+        .select(*SCOPE, "planned_us", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("apt_us", "produced", "good", *["powered_us"] * powered)])
     )

@@ -69,9 +69,9 @@ def _scope(machine: Column, shift: Column, date: Column) -> list[Column]:
 def schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every machine on every production date in every shift: 8 hours less half an hour for each shift number."""
     days = table(spark, sf_dir, "events").select(production_date(F.col("ts").cast("timestamp")).alias("d")).distinct()
-    slots = spark.range(MACHINES).select(F.col("id").cast("string").alias("m"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("s"))
+    slots = days.withColumn("m", F.explode(F.array(*[F.lit(str(m)) for m in range(MACHINES)]))).withColumn("s", F.explode(F.array(*map(F.lit, range(3)))))
     planned = (F.lit(8 * 2) - F.col("s")).cast("bigint") * HALF_HOUR_US
-    return days.join(F.broadcast(slots)).select(*_scope(F.col("m"), F.col("s"), F.col("d")), planned.alias("planned_us"))  # slots: 30 rows
+    return slots.select(*_scope(F.col("m"), F.col("s"), F.col("d")), planned.alias("planned_us"))
 
 
 def production_entries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,11 +49,6 @@ def assign_shifts(rows: DataFrame, at: str, shifts: DataFrame, site: str = "site
     return joined.withColumn("production_date", date).drop("__site", "starts_at", "ends_at")
 
 
-def power_on_time(periods: DataFrame) -> DataFrame:
-    """power_us: the time in all known states, by machine, shift and production date."""
-    return periods.groupBy("machine_id", "shift_id", "production_date").agg(F.sum(F.when(F.col("state") != "Unknown", F.col("duration_us")).otherwise(0)).cast("bigint").alias("power_us"))
-
-
 def shift_periods(snapshots: DataFrame) -> DataFrame:
     """Snapshots to activity periods of the shift and date in which they began, whole as they are."""
     return assign_shift(activity_periods(transitions(evaluate_states(snapshots))), "started_at")
@@ -69,12 +64,12 @@ def evaluate_shifts(periods: DataFrame, schedules: DataFrame, entries: DataFrame
     Additional inputs of the adapter: the reference time `not` is nine tenths of apt, for machines whose
     number isn't a multiple of four; power-on time is the time in known states.
     """
-    base = derive_inputs(schedules, periods, entries).join(power_on_time(periods), ["machine_id", "shift_id", "production_date"], "left")
+    base = derive_inputs(schedules, periods, entries, powered=True)
     apt = _hours(F.col("apt_us"))
     inputs = {"apt": apt, "pot": _hours(F.col("planned_us")), "produced-quantity": F.col("produced"), "good-quantity": F.col("good")}
     additional = {
         "not": F.when(F.col("machine_id").cast("int") % 4 != 0, apt * F.lit(0.9)),
-        "machine-power-on-time": _hours(F.coalesce("power_us", F.lit(0))),
+        "machine-power-on-time": _hours(F.col("powered_us")),
     }
     return (engine or Engine()).evaluate(base, inputs, additional, policies).select(*SCOPE, "inputs", "metrics")
 

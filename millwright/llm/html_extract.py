@@ -40,9 +40,11 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kb
 MAIN = frozenset(("article", "main"))
 #: Words in class, id and role that name what is no main text.
 NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|widget|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscri\w+|comments?|disqus|replies|respond|related|share|social|search|login|pagination|pager|skip)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|footer|sidebar|aside|widget|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscri\w+|comments?|disqus|replies|respond|related|share|social|search|login|pagination|pager|skip)(?:$|[\s_-])",
     re.I,
 )
+#: The same outside an article, whose own header is part of it.
+HEADS = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=/])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -123,7 +125,10 @@ def read_lines(html: str | None) -> list[Line]:
         own = " ".join(x.strip("\"'") for x in _NAMES.findall(m[3])) if m[3] else ""
         in_main = state[1] or name in MAIN
         # a header inside an article is the article's own
-        framed = state[2] or (name in FRAMES and not (name in ("header", "label", "figcaption") and state[1])) or bool(own and name not in ("html", "body", "article", "main") and NAMED.search(own)) or bool(m[3] and _HIDDEN.search(m[3]))
+        framed = state[2] or name in FRAMES and not (state[1] and name in ("header", "label", "figcaption"))
+        if own and name not in ("html", "body", "article", "main"):
+            framed = framed or bool(NAMED.search(own)) or not state[1] and bool(HEADS.search(own))
+        framed = framed or bool(m[3] and _HIDDEN.search(m[3]))
         entry = (name, in_main, framed, state[3] or name == "a")
         if not m[3].rstrip().endswith("/") or name in INLINE:
             stack.append(entry)

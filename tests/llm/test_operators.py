@@ -175,6 +175,11 @@ def test_html(spark):
     assert html_extract.op5(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_headers_of_articles_and_of_pages():
+    page = '<div class="site-header">Site</div><main><div class="post-header"><h1>Title</h1></div><p>Text<aside>side</aside><p hidden>no</p><ul class="share"><li>x</ul></main>'
+    assert html_extract.main_text(html_extract.read_lines(page), None) == "Title Text"
+
+
 def test_common_lines():
     rnd = random.Random(1)
     for _ in range(300):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import bounded_batches, materialise
 
 WINDOW = 10
 MAX_COVERAGE = 0.5
@@ -187,7 +187,7 @@ def _scanner(shared, text_at: int):
 
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with __n_words, __spans (hit words, end excluded), __items (ids as sorted strings), __longest."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     schema = T.StructType(docs.schema.fields + [f for f in T._parse_datatype_string(_FOUND.replace("n_words", "__n_words").replace("spans", "__spans").replace("items", "__items").replace("longest_match", "__longest")).fields])
     shards = _shards(items, window)
     at = docs.columns.index("text")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, sole
+from .common import bounded_batches, materialise, sole
 
 DOMAINS = ("clean", "toxic", "poor")
 #: Target totals as multiples of what a domain has.
@@ -131,9 +131,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Classi
     own = labels.filter("doc_id is not null and (quality is not null or toxic is not null)")
     own = own.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("x")).select("doc_id", domain(F.col("q"), F.col("x")).alias("y"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("y", "text").mapInArrow(_featurise, "y int, shape array<double>, buckets array<int>").collect()
-    shapes = np.array([r["shape"] for r in rows], dtype=float).reshape(-1, SHAPES)
-    return fit_classifier(shapes, [np.array(r["buckets"], dtype=np.int64) for r in rows], np.array([r["y"] for r in rows], dtype=np.int64))
+    labelled = bounded_batches(docs).select("doc_id", "text").join(F.broadcast(own), "doc_id").select("y", "text")  # at most sample rows
+    rows = labelled.mapInArrow(_featurise, "y int, shape array<double>, buckets array<int>").toArrow().combine_chunks()
+    shapes = rows["shape"].combine_chunks().flatten().to_numpy().reshape(-1, SHAPES)
+    lists = rows["buckets"].combine_chunks()
+    cuts = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1] if len(lists) else []
+    buckets = np.split(lists.flatten().to_numpy(), cuts) if len(lists) else []
+    return fit_classifier(shapes, buckets, rows["y"].to_numpy().astype(np.int64))
 
 
 def _posteriors(shared, text_at: int, plan=None):
@@ -159,7 +163,7 @@ def with_posteriors(docs: DataFrame, model: Classifier, plan: Plan | None = None
     share = docs.sparkSession.sparkContext.broadcast
     added = [T.StructField(c, T.LongType() if c == "__tokens" else T.DoubleType()) for c in _POSTERIOR + ["__rate"] * bool(plan)]
     run = _posteriors(share(model), docs.columns.index("text"), share(plan) if plan else None)
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields + added))
+    return bounded_batches(docs).mapInArrow(run, T.StructType(docs.schema.fields + added))
 
 
 @dataclass

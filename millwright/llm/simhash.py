@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, partitions
+from .common import bounded_batches, materialise, partitions
 from .components import components
 
 SHINGLE = 3
@@ -70,7 +70,7 @@ def _prints(text_at: int):
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
     """docs with __fp."""
-    return docs.mapInArrow(_prints(docs.columns.index("text")), T.StructType(docs.schema.fields + [T.StructField("__fp", T.LongType())]))
+    return bounded_batches(docs).mapInArrow(_prints(docs.columns.index("text")), T.StructType(docs.schema.fields + [T.StructField("__fp", T.LongType())]))
 
 
 def _keys(prints: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, partitions, sole
+from .common import bounded_batches, fresh_path, partitions, sole
 
 BLOCK_IDS = 1 << 16
 END_ID = 1
@@ -88,10 +88,11 @@ class Pieces(dict):
     letters, in lower case, and the rest; both are looked up or given to the model by themselves.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.limit = limit
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         if hasattr(self.model, "_resize_cache"):
@@ -134,7 +135,7 @@ class Pieces(dict):
                         return ids
             else:
                 ids = self._whole(piece)
-        if len(self) >= CACHE_PIECES:  # the last generation is kept beside the new one
+        if len(self) >= self.limit:  # the last generation is kept beside the new one
             self.old = dict(self)
             super().clear()
         self[piece] = ids
@@ -156,10 +157,11 @@ class Pieces(dict):
 _PIECES: dict[str, Pieces] = {}
 
 
-def pieces(path: str) -> Pieces:
+def pieces(path: str, limit: int) -> Pieces:
     """One per worker process; worker processes serve many tasks."""
     if path not in _PIECES:
-        _PIECES[path] = Pieces(path)
+        _PIECES[path] = Pieces(path, limit)
+    _PIECES[path].limit = limit
     return _PIECES[path]
 
 
@@ -171,11 +173,11 @@ _ARROW = pa.schema(
 )
 
 
-def _writer(path: str, end_id: int, block_ids: int, kind: str, level: int) -> Callable:
+def _writer(path: str, end_id: int, block_ids: int, kind: str, level: int, cache: int) -> Callable:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, shard, press = sole(pieces(path)), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=level)
+        known, shard, press = sole(pieces(path, cache)), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=level)
         pending: list[bytes] = []
         docs: deque[list] = deque()  # doc_id, row in the shard, ids that no block has yet
         size = row = chunk = first = 0
@@ -199,7 +201,7 @@ def _writer(path: str, end_id: int, block_ids: int, kind: str, level: int) -> Ca
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = cache.encode(text.as_py()) + end
+                ids = known.encode(text.as_py()) + end
                 pending.append(ids)
                 size += len(ids)
                 docs.append([doc, row, len(ids) // 4])
@@ -213,14 +215,15 @@ def _writer(path: str, end_id: int, block_ids: int, kind: str, level: int) -> Ca
 
 
 def write_tokens(
-    docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS, kind: str = "byte", level: int = LEVEL
-) -> None:
-    """Writes docs (doc_id, text) as a token store at path."""
+    docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS, kind: str = "byte", level: int = LEVEL,
+    cache_pieces: int = CACHE_PIECES,
+) -> None:
+    """Writes docs (doc_id, text) as a token store at path; a worker caches twice cache_pieces pieces at most."""
     # ids are written as array('I'), which is 32 bits wide and little-endian wherever Spark runs
     tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(docs.sparkSession), "doc_id")
+    ordered = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(docs.sparkSession), "doc_id")
     ordered = ordered.withColumn("h", F.xxhash64("text")).sortWithinPartitions("doc_id", "h").drop("h")
-    ordered.mapInArrow(_writer(tokenizer, end_id, block_ids, kind, level), SCHEMA).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(_writer(tokenizer, end_id, block_ids, kind, level, cache_pieces), SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bytes]]:
@@ -308,7 +311,7 @@ def crc_combine(a: int, b: int, n: int) -> int:
     return times(a, power) ^ b
 
 
-def op10(docs: DataFrame) -> DataFrame:
+def op10(docs: DataFrame, **options) -> DataFrame:
     path = fresh_path(docs.sparkSession, "tokens")
-    write_tokens(docs, path)
+    write_tokens(docs, path, **options)
     return digest_tokens(docs.sparkSession, path)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, sole
+from .common import bounded_batches, materialise, sole
 
 SAMPLE_ROWS = 20_000
 CANDIDATES = 3_000
@@ -288,7 +288,7 @@ def pick(names: list[str], a: np.ndarray, b: np.ndarray, toxic: np.ndarray, has:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model:
     spark, context = docs.sparkSession, docs.sparkSession.sparkContext
-    sampled = materialise(training_rows(docs, labels, sample), "toxicity-sample")
+    sampled = materialise(training_rows(bounded_batches(docs), labels, sample), "toxicity-sample")
     rows, counts = _counts(sampled)
     size = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("a"), F.count("*").alias("n")).first()
     n_toxic, n_clean = int(size["a"]), int(size["n"]) - int(size["a"])
@@ -297,11 +297,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model:
         odds = F.log((F.col("a") + 0.5) / (n_toxic + 1)) - F.log((F.col("n") - F.col("a") + 0.5) / (n_clean + 1))
         best = counts.filter("a >= 2").withColumn("odds", odds).filter("odds > 1").orderBy(F.desc(F.col("a") * F.col("odds")), "f").limit(CANDIDATES).collect()
         names = [r["f"] for r in best]
-        found = rows.mapInArrow(_matches(context.broadcast({f: i for i, f in enumerate(names)})), "toxic int, found array<int>").collect()
-        has = np.zeros((len(found), len(names)), dtype=bool)
-        for i, r in enumerate(found):
-            has[i, r["found"]] = True
-        toxic = np.array([r["toxic"] == 1 for r in found], dtype=bool)
+        found = rows.mapInArrow(_matches(context.broadcast({f: i for i, f in enumerate(names)})), "toxic int, found array<int>").toArrow()
+        lists = found["found"].combine_chunks()
+        has = np.zeros((len(lists), len(names)), dtype=bool)
+        has[np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy()] = True
+        toxic = found["toxic"].to_numpy() == 1
         a, b = (np.array([r[k] for r in best], dtype=np.int64).reshape(-1) for k in ("a", "n"))
         chosen = pick(names, a, b - a, toxic, has)
         share = n_toxic / n_clean
@@ -321,9 +321,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model:
                     model.words[r["word"]] = float(np.log(odds_w))
     for w in SEEDS:
         model.words.setdefault(w, SEED_WEIGHT)
-    x = sampled.mapInArrow(_featurise(context.broadcast(model), 1), "toxic int, text string, __x array<double>").select("toxic", "__x").collect()
+    x = sampled.mapInArrow(_featurise(context.broadcast(model), 1), "toxic int, text string, __x array<double>").select("toxic", "__x").toArrow()
     if n_toxic and n_clean:
-        model.coefficients = _logistic(np.array([[1.0, *r["__x"]] for r in x]), np.array([r["toxic"] for r in x], dtype=float))
+        outputs = x["__x"].combine_chunks().flatten().to_numpy().reshape(-1, OUTPUTS)
+        model.coefficients = _logistic(np.hstack([np.ones((len(outputs), 1)), outputs]), x["toxic"].to_numpy().astype(float))
     return model
 
 
@@ -346,7 +347,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with __score, the probability that a text is toxic."""
     schema = T.StructType(docs.schema.fields + [T.StructField("__score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_scorer(shared, docs.columns.index("text")), schema)
+    return bounded_batches(docs).mapInArrow(_scorer(shared, docs.columns.index("text")), schema)
 
 
 def drop_toxic(docs: DataFrame, model: Model, limit: float = LIMIT) -> DataFrame:

@@ -1,11 +1,12 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
 Groups are equal texts.  A group whose share of bytes, tokens or rows is over ``1/cells`` of the whole
-is an item of its own, cut by a hash of doc_id into parts of about that share if it is larger; all
-smaller groups are hashed into ``cells`` items.  The number of items is bounded by ``parts`` of at most
-7 x cells whatever the input, so that the packing itself, a loop over items in order of size, runs on the
-driver over a few thousand vectors: each goes to the shard where its dot product with the residual
-capacity is highest.  Items then move between shards while that evens out bytes.
+is an item of its own; all smaller groups are hashed into ``cells`` items.  Only a group that is over a
+quarter of a shard is cut, by a hash of doc_id, into parts of about that size; all others stay together.
+So there are at most 4 x cells + 12 x shards items whatever the input, and the packing itself, a loop over
+items in order of size, runs on the driver over a few thousand vectors: each goes to the shard where its
+dot product with the residual capacity is highest.  Items then move between shards while that evens out
+bytes.
 
 Law: ``bytes`` (sizes near equal).  Slots are numbered gapless in each shard in two levels: a row number
 inside small sub-buckets, plus the sub-buckets' offsets.
@@ -50,12 +51,17 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
         left[k] -= unit[i]
     load = np.bincount(at, weights=items[:, 0], minlength=shards)
     size = items[:, 0]
-    for _ in range(len(items)):  # a pass at most for each item
-        high, low = int(load.argmax()), int(load.argmin())
+    stuck: set[int] = set()  # shards that no item can leave with a gain
+    for _ in range(2 * len(items)):
+        low = int(load.argmin())
+        high = max((k for k in range(shards) if k not in stuck), key=load.__getitem__, default=low)
         gap = load[high] - load[low]
+        if high == low or gap <= 0:
+            break
         mine = np.flatnonzero((at == high) & (size > 0) & (size < gap))
         if not len(mine):
-            break
+            stuck.add(high)
+            continue
         i = mine[np.argmin(np.abs(size[mine] - gap / 2))]
         at[i] = low
         load[high] -= size[i]
@@ -73,7 +79,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, cells: int = CELLS) -> DataFra
     total = [float(whole[c] or 0) for c in ("size", "tokens", "n")]
     share = F.greatest(*[F.col(c) * (cells / max(t, 1.0)) for c, t in zip(("size", "tokens", "n"), total)])
     # at most 3 x cells groups can hold over 1/cells of one of three sums
-    large = {r["g"]: int(r["parts"]) for r in groups.filter(share > 1).select("g", F.ceil(share).alias("parts")).collect()}
+    large = {r["g"]: int(r["parts"]) for r in groups.filter(share > 1).select("g", F.ceil(share * (4.0 * shards / cells)).alias("parts")).collect()}
     listed = spark.createDataFrame(list(large.items()), "g long, parts int")
     placed = rows.join(F.broadcast(listed), "g", "left").withColumn(
         "part", F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id", "g"), F.col("parts")).cast("int"))

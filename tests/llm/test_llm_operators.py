@@ -281,13 +281,15 @@ def test_mixing_reaches_targets(spark):
 
 
 def test_sharding(spark):
-    rows = [(i, words(20 + i % 50, i)) for i in range(2000)] + [(5000 + i, "copied text again") for i in range(1000)] + [(9000, LONG), (9001, None)]
+    rows = [(i, words(20 + i % 50, i)) for i in range(2000)] + [(5000 + i, "copied text again") for i in range(1000)] + [(7000 + i, words(20 + (100 + i) % 50, 100 + i)) for i in range(10)] + [(9000, LONG), (9001, None)]
     out = sharding.op9(frame(spark, rows)).toPandas()
     assert len(out) == len(rows) and set(out.shard) == set(range(16)) and set(out.law) == {"bytes"} and out.grown_shard.isna().all()
     text = dict(rows)
     assert all(r.size == len((text[r.doc_id] or "").encode()) + 1 and r.text_crc32 == zlib.crc32((text[r.doc_id] or "").encode()) for r in out.itertuples())
     for _, own in out.groupby("shard"):
         assert sorted(own.slot) == list(range(len(own)))
+    copies = out[out.doc_id.between(100, 109) | out.doc_id.between(7000, 7009)]
+    assert copies.groupby("text_crc32").shard.nunique().max() == 1  # a small group stays together
     sizes = out.groupby("shard")["size"].sum()
     assert sizes.drop(out[out.doc_id == 9000].shard.iloc[0]).max() < 1.02 * sizes.min()  # one text is more than a shard's share
 

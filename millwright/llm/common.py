@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,4 +73,5 @@ def sole(cache: dict) -> dict:
         if other is not cache:
             other.clear()
     _CACHES[:] = [cache]
+    pa.default_memory_pool().release_unused()  # what earlier tasks' batches took
     return cache

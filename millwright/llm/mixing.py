@@ -40,7 +40,7 @@ SAMPLE_ROWS = 10_000
 BUCKETS = 1 << 12
 SHAPES = 12
 STEPS = 30
-CACHE_WORDS = 150_000
+CACHE_WORDS = 60_000
 
 
 class _Buckets(dict):

@@ -40,7 +40,7 @@ STEMS = (4, 5, 6, 7, 8)
 FAMILIES = 3
 LIMIT = 0.7
 SCOPE = 3
-CACHE_TOKENS = 150_000
+CACHE_TOKENS = 80_000
 
 TARGETS = "you your yours yourself he she they them their tu toi vous votre ton du dich dir euch ihr sie usted ustedes ti vos".split()
 NEGATIONS = "not never no none isn't aren't wasn't don't without nicht kein keine nie niemals ohne pas jamais aucun sans nunca jamás ningún sin".split()

@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -118,6 +119,40 @@ def test_simhash(spark):
     assert sorted(r.doc_id for r in kept) == sorted({r[2] for r in found})
 
 
+def test_near_copies_against_all_pairs(spark):
+    """The pipeline's stage: components of the pairs at 0.8 or more of five-word shingles, by brute force."""
+    rnd = random.Random(8)
+    rows = [*AWKWARD, AWKWARD[6], (None, "no id"), (None, None)]
+    for base in range(12):
+        own = words(rnd.randrange(60, 500), 900 + base, 5000).split()
+        for i in range(6):
+            edited = list(own)
+            for _ in range(round(len(own) * rnd.choice((0.0, 0.01, 0.02, 0.03)))):
+                edited[rnd.randrange(len(own))] = f"new{rnd.randrange(10**6)}"
+            rows.append((1000 + 100 * base + i, " ".join(edited)))
+    rows += [(5000 + i, "\n ".join([*words(300, 950, 5000).split(), f"tail{i}"])) for i in range(60)]  # a hot group
+
+    def shingled(text):
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    texts = list({t or "" for _, t in rows})
+    sets, label = [shingled(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]) and label[i] != label[j]:
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    least = {}
+    for d, t in rows:
+        least.setdefault(label[texts.index(t or "")], []).append(d)
+    expected = sorted(min((x for x in ids if x is not None), default=-1) for ids in least.values())
+    out = corpus_pipeline.near_dedup(spark, frame(spark, rows, extra=True), "")
+    assert out.schema == frame(spark, rows, extra=True).schema
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in out.collect()) == expected
+    assert corpus_pipeline.near_dedup(spark, frame(spark, []), "").count() == 0
+
+
 @pytest.mark.parametrize("bucket", [50_000, 5])
 def test_links_keep_components_whole(spark, bucket):
     rnd = random.Random(bucket)

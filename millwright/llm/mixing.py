@@ -2,10 +2,12 @@
 
 A classifier fitted to the labels table gives each document posteriors over domains (``DOMAINS``: good
 clean text, toxic text, poor text).  Rates r, between 0 and ``max_rate``, minimise the squared gaps
-between expected domain totals, the sums of r x tokens x posterior, and target totals.  The gradient for
-a document needs the domains' gaps alone, so an accelerated projected-gradient step is one pass over a
-narrow written table that returns one small sum for each task; a document's rate is a function of its
-posteriors and the gaps of the steps so far, and is computed again wherever it is needed, so that no state
+between expected domain totals, the sums of r x tokens x posterior, and target totals; of all rates that do,
+those nearest to 1 are taken.  By duality a rate is 1 plus the posteriors' product with one weight a domain,
+clipped, so only these few weights are solved for: by Newton steps, each one pass over a narrow written table
+that returns sums for the step and shorter ones, until every domain's gradient is below ``TOLERANCE`` of its
+own goal, be its share of the tokens ever so small.  The pull towards 1 is lowered step by step to ``PULL`` of
+the rarest domain's share.  Rates are computed again wherever they are needed, so that no state
 is kept on executors.  A rate becomes copies: its whole part, and one more with its fraction as the
 probability, decided by a hash of doc_id.
 
@@ -20,6 +22,7 @@ gives an empty table; further columns pass through ``resample`` untouched.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +42,11 @@ MAX_RATE = 4.0
 SAMPLE_ROWS = 10_000
 BUCKETS = 1 << 12
 SHAPES = 12
-STEPS = 30
+PASSES = 200  # a bound for safety, told when met; 10 to 25 are usual
+TOLERANCE = 1e-3
+PULL = 1e-4
+#: Lengths tried of each Newton step.
+LENGTHS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01)
 CACHE_WORDS = 60_000
 
 
@@ -149,7 +156,7 @@ def _posteriors(shared, text_at: int, plan=None):
             found = [features(t.as_py()) for t in batch.column(text_at)]
             p = np.array([shared.value.posterior(s, b) for _, s, b in found]).reshape(-1, len(DOMAINS))
             extra = [pa.array([n for n, _, _ in found], pa.int64()), *(pa.array(p[:, k]) for k in range(len(DOMAINS)))]
-            rate = [pa.array(plan.value.rates(p)[0])] if plan else []
+            rate = [pa.array(plan.value.rates(p))] if plan else []
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra, *rate], names=[*batch.schema.names, *_POSTERIOR, *["__rate"] * len(rate)])
 
     return run
@@ -168,57 +175,76 @@ def with_posteriors(docs: DataFrame, model: Classifier, plan: Plan | None = None
 
 @dataclass
 class Plan:
-    """Gaps of the steps so far; from them any document's rate follows."""
+    """A weight for each domain; from them any document's rate follows."""
 
-    gaps: list[np.ndarray]
-    step: float
+    weights: np.ndarray
     max_rate: float
 
-    def rates(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of documents with posteriors p: their rates, and the extrapolated point of the next step."""
-        rate = ahead = np.minimum(np.ones(len(p)), self.max_rate)
-        for k, gap in enumerate(self.gaps, 1):
-            before, rate = rate, np.clip(ahead - self.step * (p @ gap), 0.0, self.max_rate)
-            ahead = rate + (k - 1) / (k + 2) * (rate - before)
-        return rate, ahead
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        """Of documents with posteriors p."""
+        return np.clip(1 + p @ self.weights, 0.0, self.max_rate)
 
 
-def _totals(plan: Plan):
+def _totals(tried: list[Plan]):
+    """Of each plan: the dual's value without its linear part, domain totals, and curvature (_SUMS, in this order)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ahead = np.zeros(len(DOMAINS)), np.zeros(len(DOMAINS))
+        sums = np.zeros((len(tried), len(_SUMS)))
         for batch in batches:
             tokens, *p = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(1 + len(DOMAINS)))
             p = np.stack(p, axis=1)
-            rate, next_ = plan.rates(p)
-            now += (rate * tokens) @ p
-            ahead += (next_ * tokens) @ p
-        yield pa.RecordBatch.from_pydict({"d": pa.array(range(len(DOMAINS)), pa.int32()), "now": pa.array(now), "ahead": pa.array(ahead)})
+            for own, plan in zip(sums, tried):
+                z, rate = p @ plan.weights, plan.rates(p)
+                free = (1 + z > 0) & (1 + z < plan.max_rate)
+                own[0] += (tokens * (rate * z - (rate - 1) ** 2 / 2)).sum()
+                own[1 : 1 + len(DOMAINS)] += (rate * tokens) @ p
+                own[1 + len(DOMAINS) :] += ((p[free] * tokens[free, None]).T @ p[free]).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(tried)), pa.int32()), *(pa.array(c) for c in sums.T)], names=["plan", *_SUMS])
 
     return run
 
 
-def solve(rows: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float = MAX_RATE, steps: int = STEPS) -> Plan:
+_SUMS = ["value", *(f"total_{d}" for d in DOMAINS), *(f"curve_{d}_{e}" for d in DOMAINS for e in DOMAINS)]
+
+
+def solve(rows: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float = MAX_RATE, passes: int = PASSES) -> Plan:
     """The plan whose rates bring rows (the columns of with_posteriors) to the targets, multiples of what domains have."""
     narrow = rows.select(*_POSTERIOR)
+    size = len(DOMAINS)
     has = narrow.agg(F.sum("__tokens").alias("all"), *[F.sum(F.col("__tokens") * F.col(f"__p_{d}")).alias(d) for d in DOMAINS]).first()
     whole = float(has["all"] or 0)
-    plan = Plan([], 1.0, max_rate)
+    tried = [Plan(np.zeros(size), max_rate)]
     if not whole:
-        return plan
-    goal = np.array([targets.get(d, 1.0) * has[d] for d in DOMAINS])
-    last = None
-    for _ in range(steps):
-        # the curvature is at most 1, as posteriors add up to 1 and tokens are in shares of the whole
-        sums = narrow.mapInArrow(_totals(plan), "d int, now double, ahead double").groupBy("d").agg(F.sum("now").alias("now"), F.sum("ahead").alias("ahead")).collect()
-        ahead = np.zeros(len(DOMAINS))
-        for r in sums:
-            ahead[r["d"]] = r["ahead"]
-        gap = (ahead - goal) / whole
-        if last is not None and np.abs(gap - last).max() < 1e-7:
-            break
-        plan.gaps.append(gap)
-        last = gap
-    return plan
+        return tried[0]
+    own = np.array([has[d] for d in DOMAINS]) / whole
+    goal = np.array([targets.get(d, 1.0) for d in DOMAINS]) * own
+    small = TOLERANCE * np.maximum(goal, TOLERANCE * own)
+    last = PULL * own[own > 0].min()
+    pull = 1.0
+    for _ in range(passes):
+        schema = ", ".join(["plan int", *(f"{c} double" for c in _SUMS)])
+        found = {r["plan"]: np.array(r[1:]) / whole for r in narrow.mapInArrow(_totals(tried), schema).groupBy("plan").agg(*[F.sum(c).alias(c) for c in _SUMS]).collect()}
+        weights = [x.weights for x in tried]
+        slopes = [found[i][1 : 1 + size] - goal + pull * w for i, w in enumerate(weights)]
+        values = [found[i][0] - goal @ w + pull / 2 * w @ w for i, w in enumerate(weights)]
+        best = int(np.argmin(values))
+        if best == 0 and len(tried) > 1:  # values differ by rounding alone: the slopes decide
+            best = int(np.argmin([np.abs(g / np.maximum(small, 1e-300)).max() for g in slopes]))
+        stalled = best == 0 and len(tried) > 1
+        plan, slope = tried[best], slopes[best]
+        while stalled or (np.abs(slope) <= small).all():
+            if pull <= last:
+                if (np.abs(slope) > small).any():
+                    warnings.warn(f"mixing: stopped by rounding at relative gradients {np.abs(slope) / np.maximum(small, 1e-300) * TOLERANCE}")
+                return plan
+            stalled = False
+            slope = slope - pull * plan.weights
+            pull = max(last, pull / 10)
+            slope = slope + pull * plan.weights
+        step = np.linalg.solve(found[best][1 + size :].reshape(size, size) + pull * np.eye(size), -slope)
+        tried = [plan, *(Plan(plan.weights + length * step, max_rate) for length in LENGTHS)]
+    warnings.warn(f"mixing: not solved within {passes} passes, relative gradients {np.abs(slope) / np.maximum(small, 1e-300) * TOLERANCE}")
+    return tried[0]
 
 
 def _rated(shared):
@@ -226,7 +252,7 @@ def _rated(shared):
         k = len(DOMAINS)
         for batch in batches:
             p = np.stack([batch.column(batch.num_columns - k + i).to_numpy(zero_copy_only=False) for i in range(k)], axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.rates(p)[0])], names=[*batch.schema.names, "__rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.rates(p))], names=[*batch.schema.names, "__rate"])
 
     return run
 

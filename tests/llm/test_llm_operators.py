@@ -315,6 +315,18 @@ def test_mixing_reaches_targets(spark):
     assert all(i in kept for i in range(900) if i % 3) and len([i for i in kept if i % 3 == 0]) < 150
 
 
+@pytest.mark.parametrize("max_rate, targets", [(4.0, {"clean": 1.2, "toxic": 0.05, "poor": 0.25}), (1.0, {"clean": 1.05, "toxic": 1.05, "poor": 0.25})])
+def test_mixing_reaches_targets_of_rare_domains(spark, max_rate, targets):
+    """Toxic and poor text have 0.1 % of the tokens each."""
+    names = ["__tokens", *(f"__p_{d}" for d in mixing.DOMAINS)]
+    rows = [(100, *(float(k == (1 if i < 10 else 2 if i < 20 else 0)) for k in range(3))) for i in range(10_000)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c == '__tokens' else 'double'}" for c in names))
+    out = mixing.with_rates(df, mixing.solve(df, targets, max_rate)).toPandas()
+    for d, goal in targets.items():
+        mass = out["__tokens"] * out[f"__p_{d}"]
+        assert (mass * out["__rate"]).sum() / mass.sum() == pytest.approx(min(goal, max_rate), rel=0.01)
+
+
 def test_sharding(spark):
     rows = [(i, words(20 + i % 50, i)) for i in range(2000)] + [(5000 + i, "copied text again") for i in range(1000)] + [(7000 + i, words(20 + (100 + i) % 50, 100 + i)) for i in range(10)] + [(9000, LONG), (9001, None)]
     out = sharding.op9(frame(spark, rows)).toPandas()

@@ -179,7 +179,7 @@ def common_lines(a: list[int], b: list[int]) -> set[int]:
 def main_text(lines: list[Line], neighbour: list[int] | None) -> str:
     """The lines that stay, joined by one space; neighbour has the neighbouring page's line hashes."""
     shared = common_lines([line_hash(x.text) for x in lines], neighbour) if neighbour else set()
-    has_main = any(x.in_main for x in lines)
+    has_main = any(x.in_main and not x.framed for x in lines)  # comments and cards may be articles too
     kept = []
     for i, x in enumerate(lines):
         if x.framed:

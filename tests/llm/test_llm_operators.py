@@ -215,6 +215,11 @@ def test_headers_of_articles_and_of_pages():
     assert html_extract.main_text(html_extract.read_lines(page), None) == "Title Text"
 
 
+@pytest.mark.parametrize("cards", ['<section class="comments"><article><p>nice</p></article></section>', '<aside><article><h3>Card</h3></article></aside>'])
+def test_framed_articles_are_not_the_main_text(cards):
+    assert html_extract.main_text(html_extract.read_lines(f"<div><p>Text</p></div>{cards}"), None) == "Text"
+
+
 def test_common_lines():
     rnd = random.Random(1)
     for _ in range(300):

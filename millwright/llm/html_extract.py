@@ -1,35 +1,40 @@
 """Main-text extraction by differencing each page with its nearest neighbour by URL.
 
-Pages of a host are ordered by URL path and each is paired with its neighbour before it (the first one
-with that behind it).  A page is read into text lines (blocks); the two pages' lines are aligned by their
-longest common subsequence, and lines in both are what the host's template prints: they go.  Two things
-bound that.  Lines inside the page's article element are the author's whatever else repeats them, so a
-shared line there stays; and what the markup itself names as menu, header, footer, sidebar, notice,
-advert, form, script, style or comment goes whether its neighbour has it or not.  A page without an
-article or main element is judged by its neighbour and by link density alone.
-
-A host may hold a third of all pages, so pages are range-partitioned by host, path and page_id and
-streamed in that order: a host spans as many tasks as it fills, and a task holds two pages' lines at a
-time.  The first page of a host in a task takes the page behind it as its neighbour.
+Pages of a host are ordered by URL path.  Of the pages before and behind it, a page's neighbour is the
+one whose path shares the longer beginning with its own (the one before, if both do).  Pages are read
+into text lines (blocks), the two pages' lines are aligned by their longest common subsequence, and lines
+in both are what the host's template prints: they go.  What the page itself says bounds that.  What the
+markup names as menu, header, footer, sidebar, notice, advert, form, script, style or comment goes whether
+the neighbour has it or not.  In the page's article element a shared line goes unless it is a heading, ends
+as a sentence or has over ``NOTICE_WORDS`` words, and none goes if over half of the article is shared: then
+the two pages are copies.  A page without an article is judged by its neighbour and by link density alone.
+
+A host may hold a third of all pages, so pages are dealt into ranges of (host, path, page_id), cut at keys
+of a sample.  The first and the last page of each range are also sent to the ranges before and behind it, as
+line hashes, so that each page meets its true neighbours and results don't depend on the cuts.  Pages are
+read before they are dealt: what is shuffled is their lines, and a task holds three pages at a time.
 
 Defined cases: a null or empty html gives an empty text; a null url is the host '' and path ''; equal
-URLs are neighbours in order of page_id; a page that is alone of its host in a task loses no shared
-lines; broken markup is read as far as it goes: an element left open ends with its parent; an empty table
-gives an empty table; further columns are ignored.
+URLs are neighbours in order of page_id, and repeated page_ids in order of a hash of their html; a host's
+only page loses no shared lines; broken markup is read as far as it goes: an element left open ends with its
+parent; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
+import os
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import bounded_batches, partitions
 
 #: Elements whose text is never shown as text of the page.
 SKIPPED = frozenset("script style noscript template svg math head iframe object canvas select option button textarea audio video".split())
@@ -50,30 +55,43 @@ _NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=/])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
 LINK_SHARE = 0.6
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A line of an article with more words is no notice.
+NOTICE_WORDS = 8
+_SENTENCE = re.compile(r"[.!?\u2026\u3002]['\"\u2019\u201d\u00bb)\]]*$")
+#: Keys sampled for each range of pages.
+SAMPLE = 20
+#: Cells (bits) of the alignment of two runs of lines that are held at once.
+CELLS = 1 << 26
 
 
 class Line:
     """A block of text: in_main tells whether it stands in the article, framed whether markup names it as none."""
 
-    __slots__ = ("framed", "in_main", "linked", "text")
+    __slots__ = ("framed", "heading", "in_main", "linked", "text")
 
-    def __init__(self, text: str, in_main: bool, framed: bool, linked: float):
-        self.text, self.in_main, self.framed, self.linked = text, in_main, framed, linked
+    def __init__(self, text: str, in_main: bool, framed: bool, linked: float, heading: bool):
+        self.text, self.in_main, self.framed, self.linked, self.heading = text, in_main, framed, linked, heading
+
+    def marks(self) -> int:
+        """1: in the article, 2: framed, 4: mostly links, 8: a heading or prose."""
+        own = self.heading or bool(_SENTENCE.search(self.text)) or self.text.count(" ") >= NOTICE_WORDS
+        return self.in_main + 2 * self.framed + 4 * (self.linked >= LINK_SHARE) + 8 * own
 
 
 def read_lines(html: str | None) -> list[Line]:
     """The blocks of a page in page order, white space inside made single spaces."""
     lines: list[Line] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, in_main, framed, linked
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, in_main, framed, linked, heading
     parts: list[str] = []
     linked = [0]
-    state = ("", False, False, False)
+    state = nothing = ("", False, False, False, False)
 
     def flush() -> None:
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                lines.append(Line(text, state[1], state[2], min(1.0, linked[0] / max(1, len(text)))))
+                lines.append(Line(text, state[1], state[2], min(1.0, linked[0] / max(1, len(text))), state[4]))
             parts.clear()
         linked[0] = 0
 
@@ -98,7 +116,7 @@ def read_lines(html: str | None) -> list[Line]:
                     flush()
                 while stack and stack.pop()[0] != name:
                     pass
-                state = stack[-1] if stack else ("", False, False, False)
+                state = stack[-1] if stack else nothing
             elif name in ("p", "br"):
                 flush()
             continue
@@ -121,7 +139,7 @@ def read_lines(html: str | None) -> list[Line]:
                 depth -= 1
             if depth and stack[depth - 1][0] == name:
                 del stack[depth - 1 :]
-                state = stack[-1] if stack else ("", False, False, False)
+                state = stack[-1] if stack else nothing
         own = " ".join(x.strip("\"'") for x in _NAMES.findall(m[3])) if m[3] else ""
         in_main = state[1] or name in MAIN
         # a header inside an article is the article's own
@@ -129,7 +147,7 @@ def read_lines(html: str | None) -> list[Line]:
         if own and name not in ("html", "body", "article", "main"):
             framed = framed or bool(NAMED.search(own)) or not state[1] and bool(HEADS.search(own))
         framed = framed or bool(m[3] and _HIDDEN.search(m[3]))
-        entry = (name, in_main, framed, state[3] or name == "a")
+        entry = (name, in_main, framed, state[3] or name == "a", state[4] or name in HEADINGS)
         if not m[3].rstrip().endswith("/") or name in INLINE:
             stack.append(entry)
             state = entry
@@ -141,94 +159,205 @@ def line_hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text)
 
 
-def common_lines(a: list[int], b: list[int]) -> set[int]:
-    """Which places of a stand in a longest common subsequence of a and b (Hirschberg: memory in proportion to b)."""
-    found: set[int] = set()
+def _rows(a: list[int], places: dict[int, int], width: int) -> Iterator[int]:
+    """For each beginning of a: bits over b's places, 0 where the common subsequence grows by a line of b."""
+    full = (1 << width) - 1
+    row = full
+    for x in a:
+        u = row & places.get(x, 0)
+        row = (row + u | row - u) & full
+        yield row
+
+
+def _places(b: list[int]) -> dict[int, int]:
+    places: dict[int, int] = {}
+    for j, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << j
+    return places
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """The length of a longest common subsequence of a and each beginning of b."""
+    row = (1 << len(b)) - 1
+    for row in _rows(a, _places(b), len(b)):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes((len(b) + 7) // 8, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(1 - bits, dtype=np.int64)))
+
+
+def _align(a: list[int], b: list[int]) -> list[int]:
+    """Places of a, read off the stored rows of all of a's beginnings."""
+    size = (len(b) + 7) // 8
+    rows = [r.to_bytes(size, "little") for r in _rows(a, _places(b), len(b))]
+    grows = lambda i, j: not rows[i][j >> 3] >> (j & 7) & 1
+    found, i, j = [], len(a) - 1, len(b) - 1
+    while i >= 0 and j >= 0:
+        if not grows(i, j):
+            j -= 1
+        elif i and grows(i - 1, j):
+            i -= 1
+        else:
+            found.append(i)
+            i, j = i - 1, j - 1
+    return found
 
-    def lengths(x: list[int], y: list[int]) -> list[int]:
-        row = [0] * (len(y) + 1)
-        for u in x:
-            diagonal = 0
-            for j, v in enumerate(y, 1):
-                above = row[j]
-                row[j] = diagonal + 1 if u == v else max(above, row[j - 1])
-                diagonal = above
-        return row
 
+def common_lines(a: list[int], b: list[int]) -> set[int]:
+    """Which places of a stand in a longest common subsequence of a and b.
+
+    Rows of the alignment are bits of one integer.  Runs of over ``CELLS`` pairs are halved first (Hirschberg),
+    so memory is bounded.
+    """
+    both = set(a) & set(b)
+    at, a, b = [i for i, x in enumerate(a) if x in both], [x for x in a if x in both], [x for x in b if x in both]
+    found: set[int] = set()
     todo = [(0, len(a), 0, len(b))]
     while todo:
         i, j, k, m = todo.pop()
         while i < j and k < m and a[i] == b[k]:
-            found.add(i)
+            found.add(at[i])
             i, k = i + 1, k + 1
         while i < j and k < m and a[j - 1] == b[m - 1]:
-            found.add(j - 1)
+            found.add(at[j - 1])
             j, m = j - 1, m - 1
-        if i == j or k == m or not set(a[i:j]) & set(b[k:m]):
+        if i == j or k == m:
             continue
-        if j - i == 1:
-            found.add(i)
+        if (j - i) * (m - k) <= CELLS or j - i == 1:
+            found.update(at[i + x] for x in _align(a[i:j], b[k:m]))
             continue
         mid = (i + j) // 2
-        left, right = lengths(a[i:mid], b[k:m]), lengths(a[mid:j][::-1], b[k:m][::-1])
-        cut = max(range(m - k + 1), key=lambda c: left[c] + right[m - k - c])
+        cut = int(np.argmax(_lengths(a[i:mid], b[k:m]) + _lengths(a[mid:j][::-1], b[k:m][::-1])[::-1]))
         todo += [(i, mid, k, k + cut), (mid, j, k + cut, m)]
     return found
 
 
+def _kept(marks: list[int], sizes: list[int], shared: set[int]) -> list[int]:
+    """The places of the lines that stay."""
+    main = [i for i, m in enumerate(marks) if m & 3 == 1]
+    if main:  # comments and cards may be articles too: those are framed
+        copies = 2 * sum(sizes[i] for i in main if i in shared) > sum(sizes[i] for i in main)
+        return [i for i in main if copies or marks[i] & 8 or i not in shared]
+    return [i for i, m in enumerate(marks) if not m & 6 and i not in shared]
+
+
 def main_text(lines: list[Line], neighbour: list[int] | None) -> str:
     """The lines that stay, joined by one space; neighbour has the neighbouring page's line hashes."""
     shared = common_lines([line_hash(x.text) for x in lines], neighbour) if neighbour else set()
-    has_main = any(x.in_main and not x.framed for x in lines)  # comments and cards may be articles too
-    kept = []
-    for i, x in enumerate(lines):
-        if x.framed:
-            continue
-        if x.in_main or not has_main and i not in shared and x.linked < LINK_SHARE:
-            kept.append(x.text)
-    return " ".join(kept)
+    return " ".join(lines[i].text for i in _kept([x.marks() for x in lines], [len(x.text) for x in lines], shared))
+
+
+def _key(host: str, path: str, page: int | None) -> tuple:
+    return host, path, page is not None, page or 0
+
+
+def _edges(shared):
+    """The first and last key of each range among a task's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts, first, last = shared.value, {}, {}
+        for batch in batches:
+            for key in map(_key, *(batch.column(i).to_pylist() for i in range(3))):
+                part = bisect_right(cuts, key)
+                if part not in first or key < first[part]:
+                    first[part] = key
+                if part not in last or key > last[part]:
+                    last[part] = key
+        rows = [(p, *k[:2], k[3] if k[2] else None, e) for e, own in ((0, first), (1, last)) for p, k in own.items()]
+        columns = list(zip(*rows)) or [[]] * 5
+        kinds = (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "host", "path", "page_id", "edge"])
+
+    return run
+
+
+_READ = "part int, host string, path string, page_id long, tie long, sent boolean, url string, marks array<tinyint>, hashes array<long>, sizes array<int>, lines array<string>"
+_READ_ARROW = pa.schema(
+    [("part", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64()), ("tie", pa.int64()), ("sent", pa.bool_()), ("url", pa.string())]
+    + [(n, pa.list_(k)) for n, k in (("marks", pa.int8()), ("hashes", pa.int64()), ("sizes", pa.int32()), ("lines", pa.string()))]
+)
+
+
+def _read(shared):
+    """Pages as lines with their range; the text of lines that markup names as none stays behind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts, sent = shared.value
+        for batch in batches:
+            rows: list[tuple] = []
+            for host, path, page, url, html in zip(*(batch.column(i) for i in range(5))):
+                host, path, page, html = host.as_py(), path.as_py(), page.as_py(), html.as_py()
+                lines, key = read_lines(html), _key(host, path, page)
+                marks, hashes = [x.marks() for x in lines], [line_hash(x.text) - (1 << 63) for x in lines]
+                own = (host, path, page, xxhash.xxh64_intdigest(html or "") - (1 << 63))
+                sizes = [len(x.text) for x in lines]
+                rows.append((bisect_right(cuts, key), *own, False, url.as_py(), marks, hashes, sizes, ["" if m & 2 else x.text for x, m in zip(lines, marks)]))
+                rows += [(part, *own, True, None, None, hashes, None, None) for part in sent.get(key, ())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_READ_ARROW), _READ_ARROW)], schema=_READ_ARROW)
+
+    return run
 
 
 _RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From pages sorted by host and path."""
-    host, before, waiting = None, None, None  # waiting: a host's first page, until the next one is read
+def _nearest(before: tuple | None, page: tuple, behind: tuple | None) -> list[int] | None:
+    """The line hashes of the neighbour; pages are (host, path, hashes, ...)."""
+    sides = [len(os.path.commonprefix([x[1], page[1]])) if x and x[0] == page[0] else -1 for x in (before, behind)]
+    return None if max(sides) < 0 else (before if sides[0] >= sides[1] else behind)[2]
+
+
+def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the lines of pages sorted by range, host, path and page_id."""
+    before = page = None  # of the same range
+
+    def text(behind: tuple | None) -> tuple:
+        near = _nearest(before, page, behind)
+        shared = common_lines(page[2], near) if near else set()
+        marks, sizes, lines = page[6:]
+        return page[4], page[5], " ".join(lines[i] for i in _kept(marks, sizes, shared))
+
+    at = None
     for batch in batches:
         out: list[tuple] = []
-        for page, url, own, html in zip(*(batch.column(i) for i in range(4))):
-            lines = read_lines(html.as_py())
-            hashes = [line_hash(x.text) for x in lines]
-            if own.as_py() != host:
-                if waiting:
-                    out.append((*waiting[:2], main_text(waiting[2], None)))
-                host, before, waiting = own.as_py(), hashes, (page.as_py(), url.as_py(), lines)
-                continue
-            if waiting:
-                out.append((*waiting[:2], main_text(waiting[2], hashes)))
-                waiting = None
-            out.append((page.as_py(), url.as_py(), main_text(lines, before)))
-            before = hashes
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _RESULT)], schema=_RESULT)
-    if waiting:
-        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((*waiting[:2], main_text(waiting[2], None)), _RESULT)], schema=_RESULT)
-
-
-def extract(pages: DataFrame) -> DataFrame:
+        for part, host, path, page_id, sent, url, marks, hashes, sizes, lines in zip(*(batch.column(i) for i in range(10))):
+            behind = (host.as_py(), path.as_py(), hashes.as_py(), sent.as_py(), page_id.as_py(), url.as_py(), marks.as_py(), sizes.as_py(), lines.as_py())
+            same = part.as_py() == at
+            if page and not page[3]:
+                out.append(text(behind if same else None))
+            before, page, at = page if same else None, behind, part.as_py()
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 3, _RESULT)], schema=_RESULT)
+    if page and not page[3]:
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(text(None), _RESULT)], schema=_RESULT)
+
+
+def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     """page_id, url and the page's main text."""
+    spark = bounded_batches(pages).sparkSession
     url = F.coalesce("url", F.lit(""))
     keyed = pages.select(
+        F.lower(F.regexp_extract(url, "^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)).alias("host"),
+        F.regexp_extract(url, "^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1).alias("path"),
         F.col("page_id").cast("long").alias("page_id"),
         "url",
-        F.lower(F.regexp_extract(url, "^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)).alias("host"),
         "html",
-        F.regexp_extract(url, "^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1).alias("path"),
     )
-    order = ["host", "path", "page_id"]
-    ranged = keyed.repartitionByRange(partitions(pages.sparkSession), *order).sortWithinPartitions(*order)
-    return ranged.drop("path").mapInArrow(_extract, "page_id long, url string, text string")
+    keys = keyed.select("host", "path", "page_id")
+    ranges = ranges or partitions(spark)
+    # about SAMPLE keys a range come to the driver, and two keys of each range; the cuts decide nothing but the load
+    sample = sorted({_key(*r) for r in keys.sample(min(1.0, SAMPLE * ranges / max(1, pages.count())), 1).collect()})
+    cuts = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
+    edges = keys.mapInArrow(_edges(spark.sparkContext.broadcast(cuts)), "part int, host string, path string, page_id long, edge int")
+    key = F.struct("host", "path", F.col("page_id").isNotNull().alias("known"), "page_id")
+    listed = sorted(tuple(r) for r in edges.groupBy("part").agg(F.min(F.when(F.col("edge") == 0, key)), F.max(F.when(F.col("edge") == 1, key))).collect())
+    sent: dict[tuple, list[int]] = {}
+    for (one, _, last), (two, first, _) in zip(listed, listed[1:]):
+        if last["host"] == first["host"]:
+            sent.setdefault(_key(last["host"], last["path"], last["page_id"]), []).append(two)
+            sent.setdefault(_key(first["host"], first["path"], first["page_id"]), []).append(one)
+    read = keyed.mapInArrow(_read(spark.sparkContext.broadcast((cuts, sent))), _READ)
+    order = ["part", "host", "path", "page_id", "tie"]
+    dealt = read.repartitionById(ranges, "part").sortWithinPartitions(*order)
+    return dealt.select("part", "host", "path", "page_id", "sent", "url", "marks", "hashes", "sizes", "lines").mapInArrow(_differ, "page_id long, url string, text string")
 
 
 def op5(pages: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ ties, repeated rows, empty tables, further columns with names the operators migh
 
 import hashlib
 import random
+import time
 import zlib
 
 import corpus_pipeline
@@ -202,14 +203,102 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head>
 
 
 def test_html(spark):
-    rows = [(i, f"http://h/{i}", PAGE.format("article", i)) for i in (1, 2)] + [(i, f"http://g/{i}?x", PAGE.format("div", i)) for i in (3, 4)] + [(5, None, None), (6, "x", ""), (7, "http://h/9", "<p>a<p>b &#233;  c")]
+    rows = [(i, f"http://h/{i}", PAGE.format("article", i)) for i in (1, 2)] + [(i, f"http://g/{i}?x", PAGE.format("div", i)) for i in (3, 4)] + [(5, None, None), (6, "x", ""), (7, "http://h/9", "<p>a<p>b &#233;  c")]
     found = {r.page_id: r.text for r in html_extract.op5(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert found[1] == "Head 1 First bold text & more1 next Site line"  # an article keeps lines that its neighbour has too
-    assert found[3] == "Head 3 First bold text & more3"  # elsewhere shared lines go
+    assert found[1] == "Head 1 First bold text & more1"  # shared lines that are no prose go, in an article too
+    assert found[3] == "Head 3 First bold text & more3"
     assert (found[5], found[6], found[7]) == ("", "", "a b é c")
     assert html_extract.op5(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_shared_lines_of_articles():
+    """Of an article, headings, sentences and long lines stay though the neighbour has them; of copies everything does."""
+    page = "<article><h1>News</h1><p>Share this<p>One sentence.<p>one two three four five six seven eight nine ten<p>{}</article>"
+    one, two = (html_extract.read_lines(page.format(x)) for x in ("Own text of the one page, which is quite a bit longer than what is shared with others", "b"))
+    hashes = [html_extract.line_hash(x.text) for x in two]
+    assert html_extract.main_text(one, None).startswith("News Share this One")
+    assert html_extract.main_text(one, hashes).startswith("News One sentence. one two three four five six seven eight nine ten Own")
+    assert html_extract.main_text(two, [html_extract.line_hash(x.text) for x in one]) == html_extract.main_text(two, None)
+
+
+def made_pages():
+    rnd = random.Random(3)
+    site = [f"site line {i}" for i in range(6)]
+    rows = []
+    for i in range(150):
+        host, tag = rnd.choice(("a", "a", "a", "b", f"c{i}")), rnd.choice(("div", "article"))
+        body = [f"own {i} {k}" for k in range(3)]
+        for x in rnd.sample(site, rnd.randrange(6)):
+            body.insert(rnd.randrange(len(body) + 1), x)
+        rows.append((i, f"http://{host}/{rnd.choice('xyz')}/{rnd.randrange(20)}", f"<{tag}>" + "".join(f"<p>{x}</p>" for x in body) + f"</{tag}>"))
+    return rows + [rows[0], rows[0], (1000, rows[0][1], "<p>other</p>"), (1000, rows[0][1], "<p>another</p>"), (None, None, None), (None, "http://a/", "<p>no id</p>"), (1001, None, "<p>x</p>")]
+
+
+def html_brute_force(rows):
+    """All pages sorted at once, each differenced with the nearer of its two sides by a quadratic alignment."""
+
+    def key(r):
+        url = r[1] or ""
+        host, _, path = url.removeprefix("http://").partition("/") if url else ("", "", "")
+        return host, "/" + path if url else "", r[0] is not None, r[0] or 0
+
+    def alike(a, b):
+        return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    rows = sorted(rows, key=lambda r: (key(r), html_extract.line_hash(r[2] or "")))
+    read = [html_extract.read_lines(r[2]) for r in rows]
+    out = []
+    for i, r in enumerate(rows):
+        sides = [(alike(key(rows[j])[1], key(r)[1]), j) for j in (i - 1, i + 1) if 0 <= j < len(rows) and key(rows[j])[0] == key(r)[0]]
+        near = read[max(sides, key=lambda s: (s[0], -s[1]))[1]] if sides else []
+        a, b = [x.text for x in read[i]], [x.text for x in near]
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for x in range(len(a)):
+            for y in range(len(b)):
+                table[x + 1][y + 1] = table[x][y] + 1 if a[x] == b[y] else max(table[x][y + 1], table[x + 1][y])
+        shared, x, y = set(), len(a), len(b)
+        while x and y:
+            if table[x][y] == table[x - 1][y]:
+                x -= 1
+            elif table[x][y] == table[x][y - 1]:
+                y -= 1
+            else:
+                shared.add(x - 1)
+                x, y = x - 1, y - 1
+        main = [k for k, line in enumerate(read[i]) if line.in_main]
+        copies = 2 * sum(len(a[k]) for k in main if k in shared) > sum(len(a[k]) for k in main)
+        out.append((str(r[0]), " ".join(t for k, t in enumerate(a) if k not in shared or main and copies)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 64])
+def test_html_against_all_pages_sorted_at_once(spark, ranges):
+    rows = made_pages()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for name in ("part", "host", "path", "lines", "text", "sent", "key"):
+        df = df.withColumn(name, df.url)
+    found = sorted((str(r.page_id), r.text) for r in html_extract.extract(df, ranges).collect())
+    expected = html_brute_force(rows)
+    assert [len(t) for _, t in found] == [len(t) for _, t in expected]  # of equally long alignments either will do
+    assert [i for i, _ in found] == [i for i, _ in expected]
+    if ranges > 1:
+        assert found == sorted((str(r.page_id), r.text) for r in html_extract.extract(df, 1).collect())
+    assert any("site line" not in t and t for _, t in found)
+
+
+def test_pages_of_many_lines():
+    rnd = random.Random(5)
+    a, b = ([rnd.randrange(2000) for _ in range(3000)] for _ in range(2))
+    start = time.perf_counter()
+    whole = html_extract.common_lines(a, b)
+    assert time.perf_counter() - start < 0.5
+    cells, html_extract.CELLS = html_extract.CELLS, 1 << 14
+    try:
+        assert len(html_extract.common_lines(a, b)) == len(whole)  # cut into pieces
+    finally:
+        html_extract.CELLS = cells
+
+
 def test_headers_of_articles_and_of_pages():
     page = '<div class="site-header">Site</div><main><div class="post-header"><h1>Title</h1></div><p>Text<aside>side</aside><p hidden>no</p><ul class="share"><li>x</ul></main>'
     assert html_extract.main_text(html_extract.read_lines(page), None) == "Title Text"

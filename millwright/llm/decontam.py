@@ -5,20 +5,24 @@ items' words is broadcast; each document's words are streamed through it, which
 that ends at each word.  Where it is at least ``window`` long (or covers an item shorter than that), the
 words under it are hit.  Hit spans are removed; a document is dropped if its hit share is over a limit.
 
-Items are dealt into shards of at most ``SHARD_WORDS`` words by a hash of their id, so what is broadcast
-at once is bounded however many items there are; with several shards the documents are scanned once for
-each and spans are united per document.  A document's words that occur in no item reset the automaton,
-so only runs of known words that are long enough are streamed at all; that skips no possible match.
-
-Defined cases: a null or empty text has no words and no hits; items without words match nothing; repeated
-item rows count once per id, and ids are compared as strings; repeated documents are scanned each; empty
-tables give no hits or no rows; further columns of docs pass through the removing forms untouched.
+Items are cut into pieces of at most ``PIECE`` words that overlap by a window less one word, and pieces are
+dealt into shards of at most ``SHARD_WORDS`` words.  One shard's pieces at a time are collected and broadcast,
+and workers build its automaton from them.  With several shards the documents are scanned for one after the
+other, hits are written, and spans are united per document; both ways give the same rows.  A document's words
+that occur in no item reset the automaton, so only runs of known words that are long enough are streamed at
+all; that skips no possible match.
+
+Defined cases: a null or empty text has no words and no hits; items without words match nothing; an item_id
+counts once however many rows and texts it has, and ids are compared as strings; what an item without an id
+says is hit, but it is in no list of ids; repeated documents are scanned each; empty tables give no hits or no
+rows; further columns of docs pass through the removing forms untouched.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, materialise
+from .common import UPPER, bounded_batches, materialise, sole
+from .suffix import SuffixAutomaton
 
 WINDOW = 10
 MAX_COVERAGE = 0.5
 SHARD_WORDS = 100_000
+PIECE = 10_000
 _FOLD = bytes(32 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
 
@@ -40,60 +46,29 @@ def norm_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_FOLD).split()
 
 
-class Automaton:
-    """A suffix automaton of several word sequences; states are numbered, 0 is the start."""
+class Automaton(SuffixAutomaton):
+    """A suffix automaton of items' word sequences; an item may have several."""
 
-    def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: Iterable[tuple[str | None, list[bytes]]], window: int):
+        super().__init__()
         self.window, self.ids, self.vocab = window, [], {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        numbers: dict[str | None, int] = {}
         paths = []
         for item, words in items:
             if words:
-                self.ids.append(item)
-                paths.append(self._add([self.vocab.setdefault(w, len(self.vocab)) for w in words]))
+                path, last = [self.vocab.setdefault(w, len(self.vocab)) for w in words], 0
+                for c in path:
+                    last = self.extend(last, c)
+                paths.append((numbers.setdefault(item, len(numbers)), path))
+        self.ids = list(numbers)
         self._index(paths)
 
-    def _state(self, length: int, link: int, moves: dict[int, int]) -> int:
-        self.next.append(moves)
-        self.link.append(link)
-        self.length.append(length)
-        return len(self.length) - 1
-
-    def _split(self, p: int, c: int) -> int:
-        """The state of p's longest word followed by c; it is split off its state if others are in it."""
-        q = self.next[p][c]
-        if self.length[q] == self.length[p] + 1:
-            return q
-        clone = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]))
-        self.link[q] = clone
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = clone
-            p = self.link[p]
-        return clone
-
-    def _add(self, word: list[int]) -> list[int]:
-        last, ends = 0, []
-        for c in word:
-            if c in self.next[last]:
-                last = self._split(last, c)
-            else:
-                new, p = self._state(self.length[last] + 1, 0, {}), last
-                while p >= 0 and c not in self.next[p]:
-                    self.next[p][c] = new
-                    p = self.link[p]
-                if p >= 0:
-                    self.link[new] = self._split(p, c)
-                last = new
-            ends.append(c)
-        return ends
-
-    def _index(self, words: list[list[int]]) -> None:
+    def _index(self, paths: list[tuple[int, list[int]]]) -> None:
         """What is found in a state: the items of its window, and the short items that end there."""
         n, w = len(self.length), self.window
         self.holds: dict[int, set[int]] = {}
         self.short: dict[int, list[tuple[int, int]]] = {}
-        for i, word in enumerate(words):
+        for i, word in paths:
             v = 0
             for c in word:
                 v = self.next[v][c]
@@ -106,7 +81,7 @@ class Automaton:
                 self.short.setdefault(v, []).append((len(word), i))
         self.base = list(range(n))  # the ancestor that stands for the last `window` words
         self.near = [-1] * n  # the nearest ancestor, itself included, where short items end
-        for v in sorted(range(1, n), key=self.length.__getitem__):
+        for v in self.by_length():
             up = self.link[v]
             if self.length[up] >= w:
                 self.base[v] = self.base[up]
@@ -155,50 +130,86 @@ class Automaton:
         return longest
 
 
-def _shards(items: DataFrame, window: int) -> list[Automaton]:
-    own = items.select(F.col("item_id").cast("string").alias("i"), "text").filter("i is not null").dropDuplicates(["i", "text"])
-    size = own.select(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))).alias("n")).first()["n"] or 0
-    n = -(-size // SHARD_WORDS) or 1
-    dealt = own.withColumn("s", F.pmod(F.xxhash64("i"), F.lit(n)))
-    return [Automaton(sorted((r["i"], norm_words(r["text"])) for r in dealt.filter(F.col("s") == s).collect()), window) for s in range(n)]
+def _pieces(items: DataFrame, window: int) -> tuple[DataFrame, int]:
+    """(s, i, w): the pieces of items with their shards, written once; and the number of shards."""
+    low = F.translate(F.coalesce("text", F.lit("")), UPPER, UPPER.lower())
+    own = items.select(F.col("item_id").cast("string").alias("i"), F.filter(F.split(low, _BREAK), lambda w: w != "").alias("w")).filter("size(w) > 0")
+    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - window), F.lit(PIECE)))
+    cut = own.select("i", "w", starts.alias("at")).select("i", F.slice("w", F.col("at") + 1, PIECE + window - 1).alias("w")).distinct()
+    cut = materialise(cut, "decontam-items")
+    words = cut.agg(F.coalesce(F.sum(F.size("w")), F.lit(0)).alias("n")).first()["n"]
+    n = max(1, -(-words // SHARD_WORDS))
+    while True:  # a few more shards than that, until none is over the bound or no two pieces are together
+        dealt = cut.withColumn("s", F.pmod(F.xxhash64("i", "w"), F.lit(n)).cast("int"))
+        sizes = dealt.groupBy("s").agg(F.sum(F.size("w")).alias("n"), F.count("*").alias("k")).filter((F.col("n") > SHARD_WORDS) & (F.col("k") > 1))
+        if n == 1 and words <= SHARD_WORDS or sizes.isEmpty():
+            return dealt, n
+        n += -(-n // 2)
 
 
-_FOUND = "n_words long, spans array<struct<start:int,end:int>>, items array<string>, longest_match int"
+_BREAK = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+_FOUND = [("__n_words", T.LongType()), ("__spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))), ("__items", T.ArrayType(T.StringType())), ("__longest", T.IntegerType())]
+_BUILT: dict[str, Automaton] = {}
 
 
-def _scanner(shared, text_at: int):
+def _automaton(token: str, pieces: list[tuple[str | None, list[str]]], window: int) -> Automaton:
+    """A shard's automaton, built once in a worker process."""
+    sole(_BUILT)
+    if token not in _BUILT:
+        _BUILT.clear()
+        _BUILT[token] = Automaton(((i, [w.encode() for w in words]) for i, words in pieces), window)
+    return _BUILT[token]
+
+
+def _scanner(shared, token: str, window: int, text_at: int, cut: bool = False):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
+        automaton = _automaton(token, shared.value, window)
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            rows = []
+            rows, texts = [], []
             for text in batch.column(text_at):
-                words = norm_words(text.as_py())
+                text = text.as_py()
+                words = norm_words(text)
                 spans, items, longest = automaton.scan(words)
-                rows.append((len(words), [{"start": a, "end": b} for a, b in spans], sorted(automaton.ids[i] for i in items), longest))
+                ids = sorted(i for i in (automaton.ids[k] for k in items) if i is not None)
+                rows.append((len(words), [{"start": a, "end": b} for a, b in spans], ids, longest))
+                if cut:
+                    texts.append(_without(text, spans))
             n, spans, items, longest = map(list, zip(*rows)) if rows else ([], [], [], [])
+            own = list(batch.columns)
+            if cut:
+                own[text_at] = pa.array(texts, own[text_at].type)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(n, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int32())],
-                names=[*batch.schema.names, "__n_words", "__spans", "__items", "__longest"],
+                [*own, pa.array(n, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int32())],
+                names=[*batch.schema.names, *(c for c, _ in _FOUND)],
             )
 
     return scan
 
 
-def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with __n_words, __spans (hit words, end excluded), __items (ids as sorted strings), __longest."""
-    spark = bounded_batches(docs).sparkSession
-    schema = T.StructType(docs.schema.fields + [f for f in T._parse_datatype_string(_FOUND.replace("n_words", "__n_words").replace("spans", "__spans").replace("items", "__items").replace("longest_match", "__longest")).fields])
-    shards = _shards(items, window)
+def _shard(dealt: DataFrame, s: int):
+    """A broadcast of a shard's pieces: at most SHARD_WORDS words."""
+    return dealt.sparkSession.sparkContext.broadcast(sorted(((r["i"], r["w"]) for r in dealt.filter(F.col("s") == s).collect()), key=str))
+
+
+def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, cut: bool = False) -> DataFrame:
+    """docs with __n_words, __spans (hit words, end excluded), __items (ids as sorted strings), __longest; if cut, without the hit words in the text."""
+    bounded_batches(docs)
+    found = [T.StructField(c, k) for c, k in _FOUND]
+    schema = T.StructType(docs.schema.fields + found)
+    dealt, n = _pieces(items, window)
     at = docs.columns.index("text")
-    if len(shards) == 1:
-        return docs.mapInArrow(_scanner(spark.sparkContext.broadcast(shards[0]), at), schema)
+    if n == 1:
+        return docs.mapInArrow(_scanner(_shard(dealt, 0), uuid.uuid4().hex, window, at, cut), schema)
     keyed = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam")
     narrow = keyed.select("__row", "text")
-    out = T.StructType(narrow.schema.fields + schema.fields[len(docs.columns) :])
+    out = T.StructType(narrow.schema.fields + found)
     parts = None
-    for shard in shards:
-        part = narrow.mapInArrow(_scanner(spark.sparkContext.broadcast(shard), 1), out).drop("text")
+    for s in range(n):
+        shared = _shard(dealt, s)
+        part = narrow.mapInArrow(_scanner(shared, uuid.uuid4().hex, window, 1), out).drop("text")
+        part = materialise(part if s == 0 else part.filter("__longest > 0"), "decontam-shard")  # the first has a row for each document
+        shared.unpersist()
         parts = part if parts is None else parts.union(part)
     merged = parts.groupBy("__row").agg(
         F.max("__n_words").alias("__n_words"),
@@ -215,7 +226,8 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
         ).otherwise(F.concat(a, F.array(x))),
     )
     united = merged.select("__row", "__n_words", union.alias("__spans"), "__items", "__longest")
-    return keyed.join(united, "__row").select(*[F.col(f"`{c}`") for c in docs.columns], "__n_words", "__spans", "__items", "__longest")
+    scanned = keyed.join(united, "__row").select(*[F.col(f"`{c}`") for c in docs.columns], "__n_words", "__spans", "__items", "__longest")
+    return scanned.mapInArrow(_cutter(at, len(docs.columns) + 1), schema) if cut else scanned
 
 
 def _hit():
@@ -227,24 +239,34 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
 
     A span reaches from its first word's first character to its last word's last; n_chars follows the text.
     """
-    clean = F.when(F.size("__spans") == 0, F.col("text")).otherwise(_without("text", "__spans"))
-    kept = scan(docs, items, window).filter(_hit() <= max_coverage * F.col("__n_words"))
-    cut = kept.withColumn("text", clean)
+    clean = scan(docs, items, window, cut=True).filter(_hit() <= max_coverage * F.col("__n_words"))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.size("__spans") == 0, F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
+        clean = clean.withColumn("n_chars", F.when(F.size("__spans") == 0, F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
+    return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _cutter(text_at: int, spans_at: int):
+    """The text without its spans, in batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = list(batch.columns)
+            spans = ([(s["start"], s["end"]) for s in x] for x in own[spans_at].to_pylist())
+            own[text_at] = pa.array([_without(t.as_py(), s) for t, s in zip(own[text_at], spans)], own[text_at].type)
+            yield pa.RecordBatch.from_arrays(own, names=batch.schema.names)
+
+    return run
 
 
-@F.udf(T.StringType(), useArrow=True)
-def _without(text, spans):
+def _without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     if not spans:
         return text
     raw = text.encode()
     at = [m.span() for m in _WORD.finditer(raw.translate(_FOLD))]
     parts, last = [], 0
-    for s in spans:
-        parts.append(raw[last : at[s["start"]][0]])
-        last = at[s["end"] - 1][1]
+    for start, end in spans:
+        parts.append(raw[last : at[start][0]])
+        last = at[end - 1][1]
     return b"".join([*parts, raw[last:]]).decode()
 
 
@@ -285,13 +307,13 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str |
         words = norm_words(text)
         k = min(window, len(words))
         for i in range(len(words) - k + 1 if k else 0):
-            grams.setdefault(tuple(words[i : i + k]), set()).add(str(item))
+            grams.setdefault(tuple(words[i : i + k]), set()).update([] if item is None else [str(item)])
     out = []
     for doc, text in docs:
         words, hit, found = norm_words(text), set(), set()
         for k in {len(g) for g in grams}:
             for i in range(len(words) - k + 1):
-                if ids := grams.get(tuple(words[i : i + k])):
+                if (ids := grams.get(tuple(words[i : i + k]))) is not None:
                     found |= ids
                     hit |= set(range(i, i + k))
         out.append((doc, len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))

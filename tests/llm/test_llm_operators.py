@@ -93,10 +93,20 @@ def test_decontamination(spark):
     assert clean.filter("doc_id = 10").first().text == AWKWARD[9][1]
 
 
-def test_decontamination_in_shards(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "SHARD_WORDS", 15)
-    df, items = frame(spark, AWKWARD), spark.createDataFrame(ITEMS, "item_id long, text string")
-    assert sorted(map(tuple, decontam.op1(df, items).collect())) == sorted(decontam.brute_force([(d, t) for d, t in AWKWARD], ITEMS))
+#: One id with several texts, items without ids, an item of several pieces.
+MORE_ITEMS = [*ITEMS, (1, words(10, 2)), (1, words(12, 2)), (2, words(40, 1)), (None, words(60, 2)), (None, "one"), (20, words(300, 5, 5_000))]
+
+
+@pytest.mark.parametrize("shard, piece", [(100_000, 10_000), (150, 10_000), (100, 40)])
+def test_decontamination_in_shards(spark, monkeypatch, shard, piece):
+    monkeypatch.setattr(decontam, "SHARD_WORDS", shard)
+    monkeypatch.setattr(decontam, "PIECE", piece)
+    df, items = frame(spark, AWKWARD, extra=True), spark.createDataFrame(MORE_ITEMS, "item_id long, text string")
+    assert sorted(map(tuple, decontam.op1(df, items).collect())) == sorted(decontam.brute_force([(d, t) for d, t in AWKWARD], MORE_ITEMS))
+    clean = decontam.decontaminate(df, items, max_coverage=1.0)
+    assert clean.schema == df.schema and clean.count() == len(AWKWARD)
+    text = {r.doc_id: r.text for r in clean.collect()}
+    assert text[6] == " " + LONG.split(" ", 300)[300] and text[4] == "" and text[1] is None
 
 
 @pytest.mark.parametrize("seed", range(6))

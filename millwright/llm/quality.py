@@ -4,8 +4,9 @@ A document fails the base rules if it has fewer than ``min_words`` words or if m
 words stand in three-word windows that occur twice or more in it.  Failures are summed by host (here the
 source of a document), the hosts' rates are shrunk towards a beta prior fitted to all hosts by the
 method of moments, and a host whose shrunk rate is over ``host_limit`` takes its other documents down
-with it.  DataFrame functions only; the one shuffle carries a partial sum per task and host, so a host
-with a third of all rows is no hot key.  Verdicts are joined back by host and a salt, without a broadcast
+with it.  DataFrame functions only.  Texts are read once: what the rules count is written, and failures are
+summed from that with map-side combine, so a host with a third of all rows is no hot key.  A host's verdict
+goes back to the salts that its documents have, and documents meet it by host and salt, without a broadcast
 hint, for the table of hosts grows with the corpus.
 
 Defined cases: a null text has no words and fails; a null source is the host ''; repeated rows count
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import materialise, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -81,11 +82,11 @@ def host_verdicts(ruled: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame
 
 def judge(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     """One row per document: counts, base_failed, the host's shrunk rate and kept."""
-    ruled = base_rules(docs)
+    salt = F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(SALTS)).cast("int")
+    ruled = materialise(base_rules(docs).withColumn("salt", salt), "quality")
     verdicts = host_verdicts(ruled, host_limit).select("host", "shrunk_rate", "host_kept")
-    dealt = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = ruled.withColumn("salt", F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(SALTS)).cast("int"))
-    return salted.join(dealt, ["host", "salt"]).drop("salt").withColumn("kept", ~F.col("base_failed") & F.col("host_kept"))
+    dealt = ruled.select("host", "salt").distinct().join(verdicts, "host")  # at most SALTS rows a host, and no more than it has documents
+    return ruled.join(dealt, ["host", "salt"]).drop("salt").withColumn("kept", ~F.col("base_failed") & F.col("host_kept"))
 
 
 def op7(docs: DataFrame) -> DataFrame:

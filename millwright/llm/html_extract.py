@@ -342,7 +342,7 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
         "html",
     )
     keys = keyed.select("host", "path", "page_id")
-    ranges = ranges or partitions(spark)
+    ranges = ranges or 2 * partitions(spark)  # pages differ in length
     # about SAMPLE keys a range come to the driver, and two keys of each range; the cuts decide nothing but the load
     sample = sorted({_key(*r) for r in keys.sample(min(1.0, SAMPLE * ranges / max(1, pages.count())), 1).collect()})
     cuts = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []

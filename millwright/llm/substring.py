@@ -14,7 +14,8 @@ All documents are the reference, so the reference is cut into shards that are cl
    and each content seen once is streamed through it for matching statistics (the longest suffix at each
    word that occurs twice or more); where these reach ``window`` words, the span goes.
 4. An anchor with over ``HOT`` contents would make a large shard.  Windows of its contents are told apart
-   by 128-bit hashes instead, counted with map-side combine and joined back.
+   by 128-bit hashes instead, counted with map-side combine and joined back.  Contents and windows of very
+   many places are salted where they meet their counts.
 5. Spans come back to their documents, which drop the words under them.
 
 Documents are worked in pieces of ``PIECE`` words that overlap by a window, so that long ones need
@@ -37,10 +38,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialise, partitions, sole
+from .suffix import SuffixAutomaton
 
 WINDOW = 35
 GRAM = 8
 HOT = 500
+#: A key with more than one in so many rows is dealt into SALTS parts; there are at most so many of them.
+SHARES = 4096
+SALTS = 64
 PIECE = 200_000
 MIN_BITS, MAX_BITS = 20, 29
 CACHE_WORDS = 300_000
@@ -245,49 +250,23 @@ def _contents(chosen, flood, texts, window: int, hot: bool):
     return run
 
 
-class CountedAutomaton:
+class CountedAutomaton(SuffixAutomaton):
     """A suffix automaton of weighted sequences; times[v] counts the places where v's words end."""
 
     def __init__(self, sequences: list[tuple[list[int], int]]):
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.times = [-1], [0], [0]
+        super().__init__()
+        self.times = [0]
         for word, weight in sequences:
-            self._add(word, weight)
-        for v in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
+            last = 0
+            for c in word:
+                last = self.extend(last, c)
+                self.times[last] += weight
+        for v in self.by_length(longest_first=True):
             self.times[self.link[v]] += self.times[v]
 
     def _state(self, length: int, link: int, moves: dict[int, int]) -> int:
-        self.next.append(moves)
-        self.link.append(link)
-        self.length.append(length)
         self.times.append(0)
-        return len(self.length) - 1
-
-    def _split(self, p: int, c: int) -> int:
-        q = self.next[p][c]
-        if self.length[q] == self.length[p] + 1:
-            return q
-        clone = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]))
-        self.link[q] = clone
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = clone
-            p = self.link[p]
-        return clone
-
-    def _add(self, word: list[int], weight: int) -> None:
-        moves, link, length, last = self.next, self.link, self.length, 0
-        for c in word:
-            if c in moves[last]:
-                last = self._split(last, c)
-            else:
-                new, p = self._state(length[last] + 1, 0, {}), last
-                while p >= 0 and c not in moves[p]:
-                    moves[p][c] = new
-                    p = link[p]
-                if p >= 0:
-                    link[new] = self._split(p, c)
-                last = new
-            self.times[last] += weight
+        return super()._state(length, link, moves)
 
     def repeated(self, word: list[int], window: int) -> list[tuple[int, int]]:
         """The maximal spans of word that are covered by runs of window values that end at two or more places."""
@@ -347,6 +326,19 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "t", "start", "end"])
 
 
+def _meet(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined to keys, which have the number n of their rows: keys of many rows are dealt into salts.
+
+    At most SHARES keys can hold over 1/SHARES of all rows, so their list is small enough to be broadcast.
+    """
+    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    often = F.col("n") > max(1, total // SHARES)
+    parts = keys.select(*on, F.explode(F.when(often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    large = F.broadcast(keys.filter(often).select(*on, F.lit(True).alias("large")))
+    salt = F.when(F.col("large"), F.pmod(F.hash("doc_id", "t", "start"), F.lit(SALTS))).otherwise(0).cast("int")
+    return rows.join(large, on, "left").withColumn("salt", salt).join(parts, [*on, "salt"])
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """doc_id, t (hash of the text), start, end: spans of words under repeated windows; they may overlap."""
     spark, share = docs.sparkSession, docs.sparkSession.sparkContext.broadcast
@@ -364,7 +356,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> Dat
     mixed = mixed.select("h", "c", "n", "t").mapInArrow(_flagged(flood), "h long, c long, n long, t long, hot boolean")
     of_hot, of_others = (share(_bit_table(mixed.filter(own).select(F.col("t").alias("h")).distinct())) for own in ("hot", "not hot"))
 
-    whole = rows.join(contents.filter("n > 1").select("h", "c"), ["h", "c"]).select("doc_id", "t", "start", "end")
+    whole = _meet(rows, contents.filter("n > 1").select("h", "c", "n"), ["h", "c"]).select("doc_id", "t", "start", "end")
 
     texts = keyed.mapInArrow(_contents(chosen, flood, of_others, window, False), _CONTENT).select("h", "c", "n", "doc_id", "t", "start", "words")
     none = [F.lit(None).cast(k).alias(c) for c, k in (("doc_id", "long"), ("t", "long"), ("start", "int"), ("words", "binary"))]
@@ -373,8 +365,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> Dat
 
     windows = materialise(keyed.mapInArrow(_contents(chosen, flood, of_hot, window, True), _CONTENT).select("h", "other", "c", "doc_id", "t", "start", "end"), "windows")
     place = F.struct("c", "start")
-    twice = windows.groupBy("h", "other").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("h", "other")
-    return whole.union(spans).union(windows.join(twice, ["h", "other"]).select("doc_id", "t", "start", "end"))
+    counted = windows.groupBy("h", "other").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n"))
+    twice = materialise(counted.filter("a <> b").select("h", "other", "n"), "twice")
+    return whole.union(spans).union(_meet(windows, twice, ["h", "other"]).select("doc_id", "t", "start", "end"))
 
 
 def _cut(text_at: int, spans_at: int):
@@ -403,7 +396,7 @@ def _cut(text_at: int, spans_at: int):
 def scan(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """docs with __n_words, __n_removed and __kept (the kept words joined by one space)."""
     spans = repeated_spans(docs, window, hot)
-    listed = spans.groupBy("doc_id", "t").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
+    listed = spans.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__spans"))
     listed = listed.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), "__spans")
     on = docs["doc_id"].cast("long").eqNullSafe(listed["__id"]) & (F.xxhash64(docs["text"]) == listed["__t"])
     joined = docs.join(listed, on, "left").select(*[docs[f"`{c}`"] for c in docs.columns], "__spans")

@@ -1,22 +1,27 @@
 """Toxicity as a weighted finite-state grammar over clauses, fitted to labelled rows.
 
-Words are read as classes: insult (with a weight), threat, target, negation, reported speech, or nothing.
-Four small transducers run over a clause's classes: one remembers a target, one a negation for the next
-``SCOPE`` words, one reported speech to the clause's end, one a threat that waits for a target.  They are
-composed into one table, whose output sorts each matched insult into plain, aimed, negated or reported,
-and marks carried-out threats.  A document's score is the logistic of the weighted sums of its matched
-clauses; each insult word counts once a document and way of use.
+A lexicon reads words as classes: insult (with a weight), threat, target, negation, negative pronoun, report
+verb, intensifier, quotation mark, or nothing.  A clause's classes run through one cascade of weighted
+transducers, composed into two tables.  Left to right: the insult transducer turns insults into plain marks
+(an intensifier before one raises its weight), the negation transducer negates marks and threats for the next
+``SCOPE`` words (a negative pronoun to the clause's end), the report transducer turns what follows a report
+verb, or the quotation behind it, into reported marks, and the target transducer aims marks behind a target
+and gives out a menace where a threat and a target meet.  Right to left over that output: marks before a
+target are aimed, and a quotation that a report verb follows is reported.  Lines, full stops and their like
+end a clause, as do colons unless they announce what someone said.  A document's score is the logistic of the
+weighted sums of its matched clauses; each insult word counts once a document and way of use.
 
 What is learned, from labelled rows only: the insults.  Words and word beginnings (stems) are counted by
-label, candidates are picked greedily by how many toxic rows they explain that no earlier pick does, words
+label, features are picked greedily by how many toxic rows they explain that no earlier pick does, words
 under a picked stem get weights shrunk to the stem's, and the coefficients of the five outputs start from
-fixed priors and are fitted by penalised logistic regression.  Rows are bounded to ``SAMPLE_ROWS`` (least
-hashes of doc_id), one for each group of near copies with a label, so repeated texts don't vote; what
-reaches the driver is bounded by that, ``CANDIDATES`` and ``LEXICON``.
+fixed priors and are fitted by penalised logistic regression that allows for ``NOISE`` wrong labels.  Rows
+are bounded to ``SAMPLE_ROWS`` (least hashes of doc_id, one row a doc_id), one for each group of near copies
+with a label, so repeated texts don't vote; what reaches the driver is bounded by that sample.
 
 Defined cases: a null or empty text scores the model's floor; null doc_ids are scored and never learned
-from; several labels of one doc_id: toxic if any is; without usable labels the fixed seed words and prior
-coefficients hold; repeated rows score alike; further columns pass through ``drop_toxic`` untouched.
+from; several labels of one doc_id: toxic if any is; several texts of one doc_id: the least is learned from;
+without usable labels the fixed seed words and prior coefficients hold; repeated rows score alike; further
+columns pass through ``drop_toxic`` untouched.
 """
 
 from __future__ import annotations
@@ -34,68 +39,113 @@ from pyspark.sql import types as T
 from .common import bounded_batches, materialise, sole
 
 SAMPLE_ROWS = 20_000
-CANDIDATES = 3_000
-LEXICON = 10_000
 STEMS = (4, 5, 6, 7, 8)
 FAMILIES = 3
 LIMIT = 0.7
 SCOPE = 3
 CACHE_TOKENS = 80_000
 
+# The grammar's closed classes.
 TARGETS = "you your yours yourself he she they them their tu toi vous votre ton du dich dir euch ihr sie usted ustedes ti vos".split()
 NEGATIONS = "not never no none isn't aren't wasn't don't without nicht kein keine nie niemals ohne pas jamais aucun sans nunca jamás ningún sin".split()
+NOBODIES = "nobody nothing niemand nichts personne rien nadie nada".split()
 REPORTS = "said says wrote called claimed quoted reported alleged sagte schrieb behauptete zitierte dit écrit déclaré affirmé dijo escribió afirmó".split()
 THREATS = "kill hurt stab shoot strangle murder töten umbringen verprügeln tuer frapper étrangler matar golpear".split()
+BOOSTS = "such total complete utter absolute real totaler totale kompletter vrai vraie total verdadero".split()
 SEEDS = "idiot moron scum loser stupid worthless pathetic".split()
 SEED_WEIGHT = 4.0
-
-OTHER, TARGET, NEGATION, REPORT, THREAT, INSULT = range(6)
-#: Outputs: insults plain, aimed at a target, negated, reported; threats with a target.
-OUTPUTS = 5
+#: Log odds above which a feature can mark toxic rows.
+ODDS = 2.5
+
+OTHER, TARGET, NEGATION, NOBODY, REPORT, THREAT, BOOST, QUOTE, INSULT, PLAIN, AIMED, NEGATED, REPORTED, MENACE = range(14)
+#: Outputs: insults plain, aimed at a target, negated, reported; menaces.
+MARKS = (PLAIN, AIMED, NEGATED, REPORTED, MENACE)
+OUTPUTS = len(MARKS)
+BOOSTED = 1.25
+#: Words between a quotation's end and the verb that reports it.
+BEHIND = 3
 #: Prior coefficients of the intercept and the outputs, and how firmly each is held.
 PRIOR = np.array([-3.0, 1.0, 1.2, 0.3, 0.4, 3.0])
-FIRMNESS = np.array([8.0, 0.5, 0.5, 0.5, 0.5, 0.5])
+FIRMNESS = np.array([50.0, 0.5, 0.5, 0.5, 0.5, 0.5])
+#: The share of labels taken to be wrong.
+NOISE = 0.01
 
 
-@dataclass
-class Transducer:
-    """moves[state][class] is the next state; marks[state] says what the state means."""
+#: arcs[state][symbol] is (next state, symbol given out, weight); a symbol without an arc keeps the state and passes.
+Transducer = list[dict[int, tuple[int, int, float]]]
+
+
+def compose(one: Transducer, two: Transducer) -> Transducer:
+    """The transducer that reads what one gives out with two, as far as it can be reached; weights multiply."""
+    number, arcs, todo = {(0, 0): 0}, [], [(0, 0)]
+    for a, b in todo:
+        row = {}
+        for symbol in range(14):
+            to_a, middle, u = one[a].get(symbol, (a, symbol, 1.0))
+            to_b, out, v = two[b].get(middle, (b, middle, 1.0))
+            if (to_a, to_b) not in number:
+                number[to_a, to_b] = len(number)
+                todo.append((to_a, to_b))
+            row[symbol] = (number[to_a, to_b], out, u * v)
+        arcs.append(row)
+    return arcs
+
+
+def _insults() -> Transducer:
+    back = {c: (0, c, 1.0) for c in range(14) if c not in (BOOST, INSULT)}
+    return [{INSULT: (0, PLAIN, 1.0), BOOST: (1, BOOST, 1.0)}, back | {INSULT: (0, PLAIN, BOOSTED)}]
 
-    moves: list[list[int]]
-    marks: list[str]
 
+def _negation(scope: int) -> Transducer:
+    """States 0 to scope: so many words are still negated; the last: all are."""
+    whole = scope + 1
+    arcs: Transducer = []
+    for s in range(whole + 1):
+        left = s if s == whole else max(0, s - 1)
+        row = {c: (left, c, 1.0) for c in range(14) if c != QUOTE} | {NEGATION: (max(s, scope), NEGATION, 1.0), NOBODY: (whole, NOBODY, 1.0)}
+        arcs.append(row | ({PLAIN: (left, NEGATED, 1.0), THREAT: (left, OTHER, 1.0)} if s else {}))
+    return arcs
 
-def _plain(on: int, mark: str) -> Transducer:
-    """Remembers one class to the end of the clause."""
-    return Transducer([[1 if c == on else 0 for c in range(6)], [1] * 6], ["", mark])
 
+def _reports() -> Transducer:
+    """What follows a report verb: all of it, or if a quotation opens, that."""
+    told = {c: REPORTED for c in (PLAIN, NEGATED)} | {THREAT: OTHER}
+    return [{REPORT: (1, REPORT, 1.0)}, *[{c: (s, out, 1.0) for c, out in told.items()} | {QUOTE: (to, QUOTE, 1.0)} for s, to in ((1, 2), (2, 0))]]
 
-def _scoped(on: int, mark: str, scope: int) -> Transducer:
-    """Remembers one class for so many words."""
-    return Transducer([[scope if c == on else max(0, s - 1) for c in range(6)] for s in range(scope + 1)], [""] + [mark] * scope)
 
+def _targets() -> Transducer:
+    """States: nothing, a target, a threat, both."""
+    return [
+        {TARGET: (1, TARGET, 1.0), THREAT: (2, THREAT, 1.0)},
+        {PLAIN: (1, AIMED, 1.0), THREAT: (3, MENACE, 1.0)},
+        {TARGET: (3, MENACE, 1.0)},
+        {PLAIN: (3, AIMED, 1.0)},
+    ]
 
-def compose(*parts: Transducer) -> tuple[list[list[int]], list[frozenset[str]]]:
-    """The product of transducers over the same classes, as far as it can be reached: moves and marks."""
-    start = (0,) * len(parts)
-    number, moves, marks, todo = {start: 0}, [], [], [start]
-    for state in todo:
-        row = []
-        for c in range(6):
-            to = tuple(p.moves[s][c] for p, s in zip(parts, state))
-            if to not in number:
-                number[to] = len(number)
-                todo.append(to)
-            row.append(number[to])
-        moves.append(row)
-        marks.append(frozenset(p.marks[s] for p, s in zip(parts, state)) - {""})
-    return moves, marks
 
+def _targets_behind() -> Transducer:
+    """From right to left; a menace stands for its target."""
+    return [{TARGET: (1, TARGET, 1.0), MENACE: (1, MENACE, 1.0)}, {PLAIN: (1, AIMED, 1.0)}]
 
-MOVES, MARKS = compose(_plain(TARGET, "aimed"), _scoped(NEGATION, "negated", SCOPE), _plain(REPORT, "reported"), _plain(THREAT, "threat"))
 
-_LETTERS = regex.compile(r"[\p{L}\p{M}']+")
-_ENDS = regex.compile(r"[.!?;:\n]")
+def _reports_behind(reach: int) -> Transducer:
+    """From right to left: a quotation that ends up to so many words before a report verb. The last state is within it."""
+    inside = reach + 2
+    arcs: Transducer = [{REPORT: (1, REPORT, 1.0)}]
+    for s in range(1, reach + 2):
+        arcs.append({c: ((s + 1) % (reach + 2), c, 1.0) for c in range(14) if c not in (REPORT, QUOTE)} | {REPORT: (1, REPORT, 1.0), QUOTE: (inside, QUOTE, 1.0)})
+    return [*arcs, {c: (inside, REPORTED, 1.0) for c in (PLAIN, AIMED, NEGATED)} | {MENACE: (inside, OTHER, 1.0), REPORT: (inside, REPORT, 1.0), QUOTE: (0, QUOTE, 1.0)}]
+
+
+FORWARD = compose(compose(compose(_insults(), _negation(SCOPE)), _reports()), _targets())
+BACKWARD = compose(_targets_behind(), _reports_behind(BEHIND))
+
+_PARTS = regex.compile(r"[\p{L}\p{M}']+|[\"\u201c\u201d\u201e\u00ab\u00bb]")
+_QUOTES = frozenset("\"\u201c\u201d\u201e\u00ab\u00bb")
+#: A clause's end; an end inside a quotation, which ends no clause that goes on with a report; an announcement.
+_ENDS = regex.compile(r"[.!?;]")
+_ENDS_QUOTE = regex.compile(r"[.!?][\"\u201c\u201d\u00ab\u00bb],?$")
+STOP, QUOTED_STOP, COLON = 1, 2, 3
 
 
 @dataclass
@@ -114,11 +164,11 @@ class Model:
         return 0.0
 
 
-_FIXED = {w: c for c, own in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in own}
+_FIXED = {w: c for c, own in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (NOBODY, NOBODIES), (REPORT, REPORTS), (THREAT, THREATS), (BOOST, BOOSTS)) for w in own}
 
 
 class Reader(dict):
-    """Tokens (space-separated) to tuples of (class, weight, word) for each word, with whether they end a clause."""
+    """Tokens (space-separated) to (class, weight, word) for each word, how they end a clause, and whether they matter."""
 
     def __init__(self, model: Model):
         super().__init__()
@@ -126,10 +176,13 @@ class Reader(dict):
 
     def read(self, token: str) -> tuple | None:
         words = []
-        for word in _LETTERS.findall(token.lower()):
-            weight = self.model.insult(word)
-            words.append((INSULT if weight else _FIXED.get(word, OTHER), weight, word))
-        ends = bool(_ENDS.search(token))
+        for word in _PARTS.findall(token.lower()):
+            if word in _QUOTES:
+                words.append((QUOTE, 0.0, word))
+            else:
+                weight = self.model.insult(word)
+                words.append((INSULT if weight else _FIXED.get(word, OTHER), weight, word))
+        ends = QUOTED_STOP if _ENDS_QUOTE.search(token) else STOP if _ENDS.search(token) else COLON if token.endswith(":") else 0
         matters = any(c in (INSULT, THREAT) for c, _, _ in words)
         return (words, ends, matters) if matters or ends or any(c for c, _, _ in words) else None
 
@@ -141,45 +194,51 @@ class Reader(dict):
             self[token] = found
         return found
 
+    @staticmethod
+    def _reports(read: list) -> bool:
+        return any(r and any(c == REPORT for c, _, _ in r[0]) for r in read)
+
+    def _over(self, read: list, i: int, lo: int) -> bool:
+        """Whether a clause that began at lo ends behind token i."""
+        ends = read[i][1] if read[i] else 0
+        if ends == COLON:
+            return not self._reports(read[lo : i + 1])
+        return ends == STOP or ends == QUOTED_STOP and not self._reports(read[i + 1 : i + 2 + BEHIND])
+
     def outputs(self, text: str | None) -> list[float]:
         """The sums of the grammar's five outputs over a whole text."""
         sums = [0.0] * OUTPUTS
-        tokens = (text or "").split()
-        read = list(map(self.__getitem__, tokens))
-        at = [i for i, r in enumerate(read) if r and r[2]]
-        if not at:
-            return sums
         used: set[tuple[int, str]] = set()
-        done = 0
-        for i in at:
-            if i < done:
-                continue
-            lo = i
-            while lo > done and not (read[lo - 1] and read[lo - 1][1]):
-                lo -= 1
-            hi = i
-            while hi < len(read) - 1 and not (read[hi] and read[hi][1]):
-                hi += 1
-            done = hi + 1
-            self._clause(read[lo:done], sums, used)
+        for line in (text or "").split("\n"):
+            read = list(map(self.__getitem__, line.split()))
+            at = [i for i, r in enumerate(read) if r and r[2]]
+            lo = done = 0
+            for i in at:
+                if i < done:
+                    continue
+                while done <= i:
+                    lo = done
+                    while done < len(read) and not self._over(read, done, lo):
+                        done += 1
+                    done += 1
+                self._clause(read[lo:done], sums, used)
         return sums
 
     @staticmethod
     def _clause(read: list, sums: list[float], used: set[tuple[int, str]]) -> None:
-        state, insults = 0, []
+        state, given = 0, []
         for r in read:
             for c, weight, word in r[0] if r and r[0] else ((OTHER, 0.0, ""),):
-                state = MOVES[state][c]
-                if c == INSULT:
-                    insults.append((weight, word, "negated" in MARKS[state], "reported" in MARKS[state]))
-        aimed = "aimed" in MARKS[state]
-        for weight, word, negated, reported in insults:
-            way = 3 if reported else 2 if negated else 1 if aimed else 0
-            if (way, word) not in used:
-                used.add((way, word))
-                sums[way] += weight
-        if aimed and "threat" in MARKS[state] and "negated" not in MARKS[state] and "reported" not in MARKS[state]:
-            sums[4] += 1.0
+                state, out, factor = FORWARD[state][c]
+                given.append((out, weight * factor, word))
+        state = 0
+        for c, weight, word in reversed(given):
+            state, out, factor = BACKWARD[state][c]
+            if out == MENACE:
+                sums[4] += 1.0
+            elif out >= PLAIN and (out, word) not in used:
+                used.add((out, word))
+                sums[out - PLAIN] += weight * factor
 
 
 def _featurise(shared, text_at: int):
@@ -213,7 +272,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS)
     """(toxic, text): the bounded sample of labelled rows that may be learned from."""
     own = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = own.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").filter("text is not null").select(F.col("toxic").cast("int").alias("toxic"), "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").filter("text is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    return rows.select(F.col("toxic").cast("int").alias("toxic"), "text")
 
 
 def _stems(words: Column, k: int) -> Column:
@@ -254,35 +314,39 @@ def _matches(shared):
     return run
 
 
-def pick(names: list[str], a: np.ndarray, b: np.ndarray, toxic: np.ndarray, has: np.ndarray, gain: float = 7.0, odds: float = 2.5, evidence: float = 11.0) -> list[int]:
+def pick(names: list[str], a: np.ndarray, b: np.ndarray, sizes: tuple[int, int], pairs: tuple[np.ndarray, np.ndarray], gain: float = 7.0, evidence: float = 11.0) -> list[int]:
     """The features that mark toxic rows: those with strong evidence of their own, then greedily what explains the rest.
 
-    Evidence is the log likelihood ratio of a feature's labels against the base rate; log odds must be over
-    odds.  A stem whose rows are those of one of its words is left to the word.
+    Evidence is the log likelihood ratio of a feature's labels against the base rate.  A stem whose rows are
+    those of one of its words is left to the word.  pairs are (toxic row, feature), sizes the numbers of toxic
+    and clean rows.
     """
-    n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
+    n_toxic, n_clean = sizes
+    rows, features = pairs
     share = n_toxic / (n_toxic + n_clean)
-    strong = np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1)) > odds
-    single = {n[1:]: i for i, n in enumerate(names) if n[0] == "="}
+    strong = np.ones(len(names), dtype=bool)
     most: dict[str, int] = {}
-    for word, i in single.items():
-        for k in STEMS:
-            most[word[:k]] = max(most.get(word[:k], 0), int(a[i]))
+    for i, name in enumerate(names):
+        if name[0] == "=":
+            for k in STEMS:
+                most[name[1 : k + 1]] = max(most.get(name[1 : k + 1], 0), int(a[i]))
     for i, n in enumerate(names):
         if n[0] != "=" and a[i] < 1.2 * most.get(n, 0) + 1:
             strong[i] = False
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = a * np.log(a / ((a + b) * share)) + np.where(b > 0, b * np.log(b / ((a + b) * (1 - share))), 0.0)
-    chosen = np.flatnonzero(strong & (ratio >= evidence)).tolist()
-    left = toxic & ~has[:, chosen].any(axis=1)
+    taken = strong & (ratio >= evidence)
+    chosen = np.flatnonzero(taken).tolist()
+    left = np.ones(n_toxic, dtype=bool)
+    left[rows[taken[features]]] = False
     while left.any() and strong.any():
-        u = has[left].sum(axis=0, dtype=np.int64)
+        u = np.bincount(features[left[rows]], minlength=len(names))
         gains = np.where(strong & (u >= 2), u * (np.log((u + 1) / (left.sum() + 2)) - np.log((b + 1) / (n_clean + 2))), 0.0)
         i = int(gains.argmax())
         if gains[i] < gain:
             break
         chosen.append(i)
-        left &= ~has[:, i]
+        left[rows[features == i]] = False
     return chosen
 
 
@@ -295,30 +359,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model:
     model = Model()
     if n_toxic and n_clean:
         odds = F.log((F.col("a") + 0.5) / (n_toxic + 1)) - F.log((F.col("n") - F.col("a") + 0.5) / (n_clean + 1))
-        best = counts.filter("a >= 2").withColumn("odds", odds).filter("odds > 1").orderBy(F.desc(F.col("a") * F.col("odds")), "f").limit(CANDIDATES).collect()
+        best = counts.filter("a >= 2").filter(odds > ODDS).orderBy("f").collect()  # words of the bounded sample
         names = [r["f"] for r in best]
-        found = rows.mapInArrow(_matches(context.broadcast({f: i for i, f in enumerate(names)})), "toxic int, found array<int>").toArrow()
-        lists = found["found"].combine_chunks()
-        has = np.zeros((len(lists), len(names)), dtype=bool)
-        has[np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy()] = True
-        toxic = found["toxic"].to_numpy() == 1
+        shared = context.broadcast({f: i for i, f in enumerate(names)})
+        lists = rows.filter("toxic = 1").mapInArrow(_matches(shared), "toxic int, found array<int>").toArrow()["found"].combine_chunks()
+        pairs = (np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
         a, b = (np.array([r[k] for r in best], dtype=np.int64).reshape(-1) for k in ("a", "n"))
-        chosen = pick(names, a, b - a, toxic, has)
+        chosen = pick(names, a, b - a, (n_toxic, n_clean), pairs)
         share = n_toxic / n_clean
         for i in chosen:
             w = float(np.log((a[i] + 0.5) / (n_toxic + 1)) - np.log((b[i] - a[i] + 0.5) / (n_clean + 1)))
             (model.words if names[i][0] == "=" else model.stems)[names[i].lstrip("=")] = w
         if model.stems:
-            stems = spark.createDataFrame([(s, w) for s, w in model.stems.items()], "stem string, w double")
-            under = F.broadcast(stems)  # at most CANDIDATES rows
+            stems = F.broadcast(spark.createDataFrame(list(model.stems.items()), "stem string, w double"))  # chosen from the sample's words
             words = counts.filter("f like '=%'").select(F.substring("f", 2, 1 << 30).alias("word"), "a", "n")
-            own = words.join(under, F.col("word").startswith(F.col("stem")) & (F.char_length("word") > F.char_length("stem")))
-            for r in own.orderBy(F.desc("n"), "word", "stem").limit(LEXICON).collect():
-                stem = max((s for s in model.stems if r["word"].startswith(s)), key=len)
-                if r["word"] not in model.words or r["word"] in model.words and stem == r["stem"]:
-                    q = 1 / (1 + np.exp(-model.stems[stem]))
-                    odds_w = (r["a"] + 2 * q) / ((r["n"] - r["a"]) * share + 2 * (1 - q))
-                    model.words[r["word"]] = float(np.log(odds_w))
+            stem = F.explode(F.array(*[F.when(F.char_length("word") > k, F.substring("word", 1, k)) for k in STEMS])).alias("stem")
+            own = words.select("word", "a", "n", stem).join(stems, "stem").groupBy("word").agg(F.max("a").alias("a"), F.max("n").alias("n"), F.max_by("stem", F.char_length("stem")).alias("stem"))
+            for r in own.orderBy("word").collect():
+                q = 1 / (1 + np.exp(-model.stems[r["stem"]]))
+                odds_w = (r["a"] + 2 * q) / ((r["n"] - r["a"]) * share + 2 * (1 - q))
+                model.words[r["word"]] = float(np.log(odds_w))
     for w in SEEDS:
         model.words.setdefault(w, SEED_WEIGHT)
     x = sampled.mapInArrow(_featurise(context.broadcast(model), 1), "toxic int, text string, __x array<double>").select("toxic", "__x").toArrow()
@@ -328,14 +388,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model:
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Newton steps towards the penalised optimum around PRIOR; signs of evidence stay as in the prior."""
+def _logistic(x: np.ndarray, y: np.ndarray, noise: float = NOISE) -> np.ndarray:
+    """Scoring steps towards the penalised optimum around PRIOR; signs of evidence stay as in the prior."""
     beta = PRIOR.copy()
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        slope = x.T @ (y - p) - FIRMNESS * (beta - PRIOR)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(FIRMNESS), slope)
-        step *= min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
+        seen, bend = noise + (1 - 2 * noise) * p, (1 - 2 * noise) * p * (1 - p)
+        spread = seen * (1 - seen)
+        slope = x.T @ ((y - seen) * bend / spread) - FIRMNESS * (beta - PRIOR)
+        step = np.linalg.solve((x * (bend * bend / spread)[:, None]).T @ x + np.diag(FIRMNESS), slope)
+        step *= min(1.0, 1.0 / max(1e-12, np.abs(step).max()))
         beta = beta + step
         beta[1:] = np.maximum(beta[1:], 0)
         if np.abs(step).max() < 1e-8:

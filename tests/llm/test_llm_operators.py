@@ -396,6 +396,63 @@ def test_clause_grammar():
     assert reader.outputs("The note said idiot") == [0, 0, 0, 2.0, 0]
     assert reader.outputs("I will kill you; I will not kill them") == [0, 0, 0, 0, 1.0]
     assert reader.outputs(None) == [0.0] * 5
+    assert reader.outputs("He said: you idiot") == [0, 0, 0, 2.0, 0]
+    assert reader.outputs('"You idiot," she said') == [0, 0, 0, 2.0, 0]
+    assert reader.outputs('"What an idiot!" she said. "Fine."') == [0, 0, 0, 2.0, 0]
+    assert reader.outputs('"What an idiot!" And so on') == [2.0, 0, 0, 0, 0]
+    assert reader.outputs('He said "you idiot" and left, scum') == [0, 3.0, 0, 2.0, 0]
+    assert reader.outputs("Nobody calls you an idiot") == [0, 0, 2.0, 0, 0]
+    assert reader.outputs("you are fine\nidiot") == [2.0, 0, 0, 0, 0]  # a line ends a clause
+    assert reader.outputs("List: you idiot") == [0, 2.0, 0, 0, 0]
+    assert reader.outputs("such scum") == [3.0 * toxicity.BOOSTED, 0, 0, 0, 0]
+    assert reader.outputs("He said he would kill you") == [0.0] * 5
+    assert reader.outputs("an idiot you are") == [0, 2.0, 0, 0, 0]
+
+
+def test_composition_is_one_transducer_after_the_other():
+    rnd = random.Random(6)
+
+    def run(arcs, symbols):
+        state, out, weight = 0, [], 1.0
+        for c in symbols:
+            state, c, w = arcs[state].get(c, (state, c, 1.0))
+            out.append(c)
+            weight *= w
+        return out, weight
+
+    parts = [toxicity._insults(), toxicity._negation(toxicity.SCOPE), toxicity._reports(), toxicity._targets()]
+    for _ in range(500):
+        read = [rnd.randrange(9) for _ in range(rnd.randrange(20))]
+        out, weight = read, 1.0
+        for p in parts:
+            out, w = run(p, out)
+            weight *= w
+        assert run(toxicity.FORWARD, read) == (out, pytest.approx(weight))
+        behind = out[::-1]
+        for p in (toxicity._targets_behind(), toxicity._reports_behind(toxicity.BEHIND)):
+            behind, _ = run(p, behind)
+        assert run(toxicity.BACKWARD, out[::-1])[0] == behind
+
+
+@pytest.mark.parametrize("name", ["op2", "op8"])
+def test_awkward_rows_with_labels(spark, name):
+    """The fitted path over nulls, repeats, ties and contradicting labels."""
+    rows, labels = toxic_rows(120)
+    rows = [*AWKWARD, *((100 + d, t) for d, t in rows), (150, None), (151, "another text of one doc_id"), (None, "no id"), (None, None)]
+    labels = [*((100 + d, i % 2, t) for i, (d, _, t) in enumerate(labels)), (100, 1, 0), (101, None, 1), (102, 0, None), (None, 1, 1), (1, 1, 1), (2, 0, 0), (99_999, 1, 1)]
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    op = {"op2": toxicity.op2, "op8": mixing.op8}[name]
+    found = op(frame(spark, rows, extra=True), known).collect()
+    assert sorted(str(r.doc_id) for r in found) == sorted(str(r[0]) for r in rows)
+    if name == "op2":
+        assert all(0 <= r.score <= 1 for r in found)
+
+
+def test_one_training_row_a_doc_id(spark):
+    own = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1)
+    df = frame(spark, [(own, f"text {i}") for i in range(300)])
+    known = spark.createDataFrame([(own, 1, 1), (own, 1, 0)], "doc_id long, quality int, toxic int")
+    assert [tuple(r) for r in toxicity.training_rows(df, known, 1).collect()] == [(1, "text 0")]
 
 
 def test_mixing_reaches_targets(spark):

@@ -138,7 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Classi
     own = labels.filter("doc_id is not null and (quality is not null or toxic is not null)")
     own = own.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("x")).select("doc_id", domain(F.col("q"), F.col("x")).alias("y"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    labelled = bounded_batches(docs).select("doc_id", "text").join(F.broadcast(own), "doc_id").select("y", "text")  # at most sample rows
+    joined = bounded_batches(docs).select("doc_id", "text").join(F.broadcast(own), "doc_id")
+    labelled = joined.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text")).drop("doc_id")  # at most sample rows
     rows = labelled.mapInArrow(_featurise, "y int, shape array<double>, buckets array<int>").toArrow().combine_chunks()
     shapes = rows["shape"].combine_chunks().flatten().to_numpy().reshape(-1, SHAPES)
     lists = rows["buckets"].combine_chunks()

@@ -5,11 +5,13 @@ is an item of its own; all smaller groups are hashed into ``cells`` items.  Only
 quarter of a shard is cut, by a hash of doc_id, into parts of about that size; all others stay together.
 So there are at most 4 x cells + 12 x shards items whatever the input, and the packing itself, a loop over
 items in order of size, runs on the driver over a few thousand vectors: each goes to the shard where its
-dot product with the residual capacity is highest.  Items then move between shards while that evens out
-bytes.
+dot product with the residual capacity is highest.  Where a shard's bytes are then over the mean by more than
+``EVEN``, items move to the shard with the least bytes, but none that would take its tokens or rows over the
+fullest shard's by more than ``SLACK`` of the mean.
 
 Law: ``bytes`` (sizes near equal).  Slots are numbered gapless in each shard in two levels: a row number
-inside small sub-buckets, plus the sub-buckets' offsets.
+inside sub-buckets of some ten thousand rows, plus the sub-buckets' offsets, which are summed by shard and
+joined, not collected.
 
 Defined cases: a null text has no bytes and crc32 0, and the nulls form the group of the empty text;
 repeated rows are placed each; a null doc_id is placed like any other; an empty table gives an empty
@@ -26,7 +28,9 @@ from .common import WORD_BREAK, materialise
 
 SHARDS = 16
 CELLS = 4096
-ROWS_PER_SUB_BUCKET = 100_000
+ROWS_PER_SUB_BUCKET = 12_500
+EVEN = 0.002
+SLACK = 0.02
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -40,35 +44,46 @@ def _measured(docs: DataFrame) -> DataFrame:
     )
 
 
-def pack(items: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each item; items has a row of (bytes, tokens, rows) for each."""
-    total = items.sum(axis=0)
-    unit = items / np.where(total > 0, total, 1) * shards  # a full shard is (1, 1, 1)
+def place(unit: np.ndarray, shards: int) -> np.ndarray:
+    """Largest items first, each to the shard where its dot product with the residual capacity is highest."""
     left = np.ones((shards, 3))
-    at = np.zeros(len(items), dtype=np.int64)
+    at = np.zeros(len(unit), dtype=np.int64)
     for i in np.argsort(-unit.max(axis=1), kind="stable"):
         at[i] = k = int(np.argmax(left @ unit[i]))
         left[k] -= unit[i]
-    load = np.bincount(at, weights=items[:, 0], minlength=shards)
-    size = items[:, 0]
+    return at
+
+
+def even_out(unit: np.ndarray, at: np.ndarray, shards: int) -> np.ndarray:
+    """Moves that even out bytes, without costing tokens or rows more than SLACK."""
+    at, size = at.copy(), unit[:, 0]
+    load = np.stack([np.bincount(at, weights=unit[:, k], minlength=shards) for k in range(3)], axis=1)
+    most = load.max(axis=0)[1:] + SLACK
     stuck: set[int] = set()  # shards that no item can leave with a gain
-    for _ in range(2 * len(items)):
-        low = int(load.argmin())
-        high = max((k for k in range(shards) if k not in stuck), key=load.__getitem__, default=low)
-        gap = load[high] - load[low]
-        if high == low or gap <= 0:
+    for _ in range(2 * len(unit)):
+        low = int(load[:, 0].argmin())
+        high = max((k for k in range(shards) if k not in stuck), key=lambda k: load[k, 0], default=low)
+        gap = load[high, 0] - load[low, 0]
+        if high == low or gap <= 0 or load[:, 0].max() <= 1 + EVEN:
             break
-        mine = np.flatnonzero((at == high) & (size > 0) & (size < gap))
+        mine = np.flatnonzero((at == high) & (size > 0) & (size < gap) & (load[low, 1:] + unit[:, 1:] <= most).all(axis=1))
         if not len(mine):
             stuck.add(high)
             continue
         i = mine[np.argmin(np.abs(size[mine] - gap / 2))]
         at[i] = low
-        load[high] -= size[i]
-        load[low] += size[i]
+        load[high] -= unit[i]
+        load[low] += unit[i]
     return at
 
 
+def pack(items: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each item; items has a row of (bytes, tokens, rows) for each."""
+    total = items.sum(axis=0)
+    unit = items / np.where(total > 0, total, 1) * shards  # a full shard is (1, 1, 1)
+    return even_out(unit, place(unit, shards), shards)
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, cells: int = CELLS) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot, one row per row of docs."""
     spark = docs.sparkSession
@@ -89,16 +104,12 @@ def assign(docs: DataFrame, shards: int = SHARDS, cells: int = CELLS) -> DataFra
     at = pack(vectors, shards)
     plan = spark.createDataFrame([(r["cell"], r["part"], int(k)) for r, k in zip(items, at)], "cell long, part int, shard int")
     dealt = placed.join(F.broadcast(plan), ["cell", "part"]).select("doc_id", "size", "text_crc32", "shard")
-    subs = max(1, int(total[2]) // (shards * ROWS_PER_SUB_BUCKET) + 1) * 8
+    subs = int(total[2]) // (shards * ROWS_PER_SUB_BUCKET) + 1
     dealt = dealt.withColumn("sub", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(subs)).cast("int"))
-    counts = {(r["shard"], r["sub"]): r["count"] for r in dealt.groupBy("shard", "sub").count().collect()}
-    offsets, run = [], {}
-    for shard, sub in sorted(counts):
-        offsets.append((shard, sub, run.get(shard, 0)))
-        run[shard] = run.get(shard, 0) + counts[shard, sub]
-    base = spark.createDataFrame(offsets, "shard int, sub int, base long")
+    before = Window.partitionBy("shard").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)  # a row for each sub-bucket
+    base = dealt.groupBy("shard", "sub").agg(F.count("*").alias("n")).select("shard", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     order = Window.partitionBy("shard", "sub").orderBy("doc_id", "text_crc32", "size")
-    return dealt.withColumn("r", F.row_number().over(order)).join(F.broadcast(base), ["shard", "sub"]).select(
+    return dealt.withColumn("r", F.row_number().over(order)).join(base, ["shard", "sub"]).select(
         "doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("r") - 1).alias("slot")
     )
 

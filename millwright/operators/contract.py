@@ -18,11 +18,18 @@ class Checked:
     errors: DataFrame
 
 
-def check(df: DataFrame, rules: list[tuple[str, Column, Column | str]], on_error: str, guarded: str) -> Checked:
+def refuse(df: DataFrame, failed: Column, message: Column, keep: Column | None = None) -> DataFrame:
+    """df, or the rows of it to keep; a row that failed raises, whatever columns are asked for.
+
+    A filter isn't pruned as a column is, and as one expression neither half of it moves in front of the other.
+    """
+    return df.filter(F.when(failed, F.raise_error(message).cast("boolean")).otherwise(F.lit(True) if keep is None else keep))
+
+
+def check(df: DataFrame, rules: list[tuple[str, Column, Column | str]], on_error: str, keep: Column | None = None) -> Checked:
     """Applies rules (code, condition of failure, message) in order; the first that holds names the error.
 
-    In strict mode the error is raised where the guarded column is computed, so pruning other columns
-    doesn't lose it and a projection of that column can't skip it.
+    Of the rows that pass, those to keep are given out.
     """
     if on_error not in MODES:
         raise ValueError(f"on_error must be one of {MODES}")
@@ -31,9 +38,9 @@ def check(df: DataFrame, rules: list[tuple[str, Column, Column | str]], on_error
         text = F.lit(text) if isinstance(text, str) else text
         code = F.when(failed, F.lit(name)).otherwise(code)
         message = F.when(failed, text).otherwise(message)
-    marked = df.withColumns({"error_code": code, "error": message})
     if on_error == "quarantine":
-        return Checked(marked.filter("error_code is null").drop("error_code", "error"), marked.filter("error_code is not null"))
-    kind = df.schema[guarded].dataType
-    raised = F.when(F.col("error_code").isNotNull(), F.raise_error(F.concat_ws(": ", "error_code", "error")).cast(kind)).otherwise(F.col(guarded))
-    return Checked(marked.withColumn(guarded, raised).drop("error_code", "error"), marked.filter(F.lit(False)))
+        marked = df.withColumns({"error_code": code, "error": message})
+        passed = F.col("error_code").isNull() if keep is None else F.col("error_code").isNull() & keep
+        return Checked(marked.filter(passed).drop("error_code", "error"), marked.filter("error_code is not null"))
+    rows = refuse(df, code.isNotNull(), F.concat_ws(": ", code, message), keep)
+    return Checked(rows, df.withColumns({"error_code": code, "error": message}).filter(F.lit(False)))

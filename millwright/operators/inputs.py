@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import SCOPE
+from .contract import refuse
 
 
 def period_totals(periods: DataFrame, keys: tuple[str, ...] = ("machine_id", "shift_id", "production_date")) -> DataFrame:
@@ -38,8 +39,7 @@ def derive_inputs(schedules: DataFrame, periods: DataFrame, entries: DataFrame,
     base = schedules
     if on_error == "strict":
         lost = entries_out_of_scope(entries, schedules).agg(F.count("*").alias("__lost"))  # one row
-        planned = F.when(F.col("__lost") > 0, F.raise_error(F.lit("E6: a production entry is out of scope")).cast("bigint")).otherwise(F.col("planned_us"))
-        base = schedules.join(F.broadcast(lost)).withColumn("planned_us", planned).drop("__lost")
+        base = refuse(schedules.join(F.broadcast(lost)), F.col("__lost") > 0, F.lit("E6: a production entry is out of scope")).drop("__lost")
     return (
         base.join(period_totals(periods), ["machine_id", "shift_id", "production_date"], "left")
         .join(quantities(entries), list(SCOPE), "left")

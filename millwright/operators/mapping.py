@@ -38,17 +38,23 @@ def map_observations(observations: DataFrame, mappings: DataFrame, on_error: str
     Errors, in this order: several mappings for a key that is observed (E2), a mapping of another type
     (E3), an inversion of what is no digital true or false (E4).
     """
-    hit = _join(observations, mappings, "inner")
+    return _map(observations, mappings, on_error, None)
+
+
+def _map(observations: DataFrame, mappings: DataFrame, on_error: str, machine_id: str | None) -> Checked:
+    foreign = [] if machine_id is None else [("E1", F.col("machine_id") != machine_id, "the observation belongs to another machine")]
+    hit = _join(observations, mappings, "left" if foreign else "inner")  # foreign rows must reach the check
     digital = (F.col("type") == "Digital") & F.col("value.bool").isNotNull()
     checked = check(
         hit,
         [
+            *foreign,
             ("E2", F.col("__n") > 1, "several mappings for one source and address"),
             ("E3", F.col("__map.type") != F.col("type"), "the mapping's type differs from the observation's"),
             ("E4", F.col("__map.invert") & ~F.coalesce(digital, F.lit(False)), "only a digital value can be inverted"),
         ],
         on_error,
-        "value",
+        F.col("__n").isNotNull(),
     )
     inverted = F.col("value").withField("bool", ~F.col("value.bool"))
     columns = [F.col(c) for c in _OBSERVED if c in observations.columns and c != "value"]
@@ -64,9 +70,7 @@ def unmapped_observations(observations: DataFrame, mappings: DataFrame) -> DataF
 
 def map_with_configuration(observations: DataFrame, mappings: DataFrame, machine_id: str, on_error: str = "strict") -> Checked:
     """Like map_observations with the mappings of one machine; an observation of another machine is an error (E1)."""
-    own = check(observations, [("E1", F.col("machine_id") != machine_id, "the observation belongs to another machine")], on_error, "value")
-    mapped = map_observations(own.rows, mappings.withColumn("machine_id", F.lit(machine_id)), on_error)
-    return Checked(mapped.rows, own.errors.select(*observations.columns, "error_code", "error").union(mapped.errors))
+    return _map(observations, mappings.withColumn("machine_id", F.lit(machine_id)), on_error, machine_id)
 
 
 def map_simple(observations: DataFrame, mappings: DataFrame, definitions: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, lookup, with_entry
+from .contract import Checked, check
 
 RATIO = "decimal(24,12)"
 _NO_METRICS = "array<struct<metric_key:string,value:double,is_available:boolean,reason:string>>"
@@ -137,8 +138,9 @@ class Engine:
             value, reason = self.calculate(p.metric_key, find, p)
             out = out.withColumns({f"__v_{i}": value, f"__r_{i}": reason})
             # what an available result is called becomes that input; an unavailable one leaves it as it was
-            shape = "decimal(16,12)" if number.startswith("decimal") else number
+            # decimals leave room for a product of three results; what replaces an input has the input's size
             before = working.get(p.metric_key.lower())
+            shape = ("decimal(28,12)" if before else "decimal(20,12)") if number.startswith("decimal") else number
             result = F.col(f"__v_{i}").cast(shape)
             out = out.withColumn(f"__w_{i}", F.coalesce(result, F.col(before).cast(shape)) if before else result)
             working[p.metric_key.lower()] = f"__w_{i}"
@@ -175,6 +177,19 @@ class Engine:
         return F.aggregate(policies, start, step, lambda s: s["done"])
 
 
+def check_scopes(df: DataFrame, derived: Column, additional: Column, policies: Column | None = None, on_error: str = "quarantine") -> Checked:
+    """Scopes whose additional inputs (a map) would replace derived ones (E7), or whose policies name a metric twice (E8).
+
+    In quarantine mode they are set apart, so that one bad scope doesn't end the job.
+    """
+    folded = [F.transform(F.map_keys(m), fold) for m in (derived, additional)]
+    rules = [("E7", F.arrays_overlap(*folded), "additional input would replace another input")]
+    if policies is not None:
+        keys = F.transform(policies, lambda p: fold(p["metric_key"]))
+        rules.append(("E8", F.size(F.array_distinct(keys)) < F.size(keys), "a metric policy is duplicated"))
+    return check(df, rules, on_error)
+
+
 def merge_inputs(derived: Column, additional: Column) -> Column:
     """Two maps with folded keys as one; a key in both raises (E7)."""
     clash = F.arrays_overlap(F.map_keys(derived), F.map_keys(additional))

@@ -1,16 +1,22 @@
 """Machine states from signals, changes of state, and periods of activity.
 
-Everything is keyed by machine: one shuffle serves snapshots, transitions and periods, since Spark keeps
-the partitioning by machine_id through consecutive windows.
+A machine may have a third of all rows, so its history is cut into slices of arrival (days), which are sorted
+and streamed apart; what a slice must know of its neighbours (the last state or reading before it, the
+first event behind it) is one small row a machine and slice, carried over in a second, small window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 from ..functions.text import fold, microseconds
+from ..schemas import SIGNAL
 
+#: Ordinals in a slice, where arrival is by ordinal.
+SLICE = 1_000_000
 ORDER = ("timestamp", "ordinal")
 STATE_SIGNALS = ("state.running", "state.idle", "state.fault")
 
@@ -35,22 +41,47 @@ def evaluate_states(snapshots: DataFrame) -> DataFrame:
     return snapshots.withColumn("state", state).drop("signals")
 
 
+def _slices(df: DataFrame, order: tuple[str, ...]) -> tuple[DataFrame, WindowSpec]:
+    """df with the slice of arrival of each row (__slice), and the window of a machine's slice in arrival order."""
+    first = F.col(order[0])
+    if isinstance(df.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        part = F.coalesce(F.to_date(first), F.lit("0001-01-01").cast("date"))
+    else:
+        part = F.coalesce(F.floor(first / SLICE), F.lit(-(2**62)))
+    return df.withColumn("__slice", part), Window.partitionBy("machine_id", "__slice").orderBy(*order)
+
+
+def _by_slice() -> WindowSpec:
+    """Over a row for each slice."""
+    return Window.partitionBy("machine_id").orderBy("__slice")
+
+
 def assemble_snapshots(mapped: DataFrame, keys: tuple[str, ...] = STATE_SIGNALS, order: tuple[str, ...] = ORDER) -> DataFrame:
     """One snapshot for each observation: the latest reading of each key so far, in the order of keys.
 
     A reading without a value counts as the latest: an unavailable signal isn't replaced by an older one.
     """
-    so_far = Window.partitionBy("machine_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sliced, arrival = _slices(mapped, order)
+    so_far = arrival.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reading = F.struct(F.col("signal_key").alias("key"), "type", "value", "source", "quality", "timestamp")
-    latest = [F.last(F.when(fold(F.col("signal_key")) == k, reading), ignorenulls=True).over(so_far) for k in keys]
-    return mapped.select("machine_id", F.filter(F.array(*latest), lambda s: s.isNotNull()).alias("signals"), *order)
+    names = [f"__k{i}" for i in range(len(keys))]
+    latest = {n: F.last(F.when(fold(F.col("signal_key")) == k, reading), ignorenulls=True).over(so_far) for n, k in zip(names, keys)}
+    marked = sliced.withColumns(latest | {"__end": F.lead(F.lit(1)).over(arrival).isNull()}).select("machine_id", "__slice", *order, *names, "__end")
+    before = _by_slice().rowsBetween(Window.unboundedPreceding, -1)
+    carried = marked.filter("__end").select("machine_id", "__slice", *[F.last(n, ignorenulls=True).over(before).alias(f"{n}c") for n in names])
+    joined = marked.join(carried, ["machine_id", "__slice"], "left")
+    return joined.select("machine_id", F.filter(F.array(*[F.coalesce(n, f"{n}c") for n in names]), lambda s: s.isNotNull()).alias("signals"), *order)
 
 
 def transitions(states: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
     """Changes of state for each machine in arrival order; before its first row a machine is unknown."""
-    arrival = Window.partitionBy("machine_id").orderBy(*order)
-    previous = F.coalesce(F.lag("state").over(arrival), F.lit("Unknown"))
-    return states.select("machine_id", previous.alias("previous_state"), F.col("state").alias("current_state"), *order).filter("previous_state <> current_state")
+    sliced, arrival = _slices(states, order)
+    place = {"__before": F.lag("state").over(arrival), "__first": F.row_number().over(arrival) == 1, "__end": F.lead(F.lit(1)).over(arrival).isNull()}
+    marked = sliced.withColumns(place).select("machine_id", "__slice", "state", *order, *place)
+    carried = marked.filter("__end").select("machine_id", "__slice", F.lag("state").over(_by_slice()).alias("__carried"))
+    previous = F.coalesce(F.when(F.col("__first"), F.col("__carried")).otherwise(F.col("__before")), F.lit("Unknown"))
+    joined = marked.join(carried, ["machine_id", "__slice"], "left")
+    return joined.select("machine_id", previous.alias("previous_state"), F.col("state").alias("current_state"), *order).filter("previous_state <> current_state")
 
 
 def activity_periods(changes: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
@@ -58,9 +89,19 @@ def activity_periods(changes: DataFrame, order: tuple[str, ...] = ORDER) -> Data
 
     Events that repeat a state close a period too, and a period is negative if time runs backwards.
     """
-    arrival = Window.partitionBy("machine_id").orderBy(*order)
-    closed = changes.withColumn("ended_at", F.lead("timestamp").over(arrival)).filter("ended_at is not null")
+    sliced, arrival = _slices(changes, order)
+    place = {"__next": F.lead("timestamp").over(arrival), "__first": F.row_number().over(arrival) == 1, "__end": F.lead(F.lit(1)).over(arrival).isNull()}
+    marked = sliced.withColumns(place)
+    carried = marked.filter("__first").select("machine_id", "__slice", F.lead("timestamp").over(_by_slice()).alias("__carried"))
+    ended = F.when(F.col("__end"), F.col("__carried")).otherwise(F.col("__next"))
+    closed = marked.join(carried, ["machine_id", "__slice"], "left").withColumn("ended_at", ended).filter("ended_at is not null")
     return closed.select(
         "machine_id", F.col("current_state").alias("state"), F.col("timestamp").alias("started_at"), "ended_at",
         microseconds(F.col("timestamp"), F.col("ended_at")).alias("duration_us"),
     )
+
+
+def empty_snapshots(spark: SparkSession, machine_ids: list[str]) -> DataFrame:
+    """A snapshot without signals for each machine, as of now: its state is unknown."""
+    machines = spark.createDataFrame([(m,) for m in machine_ids], "machine_id string")
+    return machines.select("machine_id", F.array().cast(f"array<{SIGNAL}>").alias("signals"), F.current_timestamp().alias("timestamp"), F.lit(0).cast("bigint").alias("ordinal"))

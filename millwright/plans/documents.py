@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .adapter import MACHINES, _events
 
 BLOCK = 500
+#: The machine whose agent restarts after its first block.
+RESTARTED = "7"
 
 
 def sample_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +21,7 @@ def sample_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.reverse(F.sort_array(F.collect_list(F.struct("event_id", reading.alias("x"))))).alias("r"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi")
     )
     body = F.array_join(F.transform("r", lambda r: r["x"]), "")
-    head = F.format_string('<m:Doc xmlns:m="urn:example"><m:Header instanceId="42" firstSequence="%d" lastSequence="%d" nextSequence="%d"/><m:Streams><m:DeviceStream name="Machine-%s" uuid="u%s"><m:ComponentStream component="C" componentId="c"><m:Samples>', "lo", "hi", F.col("hi") + 1, "machine_id", "machine_id")
+    head = F.format_string('<m:Doc xmlns:m="urn:example"><m:Header instanceId="%d" firstSequence="%d" lastSequence="%d" nextSequence="%d"/><m:Streams><m:DeviceStream name="Machine-%s" uuid="u%s"><m:ComponentStream component="C" componentId="c"><m:Samples>', F.when((F.col("machine_id") == RESTARTED) & (F.col("block") >= 1), 43).otherwise(42), "lo", "hi", F.col("hi") + 1, "machine_id", "machine_id")
     return grouped.select(
         (F.col("block") * MACHINES + F.col("machine_id").cast("int")).cast("bigint").alias("payload_id"),
         F.concat(head, body, F.lit("</m:Samples></m:ComponentStream></m:DeviceStream></m:Streams></m:Doc>")).alias("xml"),

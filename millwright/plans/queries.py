@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog
 from ..operators.configuration import is_effective, policy_of, resolve_configurations
-from ..operators.inputs import derive_inputs, quantities
-from ..operators.mapping import map_observations, map_simple, unmapped_observations
-from ..operators.metrics import POLICIES, Engine, metrics_long
+from ..operators.contract import Checked
+from ..operators.inputs import derive_inputs, entries_out_of_scope, quantities
+from ..operators.mapping import map_observations, map_simple, map_with_configuration, unmapped_observations
+from ..operators.metrics import POLICIES, Engine, check_scopes, metrics_long
 from ..operators.state import activity_periods, assemble_snapshots, evaluate_states, transitions
 from ..schemas import SCOPE, schema
 from ..sources import xml
-from ..sources.agent import Session
+from ..sources.cursor import cursor_trace
 from ..sources.simulator import simulate
 from ..streaming.state import track_activity
 from . import adapter, documents, shift
@@ -148,7 +149,8 @@ def t3_transition_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_TRANSITIONS)
 def t3_streaming_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keyed stream over the events table as a file stream, run to its end."""
-    events = spark.readStream.schema(adapter.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern may name a file or a folder
+    # a bounded number of files a batch: a machine's rows of a batch are sorted in one worker's memory
+    events = spark.readStream.schema(adapter.table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/event[s].parquet")  # a pattern may name a file or a folder
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.col("event_type")
     state = F.when(k % 20 >= 18, "Unknown").when(kind == "error", "Fault").when(kind.isin("click", "view"), "Running").when(kind == "purchase", "Idle").otherwise("Stopped")
@@ -317,24 +319,22 @@ def s9_sample_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("payload_id", *[F.col(c).cast("bigint").alias(c) for c in ("first_sequence", "last_sequence", "next_sequence")])
 
 
-@_query("SELECT * FROM (VALUES (1, 101, 42, 111), (2, 111, 42, 121), (3, 121, 42, 121)) AS t(step, requested, instance, next)")
-def s10_cursor_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cursor over three answers; the last comes from another instance and leaves it where it was."""
-    answers = iter([(42, 111), (42, 121), (43, 131)])
+_DOCS = f"""{_EV}, d AS (SELECT machine_id, event_id // {documents.BLOCK} AS block, (event_id // {documents.BLOCK} * 10 + machine_id::INTEGER)::BIGINT AS payload_id, min(event_id) AS lo, max(event_id) + 1 AS next,
+  CASE WHEN machine_id = '{documents.RESTARTED}' AND event_id // {documents.BLOCK} >= 1 THEN 43 ELSE 42 END AS instance_id FROM ev GROUP BY ALL)"""
 
-    def read(since: int) -> dict:
-        instance, following = next(answers)
-        return {"instance_id": instance, "next_sequence": following, "observations": []}
 
-    session, trace = Session(read, 101), []
-    for step in (1, 2, 3):
-        asked = session.cursor["next"]
-        try:
-            session.next()
-        except RuntimeError:
-            pass
-        trace.append((step, asked, session.cursor["instance"], session.cursor["next"]))
-    return spark.createDataFrame(trace, "step int, requested int, instance int, next int")
+@_query(
+    f"""WITH {_DOCS}, f AS (SELECT *, first_value(instance_id) OVER (PARTITION BY machine_id ORDER BY block) AS instance FROM d),
+m AS (SELECT *, CASE WHEN instance_id = instance THEN next END AS moved FROM f)
+SELECT machine_id, payload_id, coalesce(last_value(moved IGNORE NULLS) OVER (PARTITION BY machine_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lo) AS requested, instance,
+  last_value(moved IGNORE NULLS) OVER (PARTITION BY machine_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS next, CASE WHEN moved IS NULL THEN 'E13' END AS error_code FROM m"""
+)
+def s10_cursor_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cursor for each machine over all of its sample documents; one machine's agent restarts."""
+    found = xml.sample_envelopes(documents.sample_documents(spark, sf_dir))
+    machine = (F.col("payload_id") % adapter.MACHINES).cast("string")
+    traced = cursor_trace(found.withColumn("machine_id", machine), order="payload_id")
+    return traced.select("machine_id", "payload_id", *[F.col(c).cast("bigint").alias(c) for c in ("requested", "instance", "next")], "error_code")
 
 
 @_query("SELECT r_name AS factory, n_name AS line, s_suppkey::VARCHAR AS machine_id, s_name AS machine, 'state.running' AS key FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -370,6 +370,72 @@ def e_mapping_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.groupBy("error_code").agg(F.count("*").alias("n"))
 
 
+def _codes(checked: Checked) -> DataFrame:
+    codes = checked.errors.select("error_code").union(checked.rows.select(F.lit(None).cast("string").alias("error_code")))
+    return codes.groupBy("error_code").agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_EV} SELECT CASE WHEN machine_id <> '3' THEN 'E1' END AS error_code, count(*)::BIGINT AS n FROM ev WHERE machine_id <> '3' OR event_type <> 'signup' GROUP BY ALL")
+def e1_foreign_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All machines' observations under the configuration of one."""
+    maps = adapter.signal_mappings(spark, signup=False).filter("machine_id = '3'")
+    return _codes(map_with_configuration(adapter.observations(spark, sf_dir), maps, "3", on_error="quarantine"))
+
+
+@_query(f"WITH {_EV} SELECT CASE WHEN event_type = 'signup' THEN 'E4' END AS error_code, count(*)::BIGINT AS n FROM ev GROUP BY ALL")
+def e4_inverted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-ups come as text, and their mapping inverts."""
+    text = F.col("address") == "signup"
+    value = F.struct(F.lit(None).cast("boolean").alias("bool"), F.lit(None).cast("decimal(38,9)").alias("num"), F.lit("on").alias("text"), F.lit(None).cast("timestamp").alias("ts"))
+    observed = adapter.observations(spark, sf_dir).withColumns({"type": F.when(text, "Text").otherwise(F.col("type")), "value": F.when(text, value).otherwise(F.col("value"))})
+    maps = adapter.signal_mappings(spark).withColumn("type", F.when(text, "Text").otherwise(F.col("type")))
+    return _codes(map_observations(observed, maps, on_error="quarantine"))
+
+
+@_query(f"WITH {_EV} SELECT machine_id, count(*)::BIGINT AS n FROM ev WHERE event_type = 'purchase' AND machine_id::INTEGER % 2 = 1 GROUP BY ALL")
+def e6_entries_out_of_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of machines that no schedule has."""
+    scheduled = adapter.schedules(spark, sf_dir).filter("cast(machine_id as int) % 2 = 0")
+    return entries_out_of_scope(adapter.production_entries(spark, sf_dir), scheduled).groupBy("machine_id").agg(F.count("*").alias("n"))
+
+
+@_query(
+    f"""WITH {_ME} SELECT machine_id, CASE WHEN machine_id::INTEGER % 3 = 0 THEN 'E7' WHEN machine_id::INTEGER % 3 = 1 THEN 'E8' END AS error_code, count(*)::BIGINT AS n FROM v GROUP BY ALL"""
+)
+def e7_e8_bad_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some machines' additional inputs name a derived one, and some list a metric twice; the others pass (null)."""
+    scopes = adapter.schedules(spark, sf_dir)
+    kind = F.col("machine_id").cast("int") % 3
+    derived, additional = F.create_map(F.lit("APT"), F.lit(1.0)), F.create_map(F.when(kind == 0, "apt").otherwise("not"), F.lit(2.0))
+    listed = F.array(*[F.struct(F.lit(k).alias("metric_key")) for k in ("quality", "oee")])
+    policies = F.when(kind == 1, F.concat(listed, F.array(F.struct(F.lit("Quality").alias("metric_key"))))).otherwise(listed)
+    checked = check_scopes(scopes, derived, additional, policies)
+    passed = checked.rows.select("machine_id", F.lit(None).cast("string").alias("error_code"))
+    return checked.errors.select("machine_id", "error_code").union(passed).groupBy("machine_id", "error_code").agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_DOCS} SELECT CASE payload_id % 5 WHEN 0 THEN 'E9' WHEN 1 THEN 'E10' WHEN 2 THEN 'E11' WHEN 3 THEN 'E16' END AS error_code, count(*)::BIGINT AS n FROM d GROUP BY ALL")
+def e9_e16_bad_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a bad header, two streams of one device, a bad time, or a blank device key; a fifth is sound (null)."""
+    kind, body = F.col("payload_id") % 5, F.col("xml")
+    twice = F.concat(F.lit('<m:Streams><m:DeviceStream name="'), F.col("device_key"), F.lit('"/>'))
+    spoiled = F.when(kind == 0, F.regexp_replace(body, "firstSequence=\"", "firstSequence=\"+")).when(kind == 1, F.replace(body, F.lit("<m:Streams>"), twice))
+    spoiled = spoiled.when(kind == 2, F.regexp_replace(body, " timestamp=\"", " timestamp=\"x")).otherwise(body)
+    payloads = documents.sample_documents(spark, sf_dir).withColumns({"xml": spoiled, "device_key": F.when(kind == 3, " ").otherwise(F.col("device_key"))})
+    code = F.regexp_extract("error", "^E[0-9]+", 0)
+    return xml.sample_envelopes(payloads, on_error="quarantine").select(code.alias("error_code")).groupBy("error_code").agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_EV} SELECT machine_id, CASE WHEN machine_id::INTEGER % 2 = 1 THEN 'E12' END AS error_code, CASE WHEN machine_id::INTEGER % 2 = 1 THEN 1 ELSE count(DISTINCT event_type) + 1 END::BIGINT AS n FROM ev GROUP BY machine_id")
+def e12_probes_without_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other machine's probe has a data item without an id."""
+    payloads = documents.probe_documents(spark, sf_dir)
+    spoiled = F.when(F.col("payload_id") % 2 == 1, F.replace(F.col("xml"), F.lit('id="avail" '), F.lit(""))).otherwise(F.col("xml"))
+    rows = xml.probe_items(payloads.withColumn("xml", spoiled), on_error="quarantine")
+    code = F.regexp_extract("error", "^E[0-9]+", 0)
+    return rows.groupBy(F.col("payload_id").cast("string").alias("machine_id"), code.alias("error_code")).agg(F.count("*").alias("n"))
+
+
 @_query(
     f"""WITH {_ME} SELECT machine_id, shift_id, production_date, metric_key, value, reason FROM (
   SELECT machine_id, shift_id, production_date, 'availability' AS metric_key, a AS value, NULL AS reason, 0 AS odd FROM v

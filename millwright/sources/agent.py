@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import os
+import re
 import urllib.request
 from collections.abc import Callable, Iterator
 from decimal import Decimal
@@ -91,7 +91,8 @@ def _tuple(r: dict, *more: str) -> tuple:
 
 class AgentSource(DataSource):
     """format("machine_agent"): options url, machine_id, device_key, mode (probe, current; sample for streams),
-    from, and landing, a folder that driver and executors share where fetched samples are kept until committed.
+    from, and landing, a folder of the query's own that driver and executors share, where fetched samples are kept
+    until a later one is committed.
     """
 
     @classmethod
@@ -101,8 +102,8 @@ class AgentSource(DataSource):
     def schema(self) -> str:
         mode = self.options.get("mode", "sample")
         if mode == "probe":
-            return "device_id string, device_name string, device_uuid string, item_id string, item_name string, item_type string, category string, units string"
-        return ("sequence decimal(20,0), " if mode == "sample" else "") + xml.OBSERVATION
+            return xml.PROBE_ITEM
+        return ("sequence decimal(20,0), " if mode == "sample" else "doc_ordinal int, ") + xml.OBSERVATION
 
     def reader(self, schema) -> DataSourceReader:
         return _AgentReader(dict(self.options))
@@ -122,12 +123,10 @@ class _AgentReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if self.options.get("mode") == "probe":
-            for d in discover(self.endpoint)["devices"]:
-                for i in d["data_items"]:
-                    yield (d["id"], d["name"], d["uuid"], i["id"], i["name"], i["type"], i["category"], i["units"])
+            yield from (tuple(r.values()) for r in xml.probe_rows(discover(self.endpoint)))
         else:
-            for r in read_current(self.endpoint, self.options["machine_id"], self.options["device_key"]):
-                yield _tuple(r)
+            for n, r in enumerate(read_current(self.endpoint, self.options["machine_id"], self.options["device_key"])):
+                yield _tuple(r | {"doc_ordinal": n}, "doc_ordinal")
 
 
 class _AgentStream(SimpleDataSourceStreamReader):
@@ -143,8 +142,10 @@ class _AgentStream(SimpleDataSourceStreamReader):
         return {"instance": None, "next": int(self.options.get("from", "1"))}
 
     def _path(self, start: dict) -> str:
-        name = hashlib.sha256(json.dumps([self.endpoint.base, start["instance"], start["next"]]).encode()).hexdigest()
-        return f"{self.landing}/{name}.xml"
+        return f"{self.landing}/{self._prefix()}-{start['instance']}-{start['next']:020d}.xml"
+
+    def _prefix(self) -> str:
+        return hashlib.sha256(self.endpoint.base.encode()).hexdigest()[:16]
 
     def _sample(self, body: str) -> dict:
         return xml.parse_sample(body, self.options["machine_id"], self.options["device_key"])
@@ -174,7 +175,10 @@ class _AgentStream(SimpleDataSourceStreamReader):
             start = advance(start, sample)
 
     def commit(self, end: dict) -> None:
-        """Landed documents may be needed until Spark drops the batch; they are small, and kept."""
+        """Batches up to end are written: what was landed for them goes, and a replay begins at end."""
+        for name in os.listdir(self.landing):
+            if (m := re.fullmatch(rf"{self._prefix()}-\w+-(\d+)\.xml", name)) and int(m[1]) < end["next"]:
+                os.remove(f"{self.landing}/{name}")
 
 
 def _row(r: dict) -> tuple:

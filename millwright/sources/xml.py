@@ -79,9 +79,14 @@ _NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", re.ASCII)
 _LARGEST = Decimal("79228162514264337593543950335")
 
 
-def _stream_of(root: ElementTree.Element, device_key: str) -> ElementTree.Element | None:
-    if not device_key or not device_key.strip():
+def _device_root(xml: str | None, device_key: str) -> ElementTree.Element:
+    """The document's root; a blank document or key is told before anything in the document is."""
+    if xml and xml.strip() and not (device_key and device_key.strip()):
         raise InvalidDocument("E16", "a device key is required")
+    return _root(xml)
+
+
+def _stream_of(root: ElementTree.Element, device_key: str) -> ElementTree.Element | None:
     key = device_key.lower()
     found = [e for e in root.iter() if _name(e) == "DeviceStream" and key in ((_attribute(e, a) or "").lower() for a in ("name", "uuid"))]
     if len(found) > 1:
@@ -135,7 +140,7 @@ def _observation(e: ElementTree.Element, kind: str | None, machine_id: str) -> d
 
 def parse_current(xml: str | None, machine_id: str, device_key: str) -> list[dict]:
     """Observations of one device in document order; none if the device isn't there."""
-    device = _stream_of(_root(xml), device_key)
+    device = _stream_of(_device_root(xml, device_key), device_key)
     return [] if device is None else [_observation(e, kind, machine_id) for e, kind in _readings(device)]
 
 
@@ -148,7 +153,7 @@ def _u64(e: ElementTree.Element, name: str) -> int:
 
 def parse_sample(xml: str | None, machine_id: str, device_key: str) -> dict:
     """The header's sequences and one device's observations by sequence, ties in document order."""
-    root = _root(xml)
+    root = _device_root(xml, device_key)
     headers = [e for e in root.iter() if _name(e) == "Header"]
     if len(headers) != 1:
         raise InvalidDocument("E9", f"{len(headers)} headers")
@@ -180,16 +185,23 @@ def _each(payloads: DataFrame, parse: Callable[[dict], list[dict]], schema: str,
     return payloads.mapInPandas(run, f"payload_id bigint, error string, {schema}")
 
 
-def probe_items(payloads: DataFrame, on_error: str = "strict") -> DataFrame:
-    """payloads (payload_id, xml) to one row for each data item."""
+_ITEM = ("id", "name", "type", "category", "sub_type", "units", "component_id", "component_name", "component_type")
+PROBE_ITEM = "agent_instance_id string, agent_version string, device_id string, device_name string, device_uuid string, doc_ordinal int, " + ", ".join(f"item_{k} string" for k in _ITEM)
 
-    def parse(p: dict) -> list[dict]:
-        found = parse_probe(p["xml"])
-        head = {k: found[k] for k in ("agent_instance_id", "agent_version")}
-        return [head | {"device_id": d["id"], "device_name": d["name"], "device_uuid": d["uuid"], "doc_ordinal": n} | {f"item_{k}": v for k, v in i.items()} for d in found["devices"] for n, i in enumerate(d["data_items"])]
 
-    items = ", ".join(f"item_{k} string" for k in ("id", "name", "type", "category", "sub_type", "units", "component_id", "component_name", "component_type"))
-    return _each(payloads, parse, f"agent_instance_id string, agent_version string, device_id string, device_name string, device_uuid string, doc_ordinal int, {items}", on_error)
+def probe_rows(found: dict) -> list[dict]:
+    """A parsed probe as one row for each data item, in the order of PROBE_ITEM."""
+    head = {k: found[k] for k in ("agent_instance_id", "agent_version")}
+    return [
+        head | {"device_id": d["id"], "device_name": d["name"], "device_uuid": d["uuid"], "doc_ordinal": n} | {f"item_{k}": i[k] for k in _ITEM}
+        for d in found["devices"]
+        for n, i in enumerate(d["data_items"])
+    ]
+
+
+def probe_items(payloads: DataFrame, on_error: str = "strict") -> DataFrame:
+    """payloads (payload_id, xml) to one row for each data item."""
+    return _each(payloads, lambda p: probe_rows(parse_probe(p["xml"])), PROBE_ITEM, on_error)
 
 
 def current_rows(payloads: DataFrame, on_error: str = "strict") -> DataFrame:

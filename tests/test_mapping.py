@@ -19,10 +19,10 @@ def mappings(spark, *rows):
 
 
 def test_maps_with_provenance_and_case(spark):
-    o = observed(spark, ("m1", "tcp-V", "TR.1.DIN.4", "Digital", True), ("m2", "tcp-v", "TR.1.DIN.4", "Digital", True))
-    m = mappings(spark, ("m1", "TCP-v", "tr.1.din.4", "state.power-on", "Digital", False), ("m2", "tcp-v", "tr.1.din.4", "state.running", "Digital", True))
+    o = observed(spark, ("m1", "bus-V", "PLC.7.IN.2", "Digital", True), ("m2", "bus-v", "PLC.7.IN.2", "Digital", True))
+    m = mappings(spark, ("m1", "BUS-v", "plc.7.in.2", "state.power-on", "Digital", False), ("m2", "bus-v", "plc.7.in.2", "state.running", "Digital", True))
     rows = {r.machine_id: r for r in map_observations(o, m).rows.collect()}
-    assert (rows["m1"].signal_key, rows["m1"].source, rows["m1"].address, rows["m1"].value.bool) == ("state.power-on", "tcp-V", "TR.1.DIN.4", True)
+    assert (rows["m1"].signal_key, rows["m1"].source, rows["m1"].address, rows["m1"].value.bool) == ("state.power-on", "bus-V", "PLC.7.IN.2", True)
     assert (rows["m2"].signal_key, rows["m2"].value.bool) == ("state.running", False)
 
 
@@ -47,8 +47,10 @@ def test_errors(spark, row, maps, code):
     checked = map_observations(o, m, on_error="quarantine")
     assert checked.rows.count() == 0
     assert [r.error_code for r in checked.errors.collect()] == [code]
-    with pytest.raises(PySparkException, match=code):
-        map_observations(o, m).rows.collect()
+    strict = map_observations(o, m).rows
+    for ask in (strict.collect, strict.count, strict.select("signal_key").collect, lambda: strict.filter("machine_id = 'm'").count(), lambda: strict.groupBy("source").count().collect()):
+        with pytest.raises(PySparkException, match=code):
+            ask()
 
 
 def test_duplicates_nobody_observes_are_no_error(spark):
@@ -61,6 +63,8 @@ def test_one_machines_configuration(spark):
     o = observed(spark, ("m", "s", "A", "Digital", True), ("other", "s", "A", "Digital", True))
     checked = map_with_configuration(o, m, "m", on_error="quarantine")
     assert checked.rows.count() == 1 and [r.error_code for r in checked.errors.collect()] == ["E1"]
+    with pytest.raises(PySparkException, match="E1"):
+        map_with_configuration(o, m, "m").rows.count()
 
 
 def test_simple_mapping(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millwright.operators.configuration import policy_of, policy_of_column, resolve_configurations
 from millwright.operators.inputs import derive_inputs, entries_out_of_scope
-from millwright.operators.metrics import POLICIES, STRATEGIES, Engine, Policy, merge_inputs, metrics_long
+from millwright.operators.metrics import POLICIES, STRATEGIES, Engine, Policy, Strategy, check_scopes, merge_inputs, metrics_long
 from millwright.plans.shift import assign_shifts, production_date, shift_number
 from millwright.schemas import schema
 
@@ -101,6 +101,32 @@ def facts(spark, periods, entries):
     return s, p, e
 
 
+@pytest.mark.parametrize("hours", ["20000", "0.5", "99999999"])
+def test_a_large_result_that_becomes_an_input(spark, hours):
+    """A metric named as an input replaces it, in decimals of any size the input may have."""
+    doubled = Strategy("doubled", lambda inputs, _: (inputs("apt") * 2, F.lit(None).cast("string")))
+    inputs = {"apt": F.lit(Decimal(hours)), "pot": F.lit(Decimal(hours))}
+    df = Engine((*STRATEGIES, doubled)).evaluate(spark.range(1), inputs, policies=[Policy("apt", "doubled"), Policy("availability", "apt-over-pot")], number="decimal(18,6)")
+    assert [m.value for m in df.first().metrics] == [2 * Decimal(hours), 2]
+
+
+def test_bad_scopes_are_set_apart(spark):
+    df = spark.createDataFrame([(1, {"A": 1.0}, {"b": 1.0}, ["q", "o"]), (2, {"A": 1.0}, {"a": 1.0}, ["q"]), (3, {"A": 1.0}, {}, ["q", "Q"])], "id int, d map<string,double>, x map<string,double>, p array<string>")
+    policies = F.transform("p", lambda k: F.struct(k.alias("metric_key")))
+    checked = check_scopes(df, F.col("d"), F.col("x"), policies)
+    assert [r.id for r in checked.rows.collect()] == [1]
+    assert sorted((r.id, r.error_code) for r in checked.errors.collect()) == [(2, "E7"), (3, "E8")]
+    with pytest.raises(PySparkException, match="E[78]"):
+        check_scopes(df, F.col("d"), F.col("x"), policies, on_error="strict").rows.count()
+
+
+def test_configuration_plan_has_no_sort_aggregate(spark):
+    c = configurations(spark, ("S1", "v1", "Published", "2026-08-01", "2026-09-01"))
+    r = spark.createDataFrame([(1, "c", "S1", datetime(2026, 8, 2))], "request_id int, company_id string, site_id string, at timestamp")
+    plan = resolve_configurations(r, c)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_derivation(spark):
     s, p, e = facts(spark, [("m", "Running", 2), ("m", "Idle", 1), ("m", "Running", 9), ("other", "Running", 5)], [(SCOPE, 60, 2), (SCOPE, 40, 3)])
     r = derive_inputs(s, p, e, on_error="strict").first()
@@ -113,8 +139,10 @@ def test_foreign_entries(spark):
     s, p, e = facts(spark, [], [(SCOPE, 1, 2), (("c", "s", "m2", "1", SCOPE[4]), 1, 0)])
     assert entries_out_of_scope(e, s).count() == 1
     assert derive_inputs(s, p, e).first().good == -1
-    with pytest.raises(PySparkException, match="E6"):
-        derive_inputs(s, p, e, on_error="strict").collect()
+    strict = derive_inputs(s, p, e, on_error="strict")
+    for ask in (strict.collect, strict.count, strict.select("produced").collect):
+        with pytest.raises(PySparkException, match="E6"):
+            ask()
 
 
 def configurations(spark, *rows):

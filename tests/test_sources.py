@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millwright.functions.text import folded_map, hours, is_blank, parse_instant, parse_number, parse_u64, same_key, trimmed
 from millwright.sources import xml
 from millwright.sources.agent import AgentSource, Endpoint, InstanceChanged, Session, discover, read_current, read_sample
+from millwright.sources.cursor import cursor_trace
 
 HEAD = '<Header instanceId="42" firstSequence="1" lastSequence="104" nextSequence="105"/>'
 
@@ -50,6 +51,13 @@ def test_bad_samples(document, code):
         xml.parse_sample(document, "m", "mill")
 
 
+@pytest.mark.parametrize("document, code", [(sample("", head=""), "E16"), ("<a>", "E16"), (" ", "E16")])
+def test_a_blank_key_comes_before_the_document(document, code):
+    for parse in (xml.parse_sample, xml.parse_current):
+        with pytest.raises(xml.InvalidDocument, match=code):
+            parse(document, "m", " ")
+
+
 def test_large_sequences():
     head = HEAD.replace("105", "18446744073709551615")
     assert xml.parse_sample(sample("", head=head), "m", "mill")["next_sequence"] == 2**64 - 1
@@ -162,6 +170,26 @@ def test_data_source(spark, agent, tmp_path):
     run.stop()
     got = [int(r.sequence) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("sequence").collect()]
     assert got == [1, 2, 3, 4, 5, 6]
+    assert len(list((tmp_path / "landing").iterdir())) <= 1  # what is committed goes
+    probe = spark.read.format("machine_agent").options(mode="probe", **options).load().orderBy("doc_ordinal").collect()
+    assert (probe[1].item_component_name, probe[1].item_component_type, probe[1].item_sub_type, probe[1].agent_instance_id, probe[1].agent_version) == ("main", "Controller", "s", "7", "2.1")
+    assert [r.doc_ordinal for r in spark.read.format("machine_agent").options(mode="current", **options).load().collect()] == [0, 1]
+
+
+def test_cursor_trace_is_the_sessions(spark):
+    answers = [(42, 111), (42, 121), (43, 5), (42, 131)]
+    rows = [("m", i, a, 101, n) for i, (a, n) in enumerate(answers)]
+    df = spark.createDataFrame(rows, "machine_id string, ordinal int, instance_id bigint, first_sequence bigint, next_sequence bigint")
+    given, expected = iter(answers), []
+    session = Session(lambda since: dict(zip(("instance_id", "next_sequence"), next(given))), 101)
+    for _ in answers:
+        asked, code = session.cursor["next"], None
+        try:
+            session.next()
+        except InstanceChanged:
+            code = "E13"
+        expected.append((asked, session.cursor["instance"], session.cursor["next"], code))
+    assert [tuple(r)[2:] for r in cursor_trace(df).orderBy("ordinal").collect()] == expected
 
 
 def test_scalar_rules(spark):

@@ -1,8 +1,9 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
 
-from millwright.operators.state import activity_periods, assemble_snapshots, evaluate_states, transitions
+from millwright.operators.state import activity_periods, assemble_snapshots, empty_snapshots, evaluate_states, transitions
 from millwright.schemas import schema
 from millwright.sources.simulator import simulate
 from millwright.streaming.state import track_activity
@@ -72,6 +73,37 @@ def test_an_unavailable_reading_resets_a_signal(spark):
     assert [r.state for r in states] == ["Running", "Unknown"]
 
 
+def test_slices_are_one_history(spark):
+    """Changes, periods and readings carry over days, and over days without rows."""
+    rnd = random.Random(9)
+    rows = [(rnd.choice("ab"), rnd.choice(["Running", "Idle", "Fault"]), T0 + timedelta(hours=rnd.randrange(24 * 20)), i) for i in range(60)]
+    rows = [r for r in rows if r[2].day % 3]
+    expected, closed = [], []
+    for m in "ab":
+        last, since = "Unknown", None
+        for _, state, when, i in sorted((r for r in rows if r[0] == m), key=lambda r: (r[2], r[3])):
+            if state != last:
+                expected.append((m, last, state, i))
+                if since is not None:
+                    closed.append((m, last, since, when))
+                last, since = state, when
+    changes = transitions(spark.createDataFrame(rows, schema("states")))
+    assert sorted((r.machine_id, r.previous_state, r.current_state, r.ordinal) for r in changes.collect()) == sorted(expected)
+    assert sorted((r.machine_id, r.state, r.started_at, r.ended_at) for r in activity_periods(changes).collect()) == sorted(closed)
+    readings = [(m, "s", "a", f"state.{s.lower()}", "Digital", value(i % 2 == 0), "Good", t, i) for m, s, t, i in rows]
+    latest, states = {}, []
+    for m, _, _, key, _, v, _, t, i in sorted(readings, key=lambda r: (r[0], r[7], r[8])):
+        latest[m, key] = v[0]
+        now = [latest.get((m, f"state.{k}")) for k in ("fault", "running", "idle")]
+        states.append((i, "Fault" if now[0] else "Running" if now[1] else "Idle" if now[2] else "Stopped" if now[1] is not None else "Unknown"))
+    found = evaluate_states(assemble_snapshots(spark.createDataFrame(readings, schema("mapped_observations")))).collect()
+    assert sorted((r.ordinal, r.state) for r in found) == sorted(states)
+
+
+def test_empty_snapshots_are_unknown(spark):
+    assert [r.state for r in evaluate_states(empty_snapshots(spark, ["a", "b"])).collect()] == ["Unknown"] * 2
+
+
 def test_simulator(spark):
     df = simulate(spark, 20)
     assert [s["key"] for s in df.first()["signals"]] == ["state.running", "state.idle", "state.fault", "production.cycle-count"]

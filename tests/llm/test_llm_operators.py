@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from millwright.llm import decontam, html_extract, line_dedup, mixing, quality, sharding, simhash, substring, token_store, toxicity
+from millwright.llm import decontam, html_extract, line_dedup, mixing, near_copies, quality, sharding, simhash, substring, token_store, toxicity
 from millwright.llm.common import fresh_path
 from millwright.llm.components import components
 
@@ -131,8 +131,11 @@ def test_simhash(spark):
     assert sorted(r.doc_id for r in kept) == sorted({r[2] for r in found})
 
 
-def test_near_copies_against_all_pairs(spark):
+@pytest.mark.parametrize("block, stars", [(2_000, 2), (7, 1), (2_000, 0)])
+def test_near_copies_against_all_pairs(spark, monkeypatch, block, stars):
     """The pipeline's stage: components of the pairs at 0.8 or more of five-word shingles, by brute force."""
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    monkeypatch.setattr(near_copies, "STARS", stars)
     rnd = random.Random(8)
     rows = [*AWKWARD, AWKWARD[6], (None, "no id"), (None, None)]
     for base in range(12):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -18,6 +17,7 @@ from ..operators.mapping import map_observations, map_simple, map_with_configura
 from ..operators.metrics import POLICIES, Engine, check_scopes, metrics_long
 from ..operators.state import activity_periods, assemble_snapshots, evaluate_states, transitions
 from ..schemas import SCOPE, schema
+from ..shared import shared_root
 from ..sources import xml
 from ..sources.cursor import cursor_trace
 from ..sources.simulator import simulate
@@ -155,8 +155,7 @@ def t3_streaming_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     state = F.when(k % 20 >= 18, "Unknown").when(kind == "error", "Fault").when(kind.isin("click", "view"), "Running").when(kind == "purchase", "Idle").otherwise("Stopped")
     states = events.select((F.col("user_id") % 10).cast("string").alias("machine_id"), state.alias("state"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_id").alias("ordinal"))
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    base = f"{root.rstrip('/')}/millwright/stream-{uuid.uuid4().hex}"
+    base = f"{shared_root(spark)}/millwright/stream-{uuid.uuid4().hex}"
     run = track_activity(states).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     done = spark.read.parquet(f"{base}/out").filter("kind = 'transition'")

@@ -14,8 +14,8 @@ All documents are the reference, so the reference is cut into shards that are cl
    and each content seen once is streamed through it for matching statistics (the longest suffix at each
    word that occurs twice or more); where these reach ``window`` words, the span goes.
 4. An anchor with over ``HOT`` contents would make a large shard.  Windows of its contents are told apart
-   by 128-bit hashes instead, counted with map-side combine and joined back.  Contents and windows of very
-   many places are salted where they meet their counts.
+   by 128-bit hashes instead, counted with map-side combine and joined back.  Anchors of very many contents,
+   and contents and windows of very many places, are salted where they meet their counts.
 5. Spans come back to their documents, which drop the words under them.
 
 Documents are worked in pieces of ``PIECE`` words that overlap by a window, so that long ones need
@@ -43,9 +43,8 @@ from .suffix import SuffixAutomaton
 WINDOW = 35
 GRAM = 8
 HOT = 500
-#: A key with more than one in so many rows is dealt into SALTS parts; there are at most so many of them.
+#: A key with more than one in so many rows is dealt into parts of that size.
 SHARES = 4096
-SALTS = 64
 PIECE = 200_000
 MIN_BITS, MAX_BITS = 20, 29
 CACHE_WORDS = 300_000
@@ -326,17 +325,18 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "t", "start", "end"])
 
 
-def _meet(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """rows joined to keys, which have the number n of their rows: keys of many rows are dealt into salts.
+def _meet(rows: DataFrame, keys: DataFrame, on: list[str], by: tuple[str, ...] = ("doc_id", "t", "start"), carry: tuple[str, ...] = ()) -> DataFrame:
+    """rows joined to keys (and their columns carry), which have the number n of their rows.
 
-    At most SHARES keys can hold over 1/SHARES of all rows, so their list is small enough to be broadcast.
+    A key's rows are dealt by the columns by into parts of about 1/SHARES of all rows.  At most 2 x SHARES keys have
+    several parts, so their list is small enough to be broadcast, and there are as few parts of them to join to.
     """
     total = keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    often = F.col("n") > max(1, total // SHARES)
-    parts = keys.select(*on, F.explode(F.when(often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    large = F.broadcast(keys.filter(often).select(*on, F.lit(True).alias("large")))
-    salt = F.when(F.col("large"), F.pmod(F.hash("doc_id", "t", "start"), F.lit(SALTS))).otherwise(0).cast("int")
-    return rows.join(large, on, "left").withColumn("salt", salt).join(parts, [*on, "salt"])
+    parts = F.ceil(F.col("n") / max(1, total // SHARES)).cast("int")
+    dealt = keys.select(*on, *carry, F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+    large = F.broadcast(keys.select(*on, parts.alias("parts")).filter("parts > 1"))
+    salt = F.coalesce(F.pmod(F.hash(*by), F.col("parts")), F.lit(0))
+    return rows.join(large, on, "left").withColumn("salt", salt).join(dealt, [*on, "salt"])
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
@@ -347,8 +347,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> Dat
     seen = placed.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     rows = placed.mapInArrow(_repeated_rows(share(_bit_table(materialise(seen, "repeated")))), _ROW)
     contents = materialise(rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("p", "t")).alias("at")).select("h", "c", "n", "at.p", "at.t"), "contents")
-    several = contents.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
-    mixed = materialise(contents.join(several, "h"), "mixed")
+    several = materialise(contents.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").withColumn("k", F.col("n")), "several")
+    mixed = materialise(_meet(contents, several, ["h"], by=("c",), carry=("k",)).select("h", "c", "n", "p", "t", "k"), "mixed")
     chosen = share(_bit_table(mixed.select(F.col("p").alias("h"))))
     flood = share(_bit_table(mixed.filter(F.col("k") > hot).select("h").distinct()))
 

@@ -105,7 +105,7 @@ class Segments:
     places: np.ndarray
 
 
-def segments(words: list[bytes], window: int, text_hash: int = 0) -> Iterator[Segments]:
+def segments(words: list[bytes], window: int, seed: int = 0) -> Iterator[Segments]:
     gram = min(GRAM, window)
     reach = window - gram + 1  # grams in a window
     for at in range(0, max(0, len(words) - window + 1), PIECE):
@@ -127,7 +127,7 @@ def segments(words: list[bytes], window: int, text_hash: int = 0) -> Iterator[Se
         last = np.concatenate((first[1:], [len(place)])) - 1
         anchors = grams[place[first]]
         contents = _mix((sums[last + window] - sums[first]) * down[first] + (last - first).astype(np.uint64))
-        places = _mix(anchors ^ contents * np.uint64(3) + np.uint64(5 * text_hash % (1 << 64)) + (first + at).astype(np.uint64) * np.uint64(_BASE))
+        places = _mix(anchors ^ contents * np.uint64(3) + np.uint64(5 * seed % (1 << 64)) + (first + at).astype(np.uint64) * np.uint64(_BASE))
         yield Segments(at, h, anchors, contents, first, last, places)
 
 
@@ -154,6 +154,11 @@ def _bit_table(hashes: DataFrame) -> Bits:
     return Bits(words.view(np.uint64), bits)
 
 
+def _seed(doc: int | None, t: int) -> int:
+    """Of a document's places: copies of a text have their own, so that one place of a content is in one document."""
+    return t ^ (doc or 0) * _BASE
+
+
 _PLACED = "doc_id long, t long, h array<bigint>, c array<bigint>, p array<bigint>, start array<int>, end array<int>"
 _ROW = "h long, c long, p long, doc_id long, t long, start int, end int"
 
@@ -165,9 +170,9 @@ def _place(window: int):
         sole(_HASHES)
         for batch in batches:
             bounds, found = [0], [[] for _ in range(5)]
-            for t, text in zip(batch.column(1).to_pylist(), batch.column(2)):
+            for doc, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 n = 0
-                for s in segments(split_words(text.as_py()), window, t):
+                for s in segments(split_words(text.as_py()), window, _seed(doc, t)):
                     n += len(s.first)
                     for k, x in enumerate((s.anchors.view(np.int64), s.contents.view(np.int64), s.places.view(np.int64), s.first + s.at, s.last + s.at + window)):
                         found[k].append(x)
@@ -225,7 +230,7 @@ def _contents(chosen, flood, texts, window: int, hot: bool):
             rows: list[tuple] = []
             for doc, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 words = split_words(text.as_py())
-                for s in segments(words, window, t):
+                for s in segments(words, window, _seed(doc, t)):
                     keep = np.flatnonzero(pick.has(s.places))
                     keep = keep[often.has(s.anchors[keep]) == hot]
                     if not len(keep):

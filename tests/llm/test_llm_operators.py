@@ -204,6 +204,14 @@ def test_substrings(spark, hot, monkeypatch):
     assert got == sorted(substring.brute_force(rows))
 
 
+def test_places_of_copies_differ():
+    text = words(200, 5, 5000)
+    t = 12345
+    one, two, none = (next(substring.segments(text.encode().split(), 35, substring._seed(d, t))) for d in (1, 2, None))
+    assert (one.contents == two.contents).all() and not set(one.places.tolist()) & set(two.places.tolist())
+    assert len(none.places) == len(one.places)
+
+
 def test_substrings_across_pieces(monkeypatch):
     text = words(500, 3, 5000).encode().split()
     whole = [(s.at + a, s.at + b) for s in substring.segments(text, 35) for a, b in zip(s.first, s.last)]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_extract, line_dedup, merkle, mixing, quality, resampling, sharding, simhash, substring, token_store, toxicity
+from . import decontam, html_extract, line_dedup, merkle, mixing, quality, resampling, sharding, simhash, spotsigs, substring, token_store, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.op11(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.op12(table(spark, sf_dir, "documents"))
 
@@ -61,8 +65,8 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_simhash_near_dedup, op4_substring_dedup, op5_html_extraction, op6_line_dedup, op7_quality_rules, op8_mixing, op9_sharding, op10_token_output, op12_merkle_manifest, op13_importance_resampling)}
+    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_simhash_near_dedup, op4_substring_dedup, op5_html_extraction, op6_line_dedup, op7_quality_rules, op8_mixing, op9_sharding, op10_token_output, op11_spotsigs, op12_merkle_manifest, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontam.SQL, "op4_substring_dedup": substring.SQL, "op6_line_dedup": line_dedup.SQL, "op7_quality_rules": quality.SQL, "op12_merkle_manifest": merkle.SQL, "op13_importance_resampling": resampling.SQL}
+    return {"op1_decontamination": decontam.SQL, "op4_substring_dedup": substring.SQL, "op6_line_dedup": line_dedup.SQL, "op7_quality_rules": quality.SQL, "op11_spotsigs": spotsigs.SQL, "op12_merkle_manifest": merkle.SQL, "op13_importance_resampling": resampling.SQL}

@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from millwright.llm import decontam, html_extract, line_dedup, merkle, mixing, near_copies, quality, resampling, sharding, simhash, substring, token_store, toxicity
+from millwright.llm import decontam, html_extract, line_dedup, merkle, mixing, near_copies, quality, resampling, sharding, simhash, spotsigs, substring, token_store, toxicity
 from millwright.llm.common import fresh_path
 from millwright.llm.components import components
 
@@ -52,6 +52,7 @@ OPERATORS = {
     "op8": lambda s, d: mixing.op8(d, s.createDataFrame([], "doc_id long, quality int, toxic int")),
     "op9": lambda s, d: sharding.op9(d),
     "op10": lambda s, d: token_store.op10(d),
+    "op11": lambda s, d: spotsigs.op11(d),
     "op12": lambda s, d: merkle.op12(d),
     "op13": lambda s, d: resampling.op13(d, s.createDataFrame(ITEMS, "item_id long, text string")),
 }

@@ -20,7 +20,6 @@ from ..schemas import SCOPE, schema
 from ..shared import shared_root
 from ..sources import xml
 from ..sources.cursor import cursor_trace
-from ..sources.simulator import simulate
 from ..streaming.state import track_activity
 from . import adapter, documents, shift
 
@@ -274,15 +273,6 @@ def x17_inputs_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluated.select("machine_id", "shift_id", "production_date", F.explode("inputs").alias("input_key", "value"))
 
 
-@_query(
-    """SELECT n::BIGINT AS ordinal, CASE WHEN n % 10 = 0 THEN 'Fault' WHEN n % 4 IN (1, 2) THEN 'Running' WHEN n % 4 = 3 THEN 'Idle' ELSE 'Stopped' END AS state, (n // 4)::BIGINT AS cycles
-FROM (SELECT unnest(range(1, 2001)) AS n)"""
-)
-def s2_simulator_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = simulate(spark, 2000).withColumn("cycles", F.col("signals")[3]["value"]["num"].cast("bigint"))
-    return evaluate_states(counted).select("ordinal", "state", "cycles")
-
-
 @_query(
     """SELECT 'm' || m AS device_id, item AS item_id, type AS item_type, comp AS component_id, CASE WHEN comp IS NULL THEN NULL ELSE 'Controller' END AS component_type FROM (
   SELECT DISTINCT (user_id % 10)::VARCHAR AS m, event_type AS item, 'EVENT' AS type, 'ctl' AS comp FROM events UNION ALL

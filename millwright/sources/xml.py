@@ -130,7 +130,7 @@ def _observation(e: ElementTree.Element, kind: str | None, machine_id: str) -> d
             number = Decimal(text) if _NUMBER.fullmatch(text) else None
         except InvalidOperation:
             number = None
-        if number is None or abs(number) > _LARGEST:
+        if number is None or number.copy_abs() > _LARGEST:
             raise InvalidDocument("E11", f"{item} is a sample without a number: {text!r}")
         value["num"] = number
     else:

@@ -5,7 +5,6 @@ import pytest
 
 from millwright.operators.state import activity_periods, assemble_snapshots, empty_snapshots, evaluate_states, transitions
 from millwright.schemas import schema
-from millwright.sources.simulator import simulate
 from millwright.streaming.state import track_activity
 
 T0 = datetime(2026, 1, 1, 10)
@@ -104,12 +103,6 @@ def test_empty_snapshots_are_unknown(spark):
     assert [r.state for r in evaluate_states(empty_snapshots(spark, ["a", "b"])).collect()] == ["Unknown"] * 2
 
 
-def test_simulator(spark):
-    df = simulate(spark, 20)
-    assert [s["key"] for s in df.first()["signals"]] == ["state.running", "state.idle", "state.fault", "production.cycle-count"]
-    assert "".join(r.state[0] for r in evaluate_states(df).orderBy("ordinal").collect()) == "RRISRRISRFISRRISRRIF"
-
-
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(m, s, at(t), t) for t, (m, s) in enumerate([("a", "Running"), ("b", "Unknown"), ("a", "Running"), ("a", "Idle"), ("b", "Fault"), ("b", "Running"), ("a", "Running")])]
     for i in (0, 1):

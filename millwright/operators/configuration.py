@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, is_blank
+from .intervals import in_force, timeline
 
 
 def is_effective(at: Column, lifecycle: Column, since: Column, until: Column) -> Column:
@@ -14,30 +15,17 @@ def is_effective(at: Column, lifecycle: Column, since: Column, until: Column) ->
 
 
 def resolve_configurations(requests: DataFrame, configurations: DataFrame, request_key: str = "request_id", at: str = "at") -> DataFrame:
-    """Each request (request_key, company_id, site_id, at) with the configuration in force, or null.
+    """Each request (request_key, company_id, site_id, at) with the configuration in force, or null; equal requests
+    keep their rows.
 
-    The latest start wins; equal starts go to the one earlier in the list (ordinal, unique in a site).  The join
-    is by company and site with the interval as its condition, so a site with very many rows is one that adaptive
-    execution splits.  The best is a pair of numbers, kept by a hash aggregate with map-side combine; no strings
-    or structs are compared, and no history is sorted.  The configuration itself is joined to what is left.
+    The latest start wins; equal starts go to the one earlier in the list (ordinal, unique in a site).
     """
-    c = configurations.filter(F.col("lifecycle") == "Published").alias("c")
-    r = requests.alias("r")
-    on = (
-        (F.col("r.company_id") == F.col("c.company_id"))
-        & (F.col("r.site_id") == F.col("c.site_id"))
-        & is_effective(F.col(f"r.{at}"), F.col("c.lifecycle"), F.col("c.effective_from"), F.col("c.effective_to"))
-    )
-    ordinal = F.col("c.ordinal").cast("decimal(19,0)")
-    start = F.unix_micros(F.col("c.effective_from")).cast("decimal(19,0)")
-    best = (start * F.lit(10**18).cast("decimal(19,0)") - ordinal).cast("decimal(38,0)")
-    named = [F.col(f"r.{n}").alias(n) for n in requests.columns]
-    found = r.join(c, on, "left").groupBy(*named).agg(F.max_by(F.col("c.ordinal").cast("bigint"), best).alias("__ordinal"))
-    whole = configurations.select(
-        F.col("company_id").alias("__company"), F.col("site_id").alias("__site"), F.col("ordinal").cast("bigint").alias("__o"), F.struct(*configurations.columns).alias("configuration")
-    )
-    same = (F.col("company_id") == F.col("__company")) & (F.col("site_id") == F.col("__site")) & (F.col("__ordinal") == F.col("__o"))
-    return found.join(whole, same, "left").select(*requests.columns, "configuration")
+    site = ["company_id", "site_id"]
+    published = configurations.filter(F.col("lifecycle") == "Published")
+    intervals = published.select(*site, F.unix_micros("effective_from").alias("since"), F.unix_micros("effective_to").alias("until"), "ordinal")
+    whole = published.select(*site, F.col("ordinal").cast("bigint").alias("ordinal"), F.struct(*configurations.columns).alias("configuration"))
+    changes = timeline(intervals, site).join(whole, [*site, "ordinal"], "left")
+    return in_force(requests, changes, site, at, "configuration", request_key)
 
 
 def policy_of(policies: Column, metric_key: str) -> Column:

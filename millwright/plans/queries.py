@@ -201,6 +201,20 @@ def k2_config_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_configurations(requests, configurations).select("request_id", "site_id", "configuration.version")
 
 
+@_query(
+    f"""WITH {_CFG}, asked AS (SELECT l_orderkey AS order_id, o_custkey::VARCHAR AS site_id, l_shipdate AS at FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+r AS (SELECT row_number() OVER () AS request_id, * FROM asked), found AS ({_ASOF})
+SELECT r.order_id, found.site_id, found.version, count(*)::BIGINT AS n FROM found JOIN r USING (request_id) GROUP BY ALL"""
+)
+def k2_config_of_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The configuration in force when each line was shipped; lines of one order and day ask the same."""
+    orders = adapter.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lines = adapter.table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    requests = lines.select(F.col("l_orderkey").alias("order_id"), F.lit("C1").alias("company_id"), F.col("o_custkey").cast("string").alias("site_id"), F.col("l_shipdate").cast("timestamp").alias("at"))
+    found = resolve_configurations(requests, adapter.site_configurations(spark, sf_dir), request_key="order_id")
+    return found.groupBy("order_id", "site_id", "configuration.version").agg(F.count("*").alias("n"))
+
+
 @_query("SELECT o_orderkey::VARCHAR AS version, CASE WHEN o_orderkey % 2 = 0 THEN 'apt-over-pot' ELSE 'apt-over-machine-power-on-time' END AS strategy_key FROM orders")
 def k3_policy_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapter.site_configurations(spark, sf_dir).select("version", policy_of(F.col("metric_policies"), "AVAILABILITY")["strategy_key"].alias("strategy_key"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
-from .contract import Checked, check
+from .contract import Checked, check, mark
 
 _OBSERVED = ("machine_id", "source", "address", "type", "value", "quality", "timestamp", "ordinal")
 
@@ -41,26 +41,38 @@ def map_observations(observations: DataFrame, mappings: DataFrame, on_error: str
     return _map(observations, mappings, on_error, None)
 
 
-def _map(observations: DataFrame, mappings: DataFrame, on_error: str, machine_id: str | None) -> Checked:
+def _rules(machine_id: str | None) -> list:
     foreign = [] if machine_id is None else [("E1", F.col("machine_id") != machine_id, "the observation belongs to another machine")]
-    hit = _join(observations, mappings, "left" if foreign else "inner")  # foreign rows must reach the check
     digital = (F.col("type") == "Digital") & F.col("value.bool").isNotNull()
-    checked = check(
-        hit,
-        [
-            *foreign,
-            ("E2", F.col("__n") > 1, "several mappings for one source and address"),
-            ("E3", F.col("__map.type") != F.col("type"), "the mapping's type differs from the observation's"),
-            ("E4", F.col("__map.invert") & ~F.coalesce(digital, F.lit(False)), "only a digital value can be inverted"),
-        ],
-        on_error,
-        F.col("__n").isNotNull(),
-    )
+    return [
+        *foreign,
+        ("E2", F.col("__n") > 1, "several mappings for one source and address"),
+        ("E3", F.col("__map.type") != F.col("type"), "the mapping's type differs from the observation's"),
+        ("E4", F.col("__map.invert") & ~F.coalesce(digital, F.lit(False)), "only a digital value can be inverted"),
+    ]
+
+
+def _canonical(rows: DataFrame, observed: DataFrame, *more: str) -> DataFrame:
     inverted = F.col("value").withField("bool", ~F.col("value.bool"))
-    columns = [F.col(c) for c in _OBSERVED if c in observations.columns and c != "value"]
+    columns = [F.col(c) for c in _OBSERVED if c in observed.columns and c != "value"]
     value = F.when(F.col("__map.invert"), inverted).otherwise(F.col("value")).alias("value")
-    rows = checked.rows.select(*columns, F.col("__map.signal_key").alias("signal_key"), value)
-    return Checked(rows, checked.errors.select(*observations.columns, "error_code", "error"))
+    return rows.select(*columns, F.col("__map.signal_key").alias("signal_key"), value, *more)
+
+
+def _map(observations: DataFrame, mappings: DataFrame, on_error: str, machine_id: str | None) -> Checked:
+    hit = _join(observations, mappings, "inner" if machine_id is None else "left")  # foreign rows must reach the check
+    checked = check(hit, _rules(machine_id), on_error, F.col("__n").isNotNull())
+    return Checked(_canonical(checked.rows, observations), checked.errors.select(*observations.columns, "error_code", "error"))
+
+
+def mark_observations(observations: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Observations with a mapping as canonical signals, with error_code and error: both outcomes in one pass.
+
+    A row in error keeps its value as it was observed, and has no signal.
+    """
+    marked = mark(_join(observations, mappings, "inner"), _rules(None))
+    sound = F.when(F.col("error_code").isNull(), F.col("__map"))
+    return _canonical(marked.withColumn("__map", sound), observations, "error_code", "error")
 
 
 def unmapped_observations(observations: DataFrame, mappings: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import microseconds
 from ..operators import catalog
 from ..operators.configuration import is_effective, policy_of, resolve_configurations
 from ..operators.contract import Checked
@@ -21,7 +22,7 @@ from ..shared import shared_root
 from ..sources import xml
 from ..sources.cursor import cursor_trace
 from ..streaming.state import track_activity
-from . import adapter, documents, shift
+from . import adapter, documents, shift, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -88,6 +89,17 @@ def m1_mapped_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _naive(mapped.withColumn("flag", F.col("value.bool")).drop("value"))
 
 
+@_query(
+    f"""WITH {_EV} SELECT {_MAPPED}, event_type <> 'signup' AS flag, {_QUALITY} AS quality, ts AS timestamp, event_id AS ordinal,
+  CASE WHEN event_id <= (SELECT max(event_id) // 2 FROM events) THEN 1 ELSE 2 END::BIGINT AS mapping_version FROM ev
+  WHERE event_type <> 'signup' OR event_id > (SELECT max(event_id) // 2 FROM events)"""
+)
+def m1_streaming_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of observations, with new mappings published between two of its batches."""
+    rows = streams.mapped_under_versions(spark, sf_dir)
+    return _naive(rows.withColumn("flag", F.col("value.bool")).select("machine_id", "source", "address", "signal_key", "type", "flag", "quality", "timestamp", "ordinal", "mapping_version"))
+
+
 @_query(f"WITH {_EV} SELECT machine_id, event_type AS address, event_id AS ordinal FROM ev WHERE event_type = 'signup'")
 def m1_unmapped_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unmapped_observations(adapter.observations(spark, sf_dir), adapter.signal_mappings(spark, signup=False)).select("machine_id", "address", "ordinal")
@@ -121,17 +133,26 @@ def t2_quality_filtered_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LATEST = "last_value(CASE WHEN {} THEN {{'f': event_type <> 'signup', 'g': k % 20 < 18}} END IGNORE NULLS) OVER (PARTITION BY machine_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
-@_query(
+_ASSEMBLED = (
     f"""WITH {_EV}, l AS (SELECT machine_id, ts, event_id, {_LATEST.format("event_type IN ('click', 'view', 'signup')")} AS run, {_LATEST.format("event_type = 'purchase'")} AS idle,
   {_LATEST.format("event_type = 'error'")} AS fault FROM ev)
 SELECT machine_id, ts AS timestamp, event_id AS ordinal, CASE WHEN fault.g AND fault.f THEN 'Fault' WHEN run.g AND run.f THEN 'Running' WHEN idle.g AND idle.f THEN 'Idle'
   WHEN run.g THEN 'Stopped' ELSE 'Unknown' END AS state FROM l"""
 )
+
+
+@_query(_ASSEMBLED)
 def t2_assembled_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapped = map_observations(adapter.observations(spark, sf_dir), adapter.signal_mappings(spark)).rows
     return _naive(evaluate_states(assemble_snapshots(mapped)))
 
 
+@_query(_ASSEMBLED)
+def t2_streaming_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of observations that come in parts, late and out of order: mapping, assembly and state in one stream."""
+    return _naive(streams.streamed_states(spark, sf_dir))
+
+
 _TRANSITIONS = f"WITH {_TR} SELECT machine_id, previous_state, current_state, ts AS timestamp, event_id AS ordinal FROM tr"
 
 
@@ -161,7 +182,23 @@ def t3_streaming_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _naive(done.select("machine_id", "previous_state", F.col("state").alias("current_state"), F.col("started_at").alias("timestamp"), "ordinal"))
 
 
-@_query(f"WITH {_PE} SELECT machine_id, state, started_at, ended_at, duration_us FROM pe")
+@_query(_TRANSITIONS)
+def t3_streaming_late_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States that come in parts, late and out of order, put in order by event time."""
+    found = streams.streamed_activity(spark, sf_dir, "transition")
+    return _naive(found.select("machine_id", "previous_state", F.col("state").alias("current_state"), F.col("started_at").alias("timestamp"), "ordinal"))
+
+
+_PERIODS = f"WITH {_PE} SELECT machine_id, state, started_at, ended_at, duration_us FROM pe"
+
+
+@_query(_PERIODS)
+def t4_streaming_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = streams.streamed_activity(spark, sf_dir, "period")
+    return _naive(found.select("machine_id", "state", "started_at", "ended_at", microseconds(F.col("started_at"), F.col("ended_at")).alias("duration_us")))
+
+
+@_query(_PERIODS)
 def t4_activity_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _naive(activity_periods(transitions(evaluate_states(adapter.snapshots(spark, sf_dir)))))
 
@@ -361,16 +398,25 @@ def d22_operators_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.operators_at(events, assignments, "ts").select("ordinal", "machine_id", "assigned_operator")
 
 
-@_query(
-    f"""WITH {_EV} SELECT error_code, count(*)::BIGINT AS n FROM (SELECT CASE event_type WHEN 'view' THEN 'E2' WHEN 'purchase' THEN 'E3' END AS error_code FROM ev WHERE event_type <> 'signup') GROUP BY ALL"""
-)
-def e_mapping_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Views have two mappings and purchases one of another type; the rest passes (null)."""
+_SPOILED = f"""WITH {_EV} SELECT error_code, count(*)::BIGINT AS n FROM (SELECT CASE event_type WHEN 'view' THEN 'E2' WHEN 'purchase' THEN 'E3' END AS error_code FROM ev WHERE event_type <> 'signup') GROUP BY ALL"""
+
+
+def _spoiled_mappings(spark: SparkSession) -> DataFrame:
+    """Views have two mappings and purchases one of another type."""
     maps = adapter.signal_mappings(spark, signup=False)
-    spoiled = maps.withColumn("type", F.when(F.col("address") == "purchase", "Text").otherwise(F.col("type"))).union(maps.filter("address = 'view'").withColumn("signal_key", F.lit("state.idle")))
-    checked = map_observations(adapter.observations(spark, sf_dir), spoiled, on_error="quarantine")
-    codes = checked.errors.select("error_code").union(checked.rows.select(F.lit(None).cast("string").alias("error_code")))
-    return codes.groupBy("error_code").agg(F.count("*").alias("n"))
+    return maps.withColumn("type", F.when(F.col("address") == "purchase", "Text").otherwise(F.col("type"))).union(maps.filter("address = 'view'").withColumn("signal_key", F.lit("state.idle")))
+
+
+@_query(_SPOILED)
+def e_mapping_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What passes has no code."""
+    return _codes(map_observations(adapter.observations(spark, sf_dir), _spoiled_mappings(spark), on_error="quarantine"))
+
+
+@_query(_SPOILED)
+def e_streaming_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a stream, whose sound and quarantined rows are written in one pass."""
+    return streams.quarantined_observations(spark, sf_dir, _spoiled_mappings(spark)).groupBy("error_code").agg(F.count("*").alias("n"))
 
 
 def _codes(checked: Checked) -> DataFrame:
@@ -417,16 +463,35 @@ def e7_e8_bad_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.errors.select("machine_id", "error_code").union(passed).groupBy("machine_id", "error_code").agg(F.count("*").alias("n"))
 
 
-@_query(f"WITH {_DOCS} SELECT CASE payload_id % 5 WHEN 0 THEN 'E9' WHEN 1 THEN 'E10' WHEN 2 THEN 'E11' WHEN 3 THEN 'E16' END AS error_code, count(*)::BIGINT AS n FROM d GROUP BY ALL")
-def e9_e16_bad_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a bad header, two streams of one device, a bad time, or a blank device key; a fifth is sound (null)."""
+_BAD_DOCUMENTS = "CASE payload_id % 5 WHEN 0 THEN 'E9' WHEN 1 THEN 'E10' WHEN 2 THEN 'E11' WHEN 3 THEN 'E16' END"
+
+
+def _spoiled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a bad header, two streams of one device, a bad time, or a blank device key; a fifth is sound."""
     kind, body = F.col("payload_id") % 5, F.col("xml")
     twice = F.concat(F.lit('<m:Streams><m:DeviceStream name="'), F.col("device_key"), F.lit('"/>'))
     spoiled = F.when(kind == 0, F.regexp_replace(body, "firstSequence=\"", "firstSequence=\"+")).when(kind == 1, F.replace(body, F.lit("<m:Streams>"), twice))
     spoiled = spoiled.when(kind == 2, F.regexp_replace(body, " timestamp=\"", " timestamp=\"x")).otherwise(body)
-    payloads = documents.sample_documents(spark, sf_dir).withColumns({"xml": spoiled, "device_key": F.when(kind == 3, " ").otherwise(F.col("device_key"))})
+    return documents.sample_documents(spark, sf_dir).withColumns({"xml": spoiled, "device_key": F.when(kind == 3, " ").otherwise(F.col("device_key"))})
+
+
+@_query(f"WITH {_DOCS} SELECT {_BAD_DOCUMENTS} AS error_code, count(*)::BIGINT AS n FROM d GROUP BY ALL")
+def e9_e16_bad_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is sound has no code."""
+    code = F.regexp_extract("error", "^E[0-9]+", 0)
+    return xml.sample_envelopes(_spoiled_documents(spark, sf_dir), on_error="quarantine").select(code.alias("error_code")).groupBy("error_code").agg(F.count("*").alias("n"))
+
+
+@_query(
+    f"""WITH {_DOCS}, n AS (SELECT machine_id, event_id // {documents.BLOCK} AS block, count(*) AS readings FROM ev GROUP BY ALL)
+SELECT {_BAD_DOCUMENTS} AS error_code, sum(CASE WHEN payload_id % 5 < 4 THEN 1 ELSE readings END)::BIGINT AS n FROM d JOIN n USING (machine_id, block) GROUP BY ALL"""
+)
+def e9_e16_streaming_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of documents: the readings of the sound ones, and a row of error for each of the others."""
+    sound, bad = streams.quarantined_documents(spark, _spoiled_documents(spark, sf_dir))
     code = F.regexp_extract("error", "^E[0-9]+", 0)
-    return xml.sample_envelopes(payloads, on_error="quarantine").select(code.alias("error_code")).groupBy("error_code").agg(F.count("*").alias("n"))
+    codes = sound.select(F.lit(None).cast("string").alias("error_code")).union(bad.select(code))
+    return codes.groupBy("error_code").agg(F.count("*").alias("n"))
 
 
 @_query(f"WITH {_EV} SELECT machine_id, CASE WHEN machine_id::INTEGER % 2 = 1 THEN 'E12' END AS error_code, CASE WHEN machine_id::INTEGER % 2 = 1 THEN 1 ELSE count(DISTINCT event_type) + 1 END::BIGINT AS n FROM ev GROUP BY machine_id")

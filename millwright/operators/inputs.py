@@ -29,8 +29,9 @@ def entries_out_of_scope(entries: DataFrame, schedules: DataFrame) -> DataFrame:
     return entries.join(schedules.select(*SCOPE), list(SCOPE), "left_anti")
 
 
-def derive_inputs(schedules: DataFrame, periods: DataFrame, entries: DataFrame, on_error: str = "quarantine", powered: bool = False) -> DataFrame:
-    """Scope, planned_us, apt_us, produced and good, one row for each schedule; with powered also powered_us.
+def derive_inputs(schedules: DataFrame, periods: DataFrame, entries: DataFrame, on_error: str = "quarantine", powered: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Scope, planned_us, apt_us, produced and good, one row for each schedule; with powered also powered_us, and
+    what is to be kept of the schedule's own columns.
 
     Both fact tables are summed before they meet the schedule.  In strict mode an entry outside every
     scheduled scope raises (E6); otherwise see entries_out_of_scope.  Periods need machine_id, shift_id
@@ -43,5 +44,5 @@ def derive_inputs(schedules: DataFrame, periods: DataFrame, entries: DataFrame,
     return (
         base.join(period_totals(periods), ["machine_id", "shift_id", "production_date"], "left")
         .join(quantities(entries), list(SCOPE), "left")
-        .select(*SCOPE, "planned_us", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("apt_us", "produced", "good", *["powered_us"] * powered)])
+        .select(*SCOPE, *keep, "planned_us", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("apt_us", "produced", "good", *["powered_us"] * powered)])
     )

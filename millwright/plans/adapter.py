@@ -107,6 +107,32 @@ def site_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Lists of policies (metric, strategy) that plant configurations have, by the order's key.
+PLANT_LISTS = (
+    (("availability", "apt-over-pot"), ("quality", "good-over-produced")),
+    (("oee", "availability-performance-quality"), ("availability", "apt-over-machine-power-on-time"), ("custom", "house-rule")),
+    (("availability", "apt-over-pot"), ("performance", "reference-time-over-apt"), ("quality", "good-over-produced"), ("oee", "availability-performance-quality")),
+    (("Availability", "APT-over-machine-power-on-time"),),
+    (),
+)
+
+
+def plant_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as configurations of four sites in the time of the events, some with an end."""
+    kind = "array<struct<metric_key:string,strategy_key:string,parameters:map<string,string>>>"
+    policy = lambda m, s: F.struct(F.lit(m).alias("metric_key"), F.lit(s).alias("strategy_key"), F.create_map().cast("map<string,string>").alias("parameters"))
+    lists = [F.array(*[policy(m, s) for m, s in own]).cast(kind) for own in PLANT_LISTS]
+    key = F.col("o_orderkey")
+    since = F.timestamp_add("DAY", (key % 45).cast("int"), F.lit("2023-12-20").cast("timestamp"))
+    return table(spark, sf_dir, "orders").select(
+        F.lit("C1").alias("company_id"), F.concat(F.lit("S"), (F.col("o_custkey") % 4).cast("string")).alias("site_id"), key.cast("string").alias("version"),
+        F.when(F.col("o_orderstatus") == "P", "Published").when(F.col("o_orderstatus") == "O", "Draft").otherwise("Superseded").alias("lifecycle"),
+        since.alias("effective_from"),
+        F.when(F.substring("o_orderpriority", 1, 1).isin("1", "2", "3"), F.timestamp_add("DAY", (key % 9 + 1).cast("int"), since)).alias("effective_to"),
+        F.element_at(F.array(*lists), (key % len(lists) + 1).cast("int")).alias("metric_policies"), key.alias("ordinal"),
+    )
+
+
 def factories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions as factories, their nations as lines, the nations' suppliers as machines."""
     signal = F.struct(

@@ -527,6 +527,43 @@ def x15_policies_as_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("machine_id", "shift_id", "production_date", "m.metric_key", "m.value", "m.reason")
 
 
+_IN_FORCE = f"""{_ME}, plant AS (SELECT o_orderkey AS ordinal, 'S' || (o_custkey % 4) AS site_id, o_orderkey % 5 AS list, o_orderstatus = 'P' AS published,
+  TIMESTAMP '2023-12-20' + to_days((o_orderkey % 45)::INTEGER) AS since,
+  CASE WHEN o_orderpriority[1] IN ('1', '2', '3') THEN TIMESTAMP '2023-12-20' + to_days((o_orderkey % 45 + o_orderkey % 9 + 1)::INTEGER) END AS until FROM orders),
+ruled AS (SELECT * FROM (SELECT v.machine_id, v.shift_id, v.production_date, list, ordinal,
+    row_number() OVER (PARTITION BY v.machine_id, v.shift_id, v.production_date ORDER BY since DESC NULLS LAST, ordinal) AS rank
+  FROM v LEFT JOIN plant ON site_id_of(v.machine_id) = plant.site_id AND published AND since <= v.production_date + INTERVAL 6 HOUR AND (until IS NULL OR v.production_date + INTERVAL 6 HOUR < until)) WHERE rank = 1)""".replace(
+    "site_id_of(v.machine_id)", "'S' || (v.machine_id::INTEGER % 3)"
+)
+
+
+def _in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
+    periods, schedules, entries = _facts(spark, sf_dir)
+    site = F.concat(F.lit("S"), (F.col("machine_id").cast("int") % 3).cast("string"))
+    return shift.evaluate_in_force(periods, schedules.withColumn("site_id", site), entries.withColumn("site_id", site), adapter.plant_configurations(spark, sf_dir))
+
+
+@_query(
+    f"""WITH {_IN_FORCE} SELECT machine_id, shift_id, production_date, position, metric_key, value, reason FROM (
+  SELECT list, machine_id, shift_id, production_date, position, metric_key, value, reason FROM ruled JOIN me USING (machine_id, shift_id, production_date) WHERE list = 2 AND position < 4
+  UNION ALL SELECT list, machine_id, shift_id, production_date, position // 2, metric_key, value, reason FROM ruled JOIN me USING (machine_id, shift_id, production_date) WHERE list = 0 AND position IN (0, 2)
+  UNION ALL SELECT list, machine_id, shift_id, production_date, 0, 'oee', NULL, 'Missing input ''availability''.' FROM ruled WHERE list = 1
+  UNION ALL SELECT list, machine_id, shift_id, production_date, 1, 'availability', value, reason FROM ruled JOIN me USING (machine_id, shift_id, production_date) WHERE list = 1 AND position = 5
+  UNION ALL SELECT list, machine_id, shift_id, production_date, 2, 'custom', NULL, 'Metric strategy ''house-rule'' is not registered.' FROM ruled WHERE list = 1
+  UNION ALL SELECT list, machine_id, shift_id, production_date, 0, 'Availability', value, reason FROM ruled JOIN me USING (machine_id, shift_id, production_date) WHERE list = 3 AND position = 5)"""
+)
+def k2_k3_x13_metrics_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scope's metrics by the policies of the configuration that was in force at its site."""
+    found = metrics_long(_in_force(spark, sf_dir), "machine_id", "shift_id", "production_date")
+    return found.drop("is_available")
+
+
+@_query(f"WITH {_IN_FORCE} SELECT machine_id, ordinal::VARCHAR AS version, count(*)::BIGINT AS n FROM ruled GROUP BY ALL")
+def k2_versions_of_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of a machine's scopes were ruled by which version; null where there was none."""
+    return _in_force(spark, sf_dir).groupBy("machine_id", "version").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.configuration import resolve_configurations
 from ..operators.inputs import derive_inputs
 from ..operators.metrics import POLICIES, Engine, Policy, metrics_long
+from ..operators.policies import dictionary, evaluate_lists
 from ..operators.state import activity_periods, evaluate_states, transitions
 from ..schemas import SCOPE
 
@@ -58,6 +60,17 @@ def _hours(us: Column) -> Column:
     return us.cast("double") / F.lit(3.6e9)
 
 
+def _shift_inputs() -> tuple[dict[str, Column], dict[str, Column]]:
+    """Derived and additional inputs of a scope."""
+    apt = _hours(F.col("apt_us"))
+    inputs = {"apt": apt, "pot": _hours(F.col("planned_us")), "produced-quantity": F.col("produced"), "good-quantity": F.col("good")}
+    additional = {
+        "not": F.when(F.col("machine_id").cast("int") % 4 != 0, apt * F.lit(0.9)),
+        "machine-power-on-time": _hours(F.col("powered_us")),
+    }
+    return inputs, additional
+
+
 def evaluate_shifts(periods: DataFrame, schedules: DataFrame, entries: DataFrame, policies: Sequence[Policy] = POLICIES, engine: Engine | None = None) -> DataFrame:
     """Scope, inputs and metrics for every schedule.
 
@@ -65,13 +78,18 @@ def evaluate_shifts(periods: DataFrame, schedules: DataFrame, entries: DataFrame
     number isn't a multiple of four; power-on time is the time in known states.
     """
     base = derive_inputs(schedules, periods, entries, powered=True)
-    apt = _hours(F.col("apt_us"))
-    inputs = {"apt": apt, "pot": _hours(F.col("planned_us")), "produced-quantity": F.col("produced"), "good-quantity": F.col("good")}
-    additional = {
-        "not": F.when(F.col("machine_id").cast("int") % 4 != 0, apt * F.lit(0.9)),
-        "machine-power-on-time": _hours(F.col("powered_us")),
-    }
-    return (engine or Engine()).evaluate(base, inputs, additional, policies).select(*SCOPE, "inputs", "metrics")
+    return (engine or Engine()).evaluate(base, *_shift_inputs(), policies).select(*SCOPE, "inputs", "metrics")
+
+
+def evaluate_in_force(periods: DataFrame, schedules: DataFrame, entries: DataFrame, configurations: DataFrame, engine: Engine | None = None) -> DataFrame:
+    """Scope, version, inputs and metrics for every schedule, under the configuration that was in force when its
+    production date began; without one there are no metrics, and version is null."""
+    began = F.timestamp_add("SECOND", F.lit(DAY_STARTS_AT), F.col("production_date").cast("timestamp"))
+    ruled = resolve_configurations(schedules.withColumn("__began", began), configurations, request_key="machine_id", at="__began")
+    placed = derive_inputs(ruled, periods, entries, powered=True, keep=("configuration",))
+    known = dictionary(configurations.filter("lifecycle = 'Published'"))
+    found = evaluate_lists(placed, *_shift_inputs(), F.col("configuration.metric_policies"), known, engine)
+    return found.select(*SCOPE, F.col("configuration.version").alias("version"), "inputs", "metrics")
 
 
 def shift_metrics(snapshots: DataFrame, schedules: DataFrame, entries: DataFrame, policies: Sequence[Policy] = POLICIES) -> DataFrame:

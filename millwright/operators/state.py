@@ -2,7 +2,10 @@
 
 A machine may have a third of all rows, so its history is cut into slices of arrival (days), which are sorted
 and streamed apart; what a slice must know of its neighbours (the last state or reading before it, the
-first event behind it) is one small row a machine and slice, carried over in a second, small window.
+first event behind it) is one small row a machine and slice, carried over in a second, small window.  Slices and
+their edges come from one exchange, so that an operator's input is computed once, however operators are chained: for
+that, both sides need the same columns, and keys that can't be null (a join would filter one side otherwise); so
+machine_id goes along beside its key, and in what is carried over.
 """
 
 from __future__ import annotations
@@ -41,19 +44,30 @@ def evaluate_states(snapshots: DataFrame) -> DataFrame:
     return snapshots.withColumn("state", state).drop("signals")
 
 
+#: Stands for a machine without an id in keys.
+_NO_MACHINE = "\0"
+_SLICE = ("__machine", "__slice")
+
+
+def _edge(arrival: WindowSpec, behind: bool) -> Column:
+    """Whether a row is the last of its slice, or the first (without a row number, which Spark would push below the exchange)."""
+    return (F.lead(F.lit(1)) if behind else F.lag(F.lit(1))).over(arrival).isNull()
+
+
 def _slices(df: DataFrame, order: tuple[str, ...]) -> tuple[DataFrame, WindowSpec]:
-    """df with the slice of arrival of each row (__slice), and the window of a machine's slice in arrival order."""
+    """df by machine and slice of arrival, and the window of a slice in arrival order."""
     first = F.col(order[0])
     if isinstance(df.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         part = F.coalesce(F.to_date(first), F.lit("0001-01-01").cast("date"))
     else:
         part = F.coalesce(F.floor(first / SLICE), F.lit(-(2**62)))
-    return df.withColumn("__slice", part), Window.partitionBy("machine_id", "__slice").orderBy(*order)
+    keyed = df.withColumns({"__machine": F.coalesce(F.col("machine_id"), F.lit(_NO_MACHINE)), "__slice": part})
+    return keyed, Window.partitionBy(*_SLICE).orderBy(*order)
 
 
 def _by_slice() -> WindowSpec:
     """Over a row for each slice."""
-    return Window.partitionBy("machine_id").orderBy("__slice")
+    return Window.partitionBy("__machine").orderBy("__slice")
 
 
 def assemble_snapshots(mapped: DataFrame, keys: tuple[str, ...] = STATE_SIGNALS, order: tuple[str, ...] = ORDER) -> DataFrame:
@@ -65,22 +79,23 @@ def assemble_snapshots(mapped: DataFrame, keys: tuple[str, ...] = STATE_SIGNALS,
     so_far = arrival.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reading = F.struct(F.col("signal_key").alias("key"), "type", "value", "source", "quality", "timestamp")
     names = [f"__k{i}" for i in range(len(keys))]
-    latest = {n: F.last(F.when(fold(F.col("signal_key")) == k, reading), ignorenulls=True).over(so_far) for n, k in zip(names, keys)}
-    marked = sliced.withColumns(latest | {"__end": F.lead(F.lit(1)).over(arrival).isNull()}).select("machine_id", "__slice", *order, *names, "__end")
+    whole = F.struct(reading.alias("r"), "machine_id")
+    latest = {n: F.last(F.when(fold(F.col("signal_key")) == k, whole), ignorenulls=True).over(so_far) for n, k in zip(names, keys)}
+    marked = sliced.withColumns(latest | {"__end": _edge(arrival, True)}).select("machine_id", *_SLICE, *order, *names, "__end")
     before = _by_slice().rowsBetween(Window.unboundedPreceding, -1)
-    carried = marked.filter("__end").select("machine_id", "__slice", *[F.last(n, ignorenulls=True).over(before).alias(f"{n}c") for n in names])
-    joined = marked.join(carried, ["machine_id", "__slice"], "left")
-    return joined.select("machine_id", F.filter(F.array(*[F.coalesce(n, f"{n}c") for n in names]), lambda s: s.isNotNull()).alias("signals"), *order)
+    carried = marked.filter("__end").select(*_SLICE, *[F.last(n, ignorenulls=True).over(before).alias(f"{n}c") for n in names])
+    joined = marked.join(carried, list(_SLICE), "left")
+    return joined.select("machine_id", F.filter(F.array(*[F.coalesce(n, f"{n}c")["r"] for n in names]), lambda s: s.isNotNull()).alias("signals"), *order)
 
 
 def transitions(states: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
     """Changes of state for each machine in arrival order; before its first row a machine is unknown."""
     sliced, arrival = _slices(states, order)
-    place = {"__before": F.lag("state").over(arrival), "__first": F.row_number().over(arrival) == 1, "__end": F.lead(F.lit(1)).over(arrival).isNull()}
-    marked = sliced.withColumns(place).select("machine_id", "__slice", "state", *order, *place)
-    carried = marked.filter("__end").select("machine_id", "__slice", F.lag("state").over(_by_slice()).alias("__carried"))
-    previous = F.coalesce(F.when(F.col("__first"), F.col("__carried")).otherwise(F.col("__before")), F.lit("Unknown"))
-    joined = marked.join(carried, ["machine_id", "__slice"], "left")
+    place = {"__before": F.lag("state").over(arrival), "__first": _edge(arrival, False), "__end": _edge(arrival, True)}
+    marked = sliced.select("machine_id", *_SLICE, "state", *order).withColumns(place)
+    carried = marked.filter("__end").select(*_SLICE, F.lag(F.struct("state", "machine_id")).over(_by_slice()).alias("__carried"))
+    previous = F.coalesce(F.when(F.col("__first"), F.col("__carried.state")).otherwise(F.col("__before")), F.lit("Unknown"))
+    joined = marked.join(carried, list(_SLICE), "left")
     return joined.select("machine_id", previous.alias("previous_state"), F.col("state").alias("current_state"), *order).filter("previous_state <> current_state")
 
 
@@ -90,11 +105,12 @@ def activity_periods(changes: DataFrame, order: tuple[str, ...] = ORDER) -> Data
     Events that repeat a state close a period too, and a period is negative if time runs backwards.
     """
     sliced, arrival = _slices(changes, order)
-    place = {"__next": F.lead("timestamp").over(arrival), "__first": F.row_number().over(arrival) == 1, "__end": F.lead(F.lit(1)).over(arrival).isNull()}
-    marked = sliced.withColumns(place)
-    carried = marked.filter("__first").select("machine_id", "__slice", F.lead("timestamp").over(_by_slice()).alias("__carried"))
-    ended = F.when(F.col("__end"), F.col("__carried")).otherwise(F.col("__next"))
-    closed = marked.join(carried, ["machine_id", "__slice"], "left").withColumn("ended_at", ended).filter("ended_at is not null")
+    event = F.struct("timestamp", "current_state", "machine_id")
+    place = {"__next": F.lead(event).over(arrival), "__first": _edge(arrival, False), "__end": _edge(arrival, True)}
+    marked = sliced.select("machine_id", *_SLICE, "current_state", *dict.fromkeys([*order, "timestamp"])).withColumns(place)
+    carried = marked.filter("__first").select(*_SLICE, F.lead(event).over(_by_slice()).alias("__carried"))
+    ended = F.when(F.col("__end"), F.col("__carried")).otherwise(F.col("__next"))["timestamp"]
+    closed = marked.join(carried, list(_SLICE), "left").withColumn("ended_at", ended).filter("ended_at is not null")
     return closed.select(
         "machine_id", F.col("current_state").alias("state"), F.col("timestamp").alias("started_at"), "ended_at",
         microseconds(F.col("timestamp"), F.col("ended_at")).alias("duration_us"),

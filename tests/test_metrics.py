@@ -120,11 +120,12 @@ def test_bad_scopes_are_set_apart(spark):
         check_scopes(df, F.col("d"), F.col("x"), policies, on_error="strict").rows.count()
 
 
-def test_configuration_plan_has_no_sort_aggregate(spark):
+def test_requests_are_not_joined_to_versions(spark):
+    """What is joined are the moments of change and the configurations; requests are swept."""
     c = configurations(spark, ("S1", "v1", "Published", "2026-08-01", "2026-09-01"))
     r = spark.createDataFrame([(1, "c", "S1", datetime(2026, 8, 2))], "request_id int, company_id string, site_id string, at timestamp")
-    plan = resolve_configurations(r, c)._jdf.queryExecution().executedPlan().toString()
-    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    plan = resolve_configurations(r, c)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Join LeftOuter" in plan
 
 
 def test_derivation(spark):

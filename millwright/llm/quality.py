@@ -3,8 +3,9 @@
 A document fails the base rules if it has fewer than ``min_words`` words or if more than half of its
 words stand in three-word windows that occur twice or more in it.  Failures are summed by host (here the
 source of a document), the hosts' rates are shrunk towards a beta prior fitted to all hosts by the
-method of moments, and a host whose shrunk rate is over ``host_limit`` takes its other documents down
-with it.  DataFrame functions only.  Texts are read once: what the rules count is written, and failures are
+method of moments, and a host whose shrunk rate is over the limit takes its other documents down with it.  The
+limit follows from the prior: its mean and ``DEVIATIONS`` of its standard deviations, and no more than ``HOST_LIMIT``
+(a prior as wide as that says that there are good hosts and bad ones, and no deviation is far from its mean).  DataFrame functions only.  Texts are read once: what the rules count is written, and failures are
 summed from that with map-side combine, so a host with a third of all rows is no hot key.  A host's verdict
 goes back to the salts that its documents have, and documents meet it by host and salt, without a broadcast
 hint, for the table of hosts grows with the corpus.
@@ -22,8 +23,8 @@ from .common import materialise, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A shrunk failure rate above this rejects a host.
-HOST_LIMIT = 0.6
+#: A shrunk failure rate above this rejects a host, and one above the prior's mean by so many of its deviations.
+HOST_LIMIT, DEVIATIONS = 0.6, 3.0
 #: Parts a host's documents are dealt into when they meet its verdict.
 SALTS = 64
 
@@ -64,7 +65,7 @@ def base_rules(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_percent:
 
 
 def host_verdicts(ruled: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
-    """host, n, failed, shrunk_rate, host_kept: one row per host.
+    """host, n, failed, shrunk_rate, host_limit, host_kept: one row per host.
 
     Prior: the hosts' rates have mean m and variance v about it; a beta prior with that mean has strength
     m(1-m)/v - 1, kept between 1 and 1,000 pseudo-documents (1,000 where hosts don't differ at all).
@@ -74,9 +75,10 @@ def host_verdicts(ruled: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame
     prior = hosts.agg((F.sum("failed") / F.sum("n")).alias("m"), F.var_pop(rate).alias("v"))
     strength = F.when(F.col("v") > 0, F.least(F.lit(1000.0), F.greatest(F.lit(1.0), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(F.lit(1000.0))
     shrunk = (F.col("failed") + F.col("m") * F.col("strength")) / (F.col("n") + F.col("strength"))
+    limit = F.least(F.lit(host_limit), F.col("m") + DEVIATIONS * F.sqrt(F.col("m") * (1 - F.col("m")) / (F.col("strength") + 1)))
     return (
         hosts.join(F.broadcast(prior.withColumn("strength", strength)))  # one row
-        .select("host", "n", "failed", shrunk.alias("shrunk_rate"), (shrunk <= host_limit).alias("host_kept"))
+        .select("host", "n", "failed", shrunk.alias("shrunk_rate"), limit.alias("host_limit"), (shrunk <= limit).alias("host_kept"))
     )
 
 
@@ -111,7 +113,7 @@ ruled AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_
 hosts AS (SELECT host, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS failed FROM ruled GROUP BY host),
 prior AS (SELECT sum(failed) / sum(n) AS m, var_pop(failed / n) AS v FROM hosts),
 strong AS (SELECT m, CASE WHEN v > 0 THEN least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS s FROM prior),
-verdict AS (SELECT host, (failed + m * s) / (n + s) <= 0.6 AS ok FROM hosts, strong)
+verdict AS (SELECT host, (failed + m * s) / (n + s) <= least(0.6, m + 3.0::DOUBLE * sqrt(m * (1 - m) / (s + 1))) AS ok FROM hosts, strong)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept
 FROM ruled JOIN verdict ON ruled.host = verdict.host
 """

@@ -377,6 +377,18 @@ def test_host_verdicts(spark):
     assert 0 not in kept and {1001, 5000} <= kept and 1000 not in kept
 
 
+def test_a_host_unlike_the_others_is_rejected_by_the_prior(spark):
+    """Far below the absolute limit; what goes goes by the host alone, and hosts that differ by chance stay."""
+    good, bad = words(80, 3, 5000), "few words"
+    rows = [(100 * h + i, bad if i < 5 + h % 3 else good, f"h{h}") for h in range(20) for i in range(60)] + [(9_000 + i, bad if i < 27 else good, "odd") for i in range(60)]
+    judged = quality.judge(frame(spark, rows)).collect()
+    odd = [r for r in judged if r.host == "odd"]
+    verdicts = quality.host_verdicts(quality.base_rules(frame(spark, rows))).collect()
+    assert {r.host_limit < 0.4 for r in verdicts} == {True} and [r.host for r in verdicts if not r.host_kept] == ["odd"]
+    assert sum(not r.base_failed for r in odd) == 33 and not any(r.kept for r in odd)
+    assert all(r.kept != r.base_failed for r in judged if r.host != "odd")
+
+
 def toxic_rows(n=600):
     rnd = random.Random(2)
     rows, labels = [], []

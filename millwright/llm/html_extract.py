@@ -9,6 +9,10 @@ the neighbour has it or not.  In the page's article element a shared line goes u
 as a sentence or has over ``NOTICE_WORDS`` words, and none goes if over half of the article is shared: then
 the two pages are copies.  A page without an article is judged by its neighbour and by link density alone.
 
+A name (class, id, role) isn't always what it says: ``has-sidebar`` or ``no-sidebar`` names nothing, a wrapper that
+holds over half of the page's prose is a layout, and a paragraph of prose in an article isn't a share button because its
+class says ``share-price``.  Only names of comments, consents, subscriptions and adverts hold whatever they frame.
+
 A host may hold a third of all pages, so pages are dealt into ranges of (host, path, page_id), cut at keys
 of a sample.  The first and the last page of each range are also sent to the ranges before and behind it, as
 line hashes, so that each page meets its true neighbours and results don't depend on the cuts.  Pages are
@@ -48,6 +52,12 @@ NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|footer|sidebar|aside|widget|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscri\w+|comments?|disqus|replies|respond|related|share|social|search|login|pagination|pager|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Before such a word, these say that the page has it, or hasn't.
+_PREFIXED = re.compile(r"(?:^|(?<=[\s_-]))(?:has|have|no|non|not|with|without|hide|show)[_-][^\s]*", re.I)
+#: Names that hold even where they frame most of the page.
+FIRM = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|cookies?|consent|gdpr|popup|modal|newsletter|subscri\w+|comments?|disqus|replies|respond)(?:$|[\s_-])", re.I)
+#: Names that prose in an article may have for its subject.
+LOOSE = frozenset(("share", "social", "related", "search", "notice", "alert", "login", "skip", "widget", "aside"))
 #: The same outside an article, whose own header is part of it.
 HEADS = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -68,10 +78,13 @@ CELLS = 1 << 26
 class Line:
     """A block of text: in_main tells whether it stands in the article, framed whether markup names it as none."""
 
-    __slots__ = ("framed", "heading", "in_main", "linked", "text")
+    __slots__ = ("framed", "heading", "in_main", "linked", "names", "text")
+
+    def __init__(self, text: str, in_main: bool, framed: bool, linked: float, heading: bool, names: tuple[int, ...] = ()):
+        self.text, self.in_main, self.framed, self.linked, self.heading, self.names = text, in_main, framed, linked, heading, names
 
-    def __init__(self, text: str, in_main: bool, framed: bool, linked: float, heading: bool):
-        self.text, self.in_main, self.framed, self.linked, self.heading = text, in_main, framed, linked, heading
+    def prose(self) -> bool:
+        return not self.heading and self.linked < LINK_SHARE and (bool(_SENTENCE.search(self.text)) or self.text.count(" ") >= NOTICE_WORDS)
 
     def marks(self) -> int:
         """1: in the article, 2: framed, 4: mostly links, 8: a heading or prose."""
@@ -79,19 +92,50 @@ class Line:
         return self.in_main + 2 * self.framed + 4 * (self.linked >= LINK_SHARE) + 8 * own
 
 
+#: How a name frames: whatever it holds; unless that is most of the page; and also unless that is prose of an article.
+_FIRM, _PLAIN, _LOOSE = 0, 1, 2
+
+
+def _named(own: str, in_main: bool) -> int | None:
+    """How an element's names frame it, if they do."""
+    own = _PREFIXED.sub(" ", own)
+    if FIRM.search(own):
+        return _FIRM
+    found = NAMED.search(own)
+    if found:
+        word = found[0].strip(" \t\n\r\f_-").lower()
+        return _LOOSE if in_main and word in LOOSE else _PLAIN
+    return _PLAIN if not in_main and HEADS.search(own) else None
+
+
+def _frame(lines: list[Line], kinds: list[int]) -> list[Line]:
+    """Lines with the frames of names that hold; kinds are those of the names met, in the order of Line.names."""
+    held, total = [0] * len(kinds), 0
+    for x in lines:
+        if x.prose() and not x.framed and all(kinds[k] != _FIRM for k in x.names):
+            total += len(x.text)
+            for k in x.names:
+                held[k] += len(x.text)
+    layout = [kind != _FIRM and 2 * n > total for kind, n in zip(kinds, held)]
+    for x in lines:
+        x.framed = x.framed or any(not layout[k] and not (kinds[k] == _LOOSE and x.prose()) for k in x.names)
+    return lines
+
+
 def read_lines(html: str | None) -> list[Line]:
     """The blocks of a page in page order, white space inside made single spaces."""
     lines: list[Line] = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, in_main, framed, linked, heading
+    stack: list[tuple[str, bool, bool, bool, bool, tuple[int, ...]]] = []  # name, in_main, framed, linked, heading, names
     parts: list[str] = []
+    kinds: list[int] = []
     linked = [0]
-    state = nothing = ("", False, False, False, False)
+    state = nothing = ("", False, False, False, False, ())
 
     def flush() -> None:
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                lines.append(Line(text, state[1], state[2], min(1.0, linked[0] / max(1, len(text))), state[4]))
+                lines.append(Line(text, state[1], state[2], min(1.0, linked[0] / max(1, len(text))), state[4], state[5]))
             parts.clear()
         linked[0] = 0
 
@@ -144,15 +188,17 @@ def read_lines(html: str | None) -> list[Line]:
         in_main = state[1] or name in MAIN
         # a header inside an article is the article's own
         framed = state[2] or name in FRAMES and not (state[1] and name in ("header", "label", "figcaption"))
-        if own and name not in ("html", "body", "article", "main"):
-            framed = framed or bool(NAMED.search(own)) or not state[1] and bool(HEADS.search(own))
+        names = state[5]
+        if own and name not in ("html", "body", "article", "main") and (kind := _named(own, state[1])) is not None:
+            kinds.append(kind)
+            names = (*names, len(kinds) - 1)
         framed = framed or bool(m[3] and _HIDDEN.search(m[3]))
-        entry = (name, in_main, framed, state[3] or name == "a", state[4] or name in HEADINGS)
+        entry = (name, in_main, framed, state[3] or name == "a", state[4] or name in HEADINGS, names)
         if not m[3].rstrip().endswith("/") or name in INLINE:
             stack.append(entry)
             state = entry
     flush()
-    return lines
+    return _frame(lines, kinds)
 
 
 def line_hash(text: str) -> int:

@@ -334,6 +334,23 @@ def test_framed_articles_are_not_the_main_text(cards):
     assert html_extract.main_text(html_extract.read_lines(f"<div><p>Text</p></div>{cards}"), None) == "Text"
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div class="has-sidebar"><article><p>Some text here.</p></article></div>', "Some text here."),
+        ('<div class="content no-sidebar"><p>Some text.</p><p>More of it.</p></div>', "Some text. More of it."),
+        ('<article><p class="share-price">The share price rose.</p><p class="related-work">Others did this before us.</p></article>', "The share price rose. Others did this before us."),
+        ('<div class="page sidebar-layout"><div class="sidebar"><p>Buy it now.</p></div><div><p>The long text of the page that matters, in words.</p></div></div>', "The long text of the page that matters, in words."),
+        ('<article><p>Body text is here.</p><div class="share"><a href="x">Tell all of your friends about this text now.</a></div></article>', "Body text is here."),
+        ('<article><p>Body.</p><div class="comments"><p>I think this is a great text, thank you so much for it all.</p></div></article>', "Body."),
+        ('<div class="cookie-consent"><p>We use cookies to make this page better for you and us.</p></div><p>Short.</p>', "Short."),
+        ('<div class="sidebar"><p>Buy.</p></div><p>The text of the page is longer.</p>', "The text of the page is longer."),
+    ],
+)
+def test_names_that_frame_and_names_that_dont(page, text):
+    assert html_extract.main_text(html_extract.read_lines(page), None) == text
+
+
 def test_common_lines():
     rnd = random.Random(1)
     for _ in range(300):

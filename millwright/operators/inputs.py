@@ -2,26 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import SCOPE
 from .contract import refuse
+from .incremental import Totals
 
 
-def period_totals(periods: DataFrame, keys: tuple[str, ...] = ("machine_id", "shift_id", "production_date")) -> DataFrame:
-    """By keys, the time in running periods (apt_us) and in all known states (powered_us), whole as they are."""
+def _time_sums() -> dict[str, Column]:
+    """Of periods: what counts as running time, and as time in a known state."""
+    us = F.col("duration_us")
+    return {"apt_us": F.when(F.col("state") == "Running", us), "powered_us": F.when(F.col("state") != "Unknown", us)}
 
-    def total(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("duration_us"))), F.lit(0)).cast("bigint")
 
-    return periods.groupBy(*keys).agg(total(F.col("state") == "Running").alias("apt_us"), total(F.col("state") != "Unknown").alias("powered_us"))
+def _quantity_sums() -> dict[str, Column]:
+    """Of entries: what was produced, and of that what is good."""
+    produced, rejected = F.col("produced").cast("bigint"), F.col("rejected").cast("bigint")
+    return {"produced": produced, "good": produced - rejected}
+
+
+def period_totals(periods: DataFrame, keys: tuple[str, ...] = ("machine_id", "shift_id", "production_date")) -> DataFrame:
+    """By keys, the time in running periods (apt_us) and in all known states (powered_us), whole as they are."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(n) for n, c in _time_sums().items()]
+    return periods.groupBy(*keys).agg(*sums)
 
 
 def quantities(entries: DataFrame, keys: tuple[str, ...] = SCOPE) -> DataFrame:
     """produced and good, which is produced less what was rejected in process, by keys."""
-    produced, rejected = F.col("produced").cast("bigint"), F.col("rejected").cast("bigint")
-    return entries.groupBy(*keys).agg(F.coalesce(F.sum(produced), F.lit(0)).alias("produced"), F.coalesce(F.sum(produced - rejected), F.lit(0)).alias("good"))
+    return entries.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in _quantity_sums().items()])
+
+
+class IncrementalInputs:
+    """Inputs of scopes that are kept up to date: periods come in by their end, entries by when they were recorded."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.periods = Totals(spark, f"{path}/periods", ("machine_id", "shift_id", "production_date"), _time_sums())
+        self.entries = Totals(spark, f"{path}/entries", SCOPE, _quantity_sums())
+
+    def advance(self, periods: DataFrame, entries: DataFrame) -> None:
+        self.periods.advance(periods, "ended_at")
+        self.entries.advance(entries, "recorded_at")
+
+    def inputs(self, schedules: DataFrame) -> DataFrame:
+        """As derive_inputs gives them, of all that has been taken in."""
+        found = schedules
+        for totals in (self.periods, self.entries):
+            sums = totals.read()
+            found = found.withColumns({n: F.lit(0) for n in totals.sums}) if sums is None else found.join(sums, totals.keys, "left")
+        return found.select(*SCOPE, "planned_us", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("apt_us", "produced", "good", "powered_us")])
 
 
 def entries_out_of_scope(entries: DataFrame, schedules: DataFrame) -> DataFrame:

@@ -29,6 +29,14 @@ def sample_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def as_files(payloads: DataFrame, path: str) -> DataFrame:
+    """payloads (payload_id, xml, machine_id, device_key) written as a file each: payload_id, path, machine_id, device_key."""
+    spark = payloads.sparkSession
+    payloads.repartition("payload_id").select("payload_id", "xml").write.partitionBy("payload_id").text(path)
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select(F.col("payload_id").cast("bigint").alias("payload_id"), "path")
+    return listed.join(payloads.select("payload_id", "machine_id", "device_key"), "payload_id")
+
+
 def current_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current values of the same blocks: each event as an enumeration, unavailable where its k leaves 18 by 20."""
     at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

@@ -13,7 +13,7 @@ from ..functions.text import microseconds
 from ..operators import catalog
 from ..operators.configuration import is_effective, policy_of, resolve_configurations
 from ..operators.contract import Checked
-from ..operators.inputs import derive_inputs, entries_out_of_scope, quantities
+from ..operators.inputs import IncrementalInputs, derive_inputs, entries_out_of_scope, quantities
 from ..operators.mapping import map_observations, map_simple, map_with_configuration, unmapped_observations
 from ..operators.metrics import POLICIES, Engine, check_scopes, metrics_long
 from ..operators.state import activity_periods, assemble_snapshots, evaluate_states, transitions
@@ -261,7 +261,21 @@ def _facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return shift.shift_periods(adapter.snapshots(spark, sf_dir)), adapter.schedules(spark, sf_dir), adapter.production_entries(spark, sf_dir)
 
 
-@_query(f"WITH {_IN} SELECT company_id, site_id, machine_id, shift_id, production_date, planned_us, apt_us, produced, good FROM inp")
+_INPUTS = f"WITH {_IN} SELECT company_id, site_id, machine_id, shift_id, production_date, planned_us, apt_us, produced, good FROM inp"
+
+
+@_query(_INPUTS)
+def x1_incremental_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two increments: what had come by the middle of the events' time, and then the rest."""
+    first, last = adapter.table(spark, sf_dir, "events").agg(F.min(F.col("ts").cast("timestamp")), F.max(F.col("ts").cast("timestamp"))).first()
+    kept = IncrementalInputs(spark, f"{shared_root(spark)}/millwright/inputs-{uuid.uuid4().hex}")
+    for upto in ([first + (last - first) / 2, last] if first else []):
+        come = adapter.snapshots(spark, sf_dir).filter(F.col("timestamp") <= upto)
+        kept.advance(shift.shift_periods(come), adapter.production_entries(spark, sf_dir).filter(F.col("recorded_at") <= upto))
+    return kept.inputs(adapter.schedules(spark, sf_dir)).drop("powered_us")
+
+
+@_query(_INPUTS)
 def x1_inputs_per_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     periods, schedules, entries = _facts(spark, sf_dir)
     return derive_inputs(schedules, periods, entries, on_error="strict")
@@ -344,15 +358,28 @@ def s7_current_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _naive(rows.select("machine_id", "address", "type", F.col("value.text").alias("text"), "quality", "timestamp"))
 
 
-@_query(
+_SAMPLES = (
     f"""WITH {_EV} SELECT machine_id, event_id AS sequence, event_type AS address, round(value, 3) AS number, ts AS timestamp,
   (row_number() OVER (PARTITION BY machine_id, event_id // 500 ORDER BY event_id) - 1)::INTEGER AS position FROM ev"""
 )
-def s9_sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = xml.sample_rows(documents.sample_documents(spark, sf_dir))
+
+
+def _numbers(rows: DataFrame) -> DataFrame:
     return _naive(rows.select("machine_id", F.col("sequence").cast("bigint").alias("sequence"), "address", F.col("value.num").cast("double").alias("number"), "timestamp", "position"))
 
 
+@_query(_SAMPLES)
+def s9_sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numbers(xml.sample_rows(documents.sample_documents(spark, sf_dir)))
+
+
+@_query(_SAMPLES)
+def s9_sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents as files, which are read piece by piece."""
+    files = documents.as_files(documents.sample_documents(spark, sf_dir), f"{shared_root(spark)}/millwright/documents-{uuid.uuid4().hex}")
+    return _numbers(xml.sample_files(files))
+
+
 @_query(f"WITH {_EV} SELECT (event_id // 500 * 10 + machine_id::INTEGER)::BIGINT AS payload_id, min(event_id) AS first_sequence, max(event_id) AS last_sequence, max(event_id) + 1 AS next_sequence FROM ev GROUP BY ALL")
 def s9_sample_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = xml.sample_envelopes(documents.sample_documents(spark, sf_dir))

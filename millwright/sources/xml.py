@@ -7,13 +7,18 @@ attribute names are compared without their namespaces.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from decimal import Decimal, InvalidOperation
+from itertools import islice
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import TABLES, U64_MAX_TEXT, VALUE
@@ -27,12 +32,20 @@ class InvalidDocument(ValueError):
         self.code = code
 
 
+def _local(name: str) -> str:
+    return name.rpartition("}")[2]
+
+
 def _name(element: ElementTree.Element) -> str:
-    return element.tag.rpartition("}")[2] if isinstance(element.tag, str) else ""
+    return _local(element.tag) if isinstance(element.tag, str) else ""
+
+
+def _of(attributes: dict[str, str], name: str) -> str | None:
+    return next((v for k, v in attributes.items() if _local(k) == name), None)
 
 
 def _attribute(element: ElementTree.Element, name: str) -> str | None:
-    return next((v for k, v in element.attrib.items() if k.rpartition("}")[2] == name), None)
+    return _of(element.attrib, name)
 
 
 def _root(xml: str | None) -> ElementTree.Element:
@@ -79,33 +92,6 @@ _NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", re.ASCII)
 _LARGEST = Decimal("79228162514264337593543950335")
 
 
-def _device_root(xml: str | None, device_key: str) -> ElementTree.Element:
-    """The document's root; a blank document or key is told before anything in the document is."""
-    if xml and xml.strip() and not (device_key and device_key.strip()):
-        raise InvalidDocument("E16", "a device key is required")
-    return _root(xml)
-
-
-def _stream_of(root: ElementTree.Element, device_key: str) -> ElementTree.Element | None:
-    key = device_key.lower()
-    found = [e for e in root.iter() if _name(e) == "DeviceStream" and key in ((_attribute(e, a) or "").lower() for a in ("name", "uuid"))]
-    if len(found) > 1:
-        raise InvalidDocument("E10", f"several device streams match {device_key}")
-    return found[0] if found else None
-
-
-def _readings(device: ElementTree.Element) -> Iterator[tuple[ElementTree.Element, str | None]]:
-    """Elements with a dataItemId in document order, and the type of the nearest section around each."""
-
-    def walk(e: ElementTree.Element, kind: str | None) -> Iterator[tuple[ElementTree.Element, str | None]]:
-        for child in e:
-            if _attribute(child, "dataItemId") is not None:
-                yield child, kind
-            yield from walk(child, _SECTIONS.get(_name(child), kind))
-
-    yield from walk(device, None)
-
-
 def _instant(text: str | None) -> datetime:
     try:
         at = datetime.fromisoformat(re.sub(r"(\.\d{6})\d+", r"\1", text.strip()))
@@ -114,14 +100,14 @@ def _instant(text: str | None) -> datetime:
     return (at if at.tzinfo else at.replace(tzinfo=UTC)).astimezone(UTC)
 
 
-def _observation(e: ElementTree.Element, kind: str | None, machine_id: str) -> dict:
-    item = _attribute(e, "dataItemId") or ""
+def _observation(attributes: dict[str, str], text: str, kind: str | None, machine_id: str) -> dict:
+    item = _of(attributes, "dataItemId") or ""
     if not item.strip():
         raise InvalidDocument("E11", "dataItemId is blank")
-    at = _instant(_attribute(e, "timestamp"))
+    at = _instant(_of(attributes, "timestamp"))
     if kind is None:
         raise InvalidDocument("E11", f"{item} stands outside Samples, Events and Condition")
-    text = "".join(e.itertext()).strip()
+    text = text.strip()
     value, quality = {"bool": None, "num": None, "text": None, "ts": None}, "Good"
     if text.lower() == "unavailable":
         value, quality = None, "Uncertain"
@@ -138,29 +124,132 @@ def _observation(e: ElementTree.Element, kind: str | None, machine_id: str) -> d
     return {"machine_id": machine_id, "source": "mtconnect", "address": item, "type": kind, "value": value, "quality": quality, "timestamp": at}
 
 
-def parse_current(xml: str | None, machine_id: str, device_key: str) -> list[dict]:
-    """Observations of one device in document order; none if the device isn't there."""
-    device = _stream_of(_device_root(xml, device_key), device_key)
-    return [] if device is None else [_observation(e, kind, machine_id) for e, kind in _readings(device)]
-
-
-def _u64(e: ElementTree.Element, name: str) -> int:
-    text = _attribute(e, name) or ""
+def _u64(name: str, attributes: dict[str, str], key: str) -> int:
+    text = _of(attributes, key) or ""
     if not re.fullmatch("[0-9]+", text) or int(text) > int(U64_MAX_TEXT):
-        raise InvalidDocument("E9", f"{_name(e)} has no valid {name}")
+        raise InvalidDocument("E9", f"{name} has no valid {key}")
     return int(text)
 
 
+@dataclass
+class _Reading:
+    ordinal: int
+    name: str
+    attributes: dict[str, str]
+    kind: str | None
+    text: list[str] = field(default_factory=list)
+
+
+class DocumentReader:
+    """One device's readings of a document that is read piece by piece, in memory for the open elements alone.
+
+    rows gives each reading when its element ends, with its place in the document (doc_ordinal) and, of a sample, its
+    sequence.  What is wrong with the document is known at its end: rows raises then, the blank document before the
+    blank key, malformed text before all that the document says, the header before the device, and of the
+    readings the first one.  Until then what was given out is not to be used; check reads a document for that alone.
+    """
+
+    def __init__(self, machine_id: str, device_key: str, sample: bool):
+        self.machine_id, self.device_key, self.sample = machine_id, device_key, sample
+        self.headers: list[dict[str, str]] = []
+        self._key = (device_key or "").lower()
+        self._open: list[tuple[str | None, _Reading | None]] = []  # what each open element sets for those in it, and its reading
+        self._texts: list[_Reading] = []
+        self._device: int | None = None  # depth of the device's element while it is open
+        self._matches = self._count = 0
+        self._failed: tuple[int, InvalidDocument] | None = None
+        self._done: list[dict] = []
+        self._parser = expat.ParserCreate(namespace_separator="}")
+        self._parser.buffer_text = True
+        self._parser.StartElementHandler, self._parser.EndElementHandler, self._parser.CharacterDataHandler = self._start, self._end, self._said
+
+    def _start(self, tag: str, attributes: dict[str, str]) -> None:
+        name = _local(tag)
+        if name == "Header":
+            self.headers.append(attributes)
+        kind = self._open[-1][0] if self._open else None
+        reading = None
+        if self._device is not None and _of(attributes, "dataItemId") is not None:
+            reading = _Reading(self._count, name, attributes, kind)
+            self._count += 1
+            self._texts.append(reading)
+        if name == "DeviceStream" and any((_of(attributes, a) or "").lower() == self._key for a in ("name", "uuid")):
+            self._matches += 1
+            if self._matches == 1:
+                self._device, kind = len(self._open), None
+        inside = self._device is not None and self._device < len(self._open)
+        self._open.append((_SECTIONS.get(name, kind) if inside else None, reading))
+
+    def _said(self, text: str) -> None:
+        for r in self._texts:
+            r.text.append(text)
+
+    def _end(self, tag: str) -> None:
+        _, reading = self._open.pop()
+        if self._device == len(self._open):
+            self._device = None
+        if reading is None:
+            return
+        self._texts.pop()
+        try:
+            row = {"sequence": _u64(reading.name, reading.attributes, "sequence")} if self.sample else {}
+            self._done.append({"doc_ordinal": reading.ordinal} | row | _observation(reading.attributes, "".join(reading.text), reading.kind, self.machine_id))
+        except InvalidDocument as e:
+            if self._failed is None or reading.ordinal < self._failed[0]:
+                self._failed = reading.ordinal, e
+
+    def rows(self, pieces: Iterable[bytes]) -> Iterator[dict]:
+        blank = True
+        try:
+            for piece in pieces:
+                if blank and piece.strip():
+                    blank = False
+                    if not self._key.strip():
+                        raise InvalidDocument("E16", "a device key is required")
+                self._parser.Parse(piece, False)
+                done, self._done = self._done, []
+                yield from done
+            if blank:
+                raise InvalidDocument("E16", "the document is blank")
+            self._parser.Parse(b"", True)
+        except expat.ExpatError as e:
+            raise InvalidDocument("E15", f"malformed document: {e}") from e
+        self.header()
+        if self._matches > 1:
+            raise InvalidDocument("E10", f"several device streams match {self.device_key}")
+        if self._failed:
+            raise self._failed[1]
+
+    def header(self) -> dict:
+        """A sample's sequences; its one header has to be sound."""
+        if not self.sample:
+            return {}
+        if len(self.headers) != 1:
+            raise InvalidDocument("E9", f"{len(self.headers)} headers")
+        names = (("instance_id", "instanceId"), ("first_sequence", "firstSequence"), ("last_sequence", "lastSequence"), ("next_sequence", "nextSequence"))
+        return {k: _u64("Header", self.headers[0], a) for k, a in names}
+
+
+#: Bytes of a document that are parsed at a time.
+PIECE = 1 << 20
+
+
+def _pieces(xml: str | None) -> Iterator[bytes]:
+    for i in range(0, len(xml or ""), PIECE):
+        yield xml[i : i + PIECE].encode()
+
+
+def parse_current(xml: str | None, machine_id: str, device_key: str) -> list[dict]:
+    """Observations of one device in document order; none if the device isn't there."""
+    rows = sorted(DocumentReader(machine_id, device_key, False).rows(_pieces(xml)), key=lambda r: r["doc_ordinal"])
+    return [{k: v for k, v in r.items() if k != "doc_ordinal"} for r in rows]
+
+
 def parse_sample(xml: str | None, machine_id: str, device_key: str) -> dict:
     """The header's sequences and one device's observations by sequence, ties in document order."""
-    root = _device_root(xml, device_key)
-    headers = [e for e in root.iter() if _name(e) == "Header"]
-    if len(headers) != 1:
-        raise InvalidDocument("E9", f"{len(headers)} headers")
-    head = {k: _u64(headers[0], a) for k, a in (("instance_id", "instanceId"), ("first_sequence", "firstSequence"), ("last_sequence", "lastSequence"), ("next_sequence", "nextSequence"))}
-    device = _stream_of(root, device_key)
-    rows = [] if device is None else [{"sequence": _u64(e, "sequence")} | _observation(e, kind, machine_id) for e, kind in _readings(device)]
-    return head | {"observations": sorted(rows, key=lambda r: r["sequence"])}
+    reader = DocumentReader(machine_id, device_key, True)
+    rows = sorted(reader.rows(_pieces(xml)), key=lambda r: (r["sequence"], r["doc_ordinal"]))
+    return reader.header() | {"observations": [{k: v for k, v in r.items() if k != "doc_ordinal"} for r in rows]}
 
 
 OBSERVATION = f"machine_id string, source string, address string, type string, value {VALUE}, quality string, timestamp timestamp"
@@ -226,3 +315,58 @@ def sample_envelopes(payloads: DataFrame, on_error: str = "strict") -> DataFrame
         return [{k: Decimal(found[k]) for k in ("instance_id", "first_sequence", "last_sequence", "next_sequence")}]
 
     return _each(payloads, parse, TABLES["sample_envelopes"], on_error)
+
+
+#: Rows of a document that are given to Spark at a time.
+ROWS = 10_000
+
+
+def _file(path: str) -> Iterator[bytes]:
+    """A file of any store that pyarrow opens, in pieces."""
+    store, name = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
+    with store.open_input_stream(name) as f:
+        while piece := f.read(PIECE):
+            yield piece
+
+
+def _of_files(files: DataFrame, sample: bool, on_error: str) -> DataFrame:
+    sequence = "sequence decimal(20,0), " if sample else ""
+    schema = f"payload_id bigint, error string, doc_ordinal bigint, {sequence}{OBSERVATION}"
+    names = T.StructType.fromDDL(schema).names
+
+    def rows(payload: dict) -> Iterator[dict]:
+        own = lambda: DocumentReader(payload["machine_id"], payload["device_key"], sample).rows(_file(payload["path"]))
+        try:
+            for _ in own():  # all of it has to be sound before any of it is given out
+                pass
+        except InvalidDocument as e:
+            if on_error == "strict":
+                raise
+            yield {"error": str(e)}
+            return
+        yield from own()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for payload in frame.to_dict("records"):
+                found = rows(payload)
+                while some := list(islice(found, ROWS)):
+                    out = [{"payload_id": payload["payload_id"]} | r | ({"sequence": Decimal(r["sequence"])} if "sequence" in r else {}) for r in some]
+                    yield pd.DataFrame([[r.get(n) for n in names] for r in out], columns=names, dtype=object)
+
+    return files.select("payload_id", "path", "machine_id", "device_key").mapInPandas(run, schema)
+
+
+def current_files(files: DataFrame, on_error: str = "strict") -> DataFrame:
+    """files (payload_id, path, machine_id, device_key) to observations with their place in the document.
+
+    Documents may be of any size and depth: each is read twice, piece by piece, first to see that it is sound.
+    """
+    return _of_files(files, False, on_error)
+
+
+def sample_files(files: DataFrame, on_error: str = "strict") -> DataFrame:
+    """The same of samples, with sequence, and position in the order of (sequence, place in the document)."""
+    arrival = Window.partitionBy("payload_id").orderBy("sequence", "doc_ordinal")
+    position = F.when(F.col("error").isNull(), F.row_number().over(arrival) - 1)
+    return _of_files(files, True, on_error).withColumn("position", position)

@@ -11,28 +11,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.mapping import mark_observations
+from ..shared import table_or_empty
 from ..sources import xml
 
 SOUND, QUARANTINE = "sound", "quarantine"
 _NOTES = "batch bigint, version bigint"
 
 
-def _table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """The table at path, empty where nothing has been written yet."""
-    try:
-        return spark.read.schema(ddl).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], ddl)
-
-
 class VersionedTable:
     """A small table that is published as a whole, version after version, in a shared folder.
 
@@ -43,7 +33,7 @@ class VersionedTable:
         self.spark, self.path = spark, path.rstrip("/")
 
     def newest(self) -> int | None:
-        return _table(self.spark, f"{self.path}/published", "version bigint").agg(F.max("version")).first()[0]
+        return table_or_empty(self.spark, f"{self.path}/published", "version bigint").agg(F.max("version")).first()[0]
 
     def publish(self, table: DataFrame) -> int:
         version = (self.newest() or 0) + 1
@@ -57,7 +47,7 @@ class VersionedTable:
 
 def _pinned(mappings: VersionedTable, notes: str, batch: int) -> int:
     """The version that a batch uses, noted when it is first asked for."""
-    noted = _table(mappings.spark, notes, _NOTES).filter(F.col("batch") == batch).agg(F.min("version")).first()[0]
+    noted = table_or_empty(mappings.spark, notes, _NOTES).filter(F.col("batch") == batch).agg(F.min("version")).first()[0]
     if noted is not None:
         return noted
     version = mappings.newest()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,6 +54,27 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+#: How the operators' own columns begin.
+_OWN = "__"
+
+
+def keeps_columns(form: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators that return the columns of docs: those of docs that are named as an operator's own columns may be
+    go by other names meanwhile."""
+
+    @wraps(form)
+    def run(docs: DataFrame, *more, **options) -> DataFrame:
+        taken = {c.lower() for c in docs.columns}
+        names = {c: f"kept_{i}_{c.lstrip('_')}" for i, c in enumerate(docs.columns) if c.startswith(_OWN)}
+        while taken & {n.lower() for n in names.values()}:
+            names = {c: f"kept_{n}" for c, n in names.items()}
+        if not names:
+            return form(docs, *more, **options)
+        return form(docs.withColumnsRenamed(names), *more, **options).withColumnsRenamed({n: c for c, n in names.items()})
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import UPPER, bounded_batches, materialise, sole
+from .common import UPPER, bounded_batches, keeps_columns, materialise, sole
 from .suffix import SuffixAutomaton
 
 WINDOW = 10
@@ -234,6 +234,7 @@ def _hit():
     return F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
 
 
+@keeps_columns
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """docs without hit spans; documents with a hit share over max_coverage are dropped. The columns stay.
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, materialise, sole
+from .common import bounded_batches, keeps_columns, materialise, sole
 
 DOMAINS = ("clean", "toxic", "poor")
 #: Target totals as multiples of what a domain has.
@@ -283,6 +283,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     return with_copies(with_rates(narrow, plan)).select("doc_id", *[F.col(c).alias(c[2:]) for c in (*_POSTERIOR, "__rate", "__copies")])
 
 
+@keeps_columns
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float = MAX_RATE) -> DataFrame:
     """docs, each row as often as its copies say; the columns stay."""
     _, model, plan = _weighed(docs, labels, targets, max_rate)

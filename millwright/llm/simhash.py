@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, materialise, partitions
+from .common import bounded_batches, keeps_columns, materialise, partitions
 from .components import components
 
 SHINGLE = 3
@@ -174,6 +174,7 @@ def classes(docs: DataFrame) -> DataFrame:
     return prints.join(named.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+@keeps_columns
 def near_dedup(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, that of its smallest doc_id; the columns stay."""
     keep = classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__keep")).distinct()

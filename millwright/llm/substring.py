@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, partitions, sole
+from .common import keeps_columns, materialise, partitions, sole
 from .suffix import SuffixAutomaton
 
 WINDOW = 35
@@ -409,6 +409,7 @@ def scan(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     return joined.mapInArrow(_cut(docs.columns.index("text"), len(docs.columns)), schema)
 
 
+@keeps_columns
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """docs without repeated windows; a document that loses words has its others joined by one space."""
     cut = scan(docs, window, hot)

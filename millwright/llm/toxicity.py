@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, materialise, sole
+from .common import bounded_batches, keeps_columns, materialise, sole
 
 SAMPLE_ROWS = 20_000
 STEMS = (4, 5, 6, 7, 8)
@@ -292,8 +292,10 @@ def _counts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     ).otherwise(F.array(F.xxhash64("w")))
     rows = rows.select("toxic", F.array_distinct("w").alias("words"), shingles.alias("s"))
     rows = rows.select("toxic", "words", *[_least(F.col("s"), k).alias(f"m{k}") for k in range(FAMILIES)])
-    for k in range(FAMILIES):  # rows that share a min-hash of shingles are near copies
-        rows = rows.dropDuplicates([f"m{k}", "toxic"])
+    rows = rows.withColumn("id", F.xxhash64("words"))
+    own = F.struct("id", *[f"m{k}" for k in range(FAMILIES)], "words")
+    for k in range(FAMILIES):  # rows that share a min-hash of shingles are near copies: the one of least hash stays, however they lie
+        rows = rows.groupBy(f"m{k}", "toxic").agg(F.min(own).alias("first")).select("toxic", "first.*")
     rows = materialise(rows.select("toxic", "words"), "toxicity-rows")
     stems = [_stems(F.col("words"), k) for k in STEMS]
     features = F.concat(F.transform("words", lambda w: F.concat(F.lit("="), w)), F.array_distinct(F.flatten(F.array(*stems))))
@@ -384,7 +386,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model:
     x = sampled.mapInArrow(_featurise(context.broadcast(model), 1), "toxic int, text string, __x array<double>").select("toxic", "__x").toArrow()
     if n_toxic and n_clean:
         outputs = x["__x"].combine_chunks().flatten().to_numpy().reshape(-1, OUTPUTS)
-        model.coefficients = _logistic(np.hstack([np.ones((len(outputs), 1)), outputs]), x["toxic"].to_numpy().astype(float))
+        toxic = x["toxic"].to_numpy().astype(float)
+        order = np.lexsort((toxic, *outputs.T))  # sums of floats are the same however the rows lie
+        model.coefficients = _logistic(np.hstack([np.ones((len(outputs), 1)), outputs])[order], toxic[order])
     return model
 
 
@@ -412,6 +416,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return bounded_batches(docs).mapInArrow(_scorer(shared, docs.columns.index("text")), schema)
 
 
+@keeps_columns
 def drop_toxic(docs: DataFrame, model: Model, limit: float = LIMIT) -> DataFrame:
     """docs whose score is under limit."""
     return score(docs, model).filter(F.col("__score") < limit).drop("__score")

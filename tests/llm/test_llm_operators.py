@@ -11,6 +11,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from millwright.llm import decontam, html_extract, line_dedup, merkle, mixing, near_copies, quality, resampling, sharding, simhash, spotsigs, substring, token_store, toxicity
@@ -72,19 +73,34 @@ def test_one_row_for_each_row(spark, name):
     assert sorted(str(r.doc_id) for r in found) == sorted(str(r[0]) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["decontaminate", "drop_toxic", "near_dedup", "dedup_substrings", "resample"])
+#: Names that the operators give to their own columns.
+INTERNAL = ("__spans", "__n_words", "__score", "__rate", "__copies", "__k", "__node", "__row", "__id", "__keep", "__of", "__fp", "__kept", "__n_removed", "__x", "__SPANS2", "kept_6___node")
+
+
+@pytest.mark.parametrize("name", ["decontaminate", "drop_toxic", "near_dedup", "near_copies", "dedup_substrings", "resample"])
 def test_removing_forms_keep_columns(spark, name):
     df = frame(spark, [*AWKWARD, AWKWARD[6], (None, "no id")], extra=True)
+    for column in INTERNAL:
+        df = df.withColumn(column, F.concat(F.lit(f"{column} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = {
         "decontaminate": lambda: decontam.decontaminate(df, spark.createDataFrame(ITEMS, "item_id long, text string")),
         "drop_toxic": lambda: toxicity.drop_toxic(df, toxicity.fit(df, none)),
         "near_dedup": lambda: simhash.near_dedup(df),
+        "near_copies": lambda: near_copies.near_dedup(df),
         "dedup_substrings": lambda: substring.dedup_substrings(df),
         "resample": lambda: mixing.resample(df, none, {}, 1.0),
     }[name]()
-    assert out.schema == df.schema
-    assert out.count() > 0
+    assert out.schema.names == df.schema.names and [f.dataType for f in out.schema] == [f.dataType for f in df.schema]
+    found = out.collect()
+    assert found and all(r[c] == f"{c} of {'-' if r.doc_id is None else r.doc_id}" for r in found for c in INTERNAL)
+
+
+def test_the_fit_is_the_same_however_rows_lie(spark):
+    rows, labelled = toxic_rows()
+    labels = spark.createDataFrame(labelled, "doc_id long, quality int, toxic int")
+    models = [toxicity.fit(frame(spark, rows).repartition(n, "doc_id"), labels) for n in (1, 3, 8)]
+    assert all(m.words == models[0].words and m.stems == models[0].stems and list(m.coefficients) == list(models[0].coefficients) for m in models)
 
 
 def test_decontamination(spark):

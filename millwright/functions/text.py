@@ -67,3 +67,13 @@ def microseconds(start: Column, end: Column) -> Column:
 def hours(us: Column) -> Column:
     """Microseconds as hours, DECIMAL(18,6)."""
     return (us.cast("decimal(20,0)") / F.lit(3_600_000_000).cast("decimal(20,0)")).cast("decimal(18,6)")
+
+
+def new_identity() -> Column:
+    """An identity for a row that has none of its own; another one each time the row is computed, so write it first."""
+    return F.uuid()
+
+
+def observed_now() -> Column:
+    """The moment for what carries none: one for all rows of a query (of a micro-batch, in a stream)."""
+    return F.current_timestamp()

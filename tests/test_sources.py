@@ -203,3 +203,10 @@ def test_scalar_rules(spark):
     assert one(hours(F.lit(1_800_000_000))) == Decimal("0.5")
     assert one(parse_instant(F.lit("nope"))) is None and one(parse_instant(F.lit("2026-01-01T00:00:00+05:30"))) is not None
     assert one(folded_map(F.create_map(F.lit("A"), F.lit(1)))) == {"a": 1}
+
+
+def test_identities_and_moments(spark):
+    from millwright.functions.text import new_identity, observed_now
+
+    rows = spark.range(50).select(new_identity().alias("id"), observed_now().alias("at")).collect()
+    assert len({r.id for r in rows}) == 50 and len({r.at for r in rows}) == 1

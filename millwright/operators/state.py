@@ -117,7 +117,10 @@ def activity_periods(changes: DataFrame, order: tuple[str, ...] = ORDER) -> Data
     )
 
 
-def empty_snapshots(spark: SparkSession, machine_ids: list[str]) -> DataFrame:
-    """A snapshot without signals for each machine, as of now: its state is unknown."""
-    machines = spark.createDataFrame([(m,) for m in machine_ids], "machine_id string")
+def without_signals(machines: DataFrame) -> DataFrame:
+    """A snapshot without signals for each row (machine_id), as of now: its state is unknown."""
     return machines.select("machine_id", F.array().cast(f"array<{SIGNAL}>").alias("signals"), F.current_timestamp().alias("timestamp"), F.lit(0).cast("bigint").alias("ordinal"))
+
+
+def empty_snapshots(spark: SparkSession, machine_ids: list[str]) -> DataFrame:
+    return without_signals(spark.createDataFrame([(m,) for m in machine_ids], "machine_id string"))

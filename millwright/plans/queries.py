@@ -16,7 +16,7 @@ from ..operators.contract import Checked
 from ..operators.inputs import IncrementalInputs, derive_inputs, entries_out_of_scope, quantities
 from ..operators.mapping import map_observations, map_simple, map_with_configuration, unmapped_observations
 from ..operators.metrics import POLICIES, Engine, check_scopes, metrics_long
-from ..operators.state import activity_periods, assemble_snapshots, evaluate_states, transitions
+from ..operators.state import activity_periods, assemble_snapshots, evaluate_states, transitions, without_signals
 from ..schemas import SCOPE, schema
 from ..shared import shared_root
 from ..sources import xml
@@ -446,6 +446,22 @@ def e_streaming_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.quarantined_observations(spark, sf_dir, _spoiled_mappings(spark)).groupBy("error_code").agg(F.count("*").alias("n"))
 
 
+@_query("SELECT s_suppkey::VARCHAR AS machine_id, 'Unknown' AS state FROM supplier")
+def f13_machines_without_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of every machine of the plant before anything has been heard of it."""
+    machines = catalog.machines(adapter.factories(spark, sf_dir)).select("machine_id")
+    return evaluate_states(without_signals(machines)).select("machine_id", "state")
+
+
+@_query(
+    """SELECT l_suppkey::VARCHAR AS machine_id, (count(*) * 2000000000)::BIGINT AS produced, sum(2000000000 + l_quantity::INTEGER::BIGINT)::BIGINT AS good FROM lineitem GROUP BY ALL"""
+)
+def e17_sums_beyond_int(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities near the largest int: neither their sums nor a difference of two of them overflows."""
+    entries = adapter.bulk_entries(spark, sf_dir).withColumns({"produced": F.lit(2_000_000_000), "rejected": -F.col("produced")})
+    return quantities(entries, ("machine_id",))
+
+
 def _codes(checked: Checked) -> DataFrame:
     codes = checked.errors.select("error_code").union(checked.rows.select(F.lit(None).cast("string").alias("error_code")))
     return codes.groupBy("error_code").agg(F.count("*").alias("n"))

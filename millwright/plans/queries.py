@@ -21,6 +21,7 @@ from ..schemas import SCOPE, schema
 from ..shared import shared_root
 from ..sources import xml
 from ..sources.cursor import cursor_trace
+from ..streaming.machines import rocks
 from ..streaming.state import track_activity
 from . import adapter, documents, shift, streams
 
@@ -176,8 +177,9 @@ def t3_streaming_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.when(k % 20 >= 18, "Unknown").when(kind == "error", "Fault").when(kind.isin("click", "view"), "Running").when(kind == "purchase", "Idle").otherwise("Stopped")
     states = events.select((F.col("user_id") % 10).cast("string").alias("machine_id"), state.alias("state"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_id").alias("ordinal"))
     base = f"{shared_root(spark)}/millwright/stream-{uuid.uuid4().hex}"
-    run = track_activity(states).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
+    with rocks(spark):
+        run = track_activity(states).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
     done = spark.read.parquet(f"{base}/out").filter("kind = 'transition'")
     return _naive(done.select("machine_id", "previous_state", F.col("state").alias("current_state"), F.col("started_at").alias("timestamp"), "ordinal"))
 

@@ -41,9 +41,8 @@ class ActivityProcessor(StatefulProcessor):
 
 
 def track_activity(states: DataFrame) -> DataFrame:
-    """A stream of states (machine_id, state, timestamp, ordinal) to transitions and periods.
+    """A stream of states (machine_id, state, timestamp, ordinal) to transitions and periods, to be started in rocks().
 
     The result equals the batch operators' for input that arrives in order.
     """
-    states.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return states.groupBy("machine_id").transformWithStateInPandas(ActivityProcessor(), outputStructType=OUTPUT, outputMode="Append", timeMode="None")

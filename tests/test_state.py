@@ -5,6 +5,7 @@ import pytest
 
 from millwright.operators.state import activity_periods, assemble_snapshots, empty_snapshots, evaluate_states, transitions
 from millwright.schemas import schema
+from millwright.streaming.machines import rocks
 from millwright.streaming.state import track_activity
 
 T0 = datetime(2026, 1, 1, 10)
@@ -109,8 +110,9 @@ def test_stream_equals_batch(spark, tmp_path):
         part = spark.createDataFrame(rows[4 * i : 4 * i + 4], schema("states"))
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema("states")).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    run = track_activity(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    run.awaitTermination()
+    with rocks(spark):
+        run = track_activity(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        run.awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
     batch = transitions(spark.createDataFrame(rows, schema("states")))
     got = sorted((r.machine_id, r.previous_state, r.state, r.started_at) for r in out.filter("kind = 'transition'").collect())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, is_blank
+from ..shared import written
 from .intervals import in_force, timeline
 
 
@@ -18,13 +19,14 @@ def resolve_configurations(requests: DataFrame, configurations: DataFrame, reque
     """Each request (request_key, company_id, site_id, at) with the configuration in force, or null; equal requests
     keep their rows.
 
-    The latest start wins; equal starts go to the one earlier in the list (ordinal, unique in a site).
+    The latest start wins; equal starts go to the one earlier in the list (ordinal, unique in a site).  The moments at
+    which another one is in force are written first, as requests are met with them in two ways.
     """
     site = ["company_id", "site_id"]
     published = configurations.filter(F.col("lifecycle") == "Published")
     intervals = published.select(*site, F.unix_micros("effective_from").alias("since"), F.unix_micros("effective_to").alias("until"), "ordinal")
     whole = published.select(*site, F.col("ordinal").cast("bigint").alias("ordinal"), F.struct(*configurations.columns).alias("configuration"))
-    changes = timeline(intervals, site).join(whole, [*site, "ordinal"], "left")
+    changes = written(timeline(intervals, site).join(whole, [*site, "ordinal"], "left"), "configurations")
     return in_force(requests, changes, site, at, "configuration", request_key)
 
 

@@ -3,8 +3,10 @@
 import os
 import tracemalloc
 
+import pandas as pd
 import pytest
 
+from millwright import shared
 from millwright.sources import xml
 
 HEAD = '<Header instanceId="1" firstSequence="1" lastSequence="9" nextSequence="10"/>'
@@ -101,3 +103,35 @@ def test_files(spark, tmp_path):
     with pytest.raises(Exception, match="E1[156]"):
         xml.sample_files(listed).collect()
     assert os.path.exists(f"{tmp_path}/1.xml")
+
+
+def test_a_worker_gives_out_rows_before_it_has_read_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(xml, "ROWS", 10)
+    sizes = []
+    frame = xml._frame
+
+    def noted(rows, names):
+        sizes.append(len(rows))
+        return frame(rows, names)
+
+    monkeypatch.setattr(xml, "_frame", noted)
+    text = document("<Samples>" + "".join(reading(n) for n in range(1, 8)) + "</Samples>")
+    payloads = pd.DataFrame([(n, text if n % 5 else " ", "m", "x") for n in range(20)], columns=["payload_id", "xml", "machine_id", "device_key"])
+    monkeypatch.setattr(xml, "light_batches", lambda df: df)
+
+    class Payloads:
+        def mapInPandas(self, run, schema):
+            return list(run(iter([payloads[:15], payloads[15:]])))
+
+    found = pd.concat(xml.sample_rows(Payloads(), on_error="quarantine"))
+    assert max(sizes) <= 10 and sum(sizes) == len(found) == 16 * 7 + 4
+    assert found["payload_id"].tolist() == [n for n in range(20) for _ in range(7 if n % 5 else 1)]
+
+
+def test_documents_come_to_workers_in_batches_of_bounded_bytes(spark):
+    ddl = "payload_id bigint, xml string, machine_id string, device_key string"
+    xml.sample_rows(spark.createDataFrame([], ddl))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= shared.BATCH_BYTES
+    long = spark.range(40).selectExpr("id as payload_id", f"repeat('x', {1 << 20}) as xml")
+    sizes = long.coalesce(1).mapInPandas(lambda frames: (f[["payload_id"]].assign(payload_id=len(f))[:1] for f in frames), "payload_id bigint").collect()
+    assert sum(r[0] for r in sizes) == 40 and max(r[0] for r in sizes) <= 20

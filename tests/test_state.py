@@ -1,12 +1,14 @@
 import random
+import weakref
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from millwright.operators.state import activity_periods, assemble_snapshots, empty_snapshots, evaluate_states, transitions
 from millwright.schemas import schema
 from millwright.streaming.machines import rocks
-from millwright.streaming.state import track_activity
+from millwright.streaming.state import ActivityProcessor, track_activity
 
 T0 = datetime(2026, 1, 1, 10)
 
@@ -121,6 +123,79 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == sorted((r.machine_id, r.state, r.started_at, r.ended_at) for r in activity_periods(batch).collect())
 
 
+class _Held:
+    """State of one machine in memory, as the store has it."""
+
+    def __init__(self):
+        self.value, self.map = None, {}
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def getValue(self, key):
+        return self.map[key]
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+    def removeKey(self, key):
+        del self.map[key]
+
+
+def test_a_large_batch_of_a_machine_is_taken_chunk_by_chunk():
+    frame = pd.DataFrame([(n, ("Idle", "Running", "Fault")[n * n % 7 % 3], pd.Timestamp("2024-01-01") + pd.Timedelta(hours=n * 29 % 240)) for n in range(400)], columns=["ordinal", "state", "timestamp"])
+    alive = []
+
+    def chunks():
+        for n in range(0, 400, 10):
+            assert sum(r() is not None for r in alive) <= 3
+            chunk = frame[n : n + 10].copy()
+            alive.append(weakref.ref(chunk))
+            yield chunk
+            del chunk
+
+    tracker = ActivityProcessor()
+    tracker.open, tracker.waiting = _Held(), _Held()
+    found = pd.concat(tracker.handleInputRows(("m",), chunks(), None))
+    state, expected = "Unknown", []
+    for r in frame.sort_values(["timestamp", "ordinal"]).itertuples():
+        if r.state != state:
+            expected.append((state, r.state, r.timestamp, r.ordinal))
+            state = r.state
+    got = found[found["kind"] == "transition"]
+    assert list(zip(got["previous_state"], got["state"], got["started_at"], got["ordinal"])) == expected
+    assert not tracker.waiting.map and tracker.open.value == (state, expected[-1][2].to_pydatetime())
+
+
+def test_a_stream_in_small_chunks_equals_batch(spark, tmp_path):
+    rows = [("ab"[n % 2], ("Idle", "Running", "Fault")[n * n % 7 % 3], at(n * 997 % 9000), n) for n in range(60)]
+    spark.createDataFrame(rows, schema("states")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema("states")).parquet(str(tmp_path / "in"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4")
+    try:
+        with rocks(spark):
+            run = track_activity(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+            run.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    ordered = sorted(rows, key=lambda r: (r[0], r[2], r[3]))
+    expected, state = [], {}
+    for m, s, t, n in ordered:
+        if s != state.get(m, "Unknown"):
+            expected.append((m, state.get(m, "Unknown"), s, n))
+            state[m] = s
+    out = spark.read.parquet(str(tmp_path / "out")).filter("kind = 'transition'")
+    assert sorted((r.machine_id, r.previous_state, r.state, r.ordinal) for r in out.collect()) == sorted(expected)
+
+
 def test_assembly_of_the_plant(spark):
     from millwright.operators import catalog
 

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from millwright import shared
+from millwright.plans import documents
 from millwright.sources import xml
 
 HEAD = '<Header instanceId="1" firstSequence="1" lastSequence="9" nextSequence="10"/>'
@@ -135,3 +136,15 @@ def test_documents_come_to_workers_in_batches_of_bounded_bytes(spark):
     long = spark.range(40).selectExpr("id as payload_id", f"repeat('x', {1 << 20}) as xml")
     sizes = long.coalesce(1).mapInPandas(lambda frames: (f[["payload_id"]].assign(payload_id=len(f))[:1] for f in frames), "payload_id bigint").collect()
     assert sum(r[0] for r in sizes) == 40 and max(r[0] for r in sizes) <= 20
+
+
+def test_documents_are_written_where_they_stay(spark, tmp_path):
+    rows = [(n, document(f"<Samples>{reading(n + 1)}</Samples>") if n else None, "m", "x") for n in range(50)]
+    payloads = spark.createDataFrame(rows, "payload_id bigint, xml string, machine_id string, device_key string").repartition(3)
+    listed = documents.as_files(payloads, str(tmp_path / "in"))
+    found = sorted(listed.collect())
+    assert listed.columns == ["payload_id", "path", "machine_id", "device_key"] and [r.payload_id for r in found] == list(range(50))
+    assert [open(r.path, encoding="utf-8").read() for r in found] == [r[1] or "" for r in rows]
+    assert listed.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len({os.path.dirname(r.path) for r in found}) <= 3
+    assert [r.sequence for r in xml.sample_files(listed.filter("payload_id > 0")).orderBy("sequence").collect()] == list(range(2, 51))

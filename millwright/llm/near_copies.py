@@ -1,10 +1,12 @@
 """Near-dedup by Jaccard similarity of word shingles.
 
 Two texts are linked if the Jaccard similarity of their sets of ``shingle``-word shingles is at least
-``similarity``; one row of each connected component stays.  A SimHash can't propose such pairs: at 0.8 about
-10 of 64 bits differ, which leaves no keys that are selective.  So candidates are texts that share a band of
-``ROWS`` min-hashes, with as many bands as leave a pair just at the similarity unseen with a chance of
-``MISS`` at most (22 bands at 0.8), and a candidate becomes a link only by the exact Jaccard similarity.
+``similarity``; one row of each connected component stays.  Candidates come first from SimHashes of the shingles:
+texts whose fingerprints are equal or linked by pigeonring (``simhash.links``, 3 or fewer of 64 bits).  Those
+can't propose all: at 0.8 about 10 bits differ, which leaves no keys that are selective.  So what they leave apart
+are candidates if they share a band of ``ROWS`` min-hashes, with as many bands as leave a pair just at the
+similarity unseen with a chance of ``MISS`` at most (22 bands at 0.8).  Either kind of candidate becomes a link
+only by the exact Jaccard similarity.
 
 Equal texts are one node throughout.  Inside the buckets that several texts share, each text is compared with
 one leader of its bucket first, in ``STARS`` rounds; what lies in one component by then isn't compared any
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, keeps_columns, materialise, partitions
 from .components import components
+from .simhash import links as pigeonring
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -79,14 +82,26 @@ def bands(hashes: np.ndarray, factors: np.ndarray) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(rows[i].tobytes(), i) for i in range(len(rows))], np.uint64).view(np.int64).tolist()
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of distinct shingles' hashes, as a signed 64-bit integer."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), STEP):
+        ones += np.unpackbits(hashes[k : k + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def _banded(size: int, similarity: float):
     n = bands_for(similarity) * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = np.random.default_rng(SEED).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            keys = [bands(shingles(t.as_py(), size), factors) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+            keys, prints = [], []
+            for t in batch.column(2):
+                hashes = shingles(t.as_py(), size)
+                keys.append(bands(hashes, factors))
+                prints.append(fingerprint(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(prints, pa.int64())], names=["doc_id", "node", "bands", "fp"])
 
     return run
 
@@ -203,16 +218,29 @@ def _walked(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return materialise(ordered.mapInArrow(_walk(similarity), "a long, b long"), "walked")
 
 
+def _proposed(banded: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of nodes whose fingerprints are equal or linked: each with its fingerprint's least node, and those."""
+    prints = materialise(banded.select("fp", "node"), "prints")
+    leads = prints.groupBy("fp").agg(F.min("node").alias("lead"))
+    equal = prints.join(leads, "fp").filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    near = pigeonring(leads.select("fp")).distinct()
+    near = near.join(leads.select(F.col("fp").alias("a"), F.col("lead").alias("one")), "a").join(leads.select(F.col("fp").alias("b"), F.col("lead").alias("two")), "b")
+    return materialise(equal.union(near.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"))).distinct(), "proposed")
+
+
 def roots(banded: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(node, root) of the nodes with links but the roots, from (node, bands) and the (node, text) of every row."""
+    """(node, root) of the nodes with links but the roots, from (node, bands, fp) and the (node, text) of every row."""
     keys = banded.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     buckets = materialise(keys.join(shared, "key").select("key", "node"), "buckets")
-    candidates = buckets.select("node").distinct()
+    proposed = _proposed(banded)
+    candidates = buckets.select("node").union(proposed.select("a")).union(proposed.select("b")).distinct()
     sets = materialise(bounded_batches(texts).join(candidates, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_sets(size), "node long, hashes array<long>"), "shingles")
     spark = banded.sparkSession
     found = spark.createDataFrame([], "node long, root long")
-    compared = spark.createDataFrame([], "a long, b long, near boolean")
+    compared = _compared(proposed, sets, similarity)
+    if not compared.filter("near").isEmpty():
+        found = components(compared.filter("near").select("a", "b"))
     for turn in range(STARS + 1):
         named = buckets.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         lead = named.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)), "node", "root")).alias("lead"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
@@ -235,10 +263,10 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMI
     """docs with one row of each component of texts at the similarity or above; the columns stay."""
     node = F.xxhash64(F.coalesce("text", F.lit("")))
     marked = bounded_batches(docs).select("doc_id", node.alias("node"), "text")
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, bands array<long>"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, bands array<long>, fp long"
     rows = materialise(marked.mapInArrow(_banded(shingle, similarity), schema), "bands")
-    distinct = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
-    found = roots(distinct.select("node", "bands"), marked.select("node", "text"), shingle, similarity)
+    distinct = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
+    found = roots(distinct.select("node", "bands", "fp"), marked.select("node", "text"), shingle, similarity)
     named = distinct.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     first = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("kept"))
     # a row's own hash spreads a large group of equal texts over the tasks

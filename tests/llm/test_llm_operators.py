@@ -150,6 +150,18 @@ def test_simhash(spark):
     assert sorted(r.doc_id for r in kept) == sorted({r[2] for r in found})
 
 
+def test_near_copies_are_proposed_by_simhash_and_judged_by_jaccard(spark):
+    words = [f"w{n}" for n in range(3000)]
+    texts = [" ".join(words), " ".join([*words[:1500], "odd", *words[1501:]]), " ".join(words[:1000]), "short text", "quite another short text"]
+    marked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", F.xxhash64("text").alias("node"), "text")
+    banded = near_copies.materialise(marked.mapInArrow(near_copies._banded(5, 0.8), "doc_id long, node long, bands array<long>, fp long"), "bands")
+    alone = banded.select("node", F.array("node").alias("bands"), "fp")  # no band is shared
+    one, two = (r.node for r in banded.filter("doc_id < 2").orderBy("doc_id").collect())
+    assert [tuple(r) for r in near_copies.roots(alone, marked.select("node", "text"), 5, 0.8).collect()] == [(max(one, two), min(one, two))]
+    equal = banded.select("node", F.array("node").alias("bands"), F.lit(0).cast("long").alias("fp"))  # fingerprints alone link nothing
+    assert {n for r in near_copies.roots(equal, marked.select("node", "text"), 5, 0.8).collect() for n in r} <= {one, two}
+
+
 @pytest.mark.parametrize("block, stars", [(2_000, 2), (7, 1), (2_000, 0)])
 def test_near_copies_against_all_pairs(spark, monkeypatch, block, stars):
     """The pipeline's stage: components of the pairs at 0.8 or more of five-word shingles, by brute force."""

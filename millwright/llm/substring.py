@@ -14,8 +14,9 @@ All documents are the reference, so the reference is cut into shards that are cl
    and each content seen once is streamed through it for matching statistics (the longest suffix at each
    word that occurs twice or more); where these reach ``window`` words, the span goes.
 4. An anchor with over ``HOT`` contents would make a large shard.  Windows of its contents are told apart
-   by 128-bit hashes instead, counted with map-side combine and joined back.  Anchors of very many contents,
-   and contents and windows of very many places, are salted where they meet their counts.
+   by 128-bit hashes instead, counted with map-side combine; those in a bit table of the repeated ones are
+   joined back.  They are at most as many as the words of these contents.  Anchors of very many contents, and
+   contents and windows of very many places, are salted where they meet their counts.
 5. Spans come back to their documents, which drop the words under them.
 
 Documents are worked in pieces of ``PIECE`` words that overlap by a window, so that long ones need
@@ -199,6 +200,16 @@ def _repeated_rows(shared):
     return run
 
 
+def _known(table):
+    """Rows whose first column, a hash, is in a bit table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(table.value.has(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    return run
+
+
 def _flagged(flood):
     """Rows of contents with whether their anchor is in the bit table of hot ones."""
 
@@ -372,7 +383,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> Dat
     place = F.struct("c", "start")
     counted = windows.groupBy("h", "other").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n"))
     twice = materialise(counted.filter("a <> b").select("h", "other", "n"), "twice")
-    return whole.union(spans).union(_meet(windows, twice, ["h", "other"]).select("doc_id", "t", "start", "end"))
+    again = windows.mapInArrow(_known(share(_bit_table(twice.select("h")))), windows.schema)
+    return whole.union(spans).union(_meet(again, twice, ["h", "other"]).select("doc_id", "t", "start", "end"))
 
 
 def _cut(text_at: int, spans_at: int):

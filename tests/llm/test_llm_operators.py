@@ -235,6 +235,29 @@ def test_substrings(spark, hot, monkeypatch):
     assert got == sorted(substring.brute_force(rows))
 
 
+def test_windows_that_stand_once_meet_no_count(spark, monkeypatch):
+    """One passage in n documents of their own words: their windows grow with n, and only those seen again are joined."""
+    materialise, meet, made = substring.materialise, substring._meet, {}
+    monkeypatch.setattr(substring, "materialise", lambda df, name: made.setdefault(name, materialise(df, name)))
+
+    def counted(rows, keys, on, **more):
+        out = meet(rows, keys, on, **more)
+        if "other" in on:
+            made["read"], made["met"] = rows.count(), out.count()
+        return out
+
+    monkeypatch.setattr(substring, "_meet", counted)
+    shared, again, found = words(60, 77, 3000), words(20, 78, 3000), {}
+    for n in (60, 120):
+        made.clear()
+        rows = [(i, f"{words(40, 1000 + i, 10**6)} {again if i < 6 else words(20, 3000 + i, 10**6)} {shared} {words(40, 5000 + i, 10**6)}") for i in range(n)]
+        got = sorted((r.doc_id, r["__n_words"], r["__n_removed"], hashlib.sha256(r["__kept"].encode()).hexdigest()) for r in substring.scan(frame(spark, rows).select("doc_id", "text"), hot=10).collect())
+        assert got == sorted(substring.brute_force(rows))
+        found[n] = made["windows"].count(), made["read"], made["met"]
+    assert found[60][0] > 1000 and found[120][0] <= 2.2 * found[60][0]
+    assert all(0 < met <= read <= 1.05 * met + 20 for _, read, met in found.values())
+
+
 def test_places_of_copies_differ():
     text = words(200, 5, 5000)
     t = 12345

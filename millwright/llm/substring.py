@@ -230,11 +230,12 @@ _CONTENT_ARROW = pa.schema(
 def _contents(chosen, flood, texts, window: int, hot: bool):
     """The words of chosen segments under anchors that aren't hot; or of those under hot ones each window with a 128-bit hash.
 
-    Only documents whose text hash is in the bit table texts hold any; the others aren't read.
+    Only documents whose text hash is in the bit table texts hold any; the others aren't read.  The table chosen also
+    picks a share of all places, so a task sends a content once: of one at several places only the words matter.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pick, often = chosen.value, flood.value
+        pick, often, sent = chosen.value, flood.value, set()
         sole(_HASHES)
         for batch in batches:
             batch = batch.filter(pa.array(texts.value.has(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))))
@@ -250,6 +251,11 @@ def _contents(chosen, flood, texts, window: int, hot: bool):
                     if hot:
                         one, two = (_rolling(x, window).view(np.int64) for x in (s.hashes, _mix(s.hashes + np.uint64(1))))
                     for i in keep.tolist():
+                        if contents[i] in sent:
+                            continue
+                        if len(sent) >= CACHE_WORDS:
+                            sent.clear()
+                        sent.add(int(contents[i]))
                         a, b = int(s.first[i]), int(s.last[i])
                         if hot:
                             rows += [(True, int(one[k]), int(contents[i]), None, int(two[k]), doc, t, s.at + k, s.at + k + window, None) for k in range(a, b + 1)]

@@ -6,10 +6,12 @@ import itertools
 import random
 import time
 import zlib
+from types import SimpleNamespace
 
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -258,6 +260,17 @@ def test_windows_that_stand_once_meet_no_count(spark, monkeypatch):
     assert all(0 < met <= read <= 1.05 * met + 20 for _, read, met in found.values())
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_a_task_sends_a_content_once(hot):
+    """However many of its places a bit table picks."""
+    all_of, none_of = (SimpleNamespace(value=substring.Bits(np.array([x], np.uint64), 6)) for x in (2**64 - 1, 0))
+    text = words(200, 5, 5000)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(at, at + 20)), pa.array([7] * 20), pa.array([text] * 20)], names=["doc_id", "t", "text"]) for at in (0, 20)]
+    out = [r for b in substring._contents(all_of, all_of if hot else none_of, all_of, 35, hot)(iter(batches)) for r in b.to_pylist()]
+    one = next(substring.segments(text.encode().split(), 35))
+    assert len(out) == (200 - 34 if hot else len(one.contents)) and {r["c"] for r in out} == set(one.contents.view(np.int64).tolist())
+
+
 def test_places_of_copies_differ():
     text = words(200, 5, 5000)
     t = 12345
